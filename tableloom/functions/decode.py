@@ -25,15 +25,15 @@ def decode_positional(
     """The active columns of each message, typed, plus ``decode_errors``.
 
     A cell that does not fit its type becomes NULL and its column is named in
-    ``decode_errors``; a value that is no JSON array is reported as ``value``.
-    ``decode_errors`` is NULL on good rows.
+    ``decode_errors``; a value that is no JSON array is reported under its own name.
+    ``decode_errors`` is comma-separated text, NULL on good rows.
     """
-    cells = F.from_json(F.col(value).cast("string"), T.ArrayType(T.StringType()))
     active = [s for s in specs if s.active]
-    parsed = df.select(*keep, F.col(value).alias("__value"), cells.alias("__cells"))
+    cells = F.from_json(F.col(value).cast("string"), T.ArrayType(T.StringType()))
+    # A filter on the result may not move below a generator, so JSON is parsed once per row.
+    parsed = df.select(*keep, F.explode(F.array(cells)).alias("__cells"))
     wide = parsed.select(
         *keep,
-        "__value",
         F.col("__cells").isNull().alias("__broken"),
         *[F.get("__cells", F.lit(s.slot - 1)).alias(f"__t{i}") for i, s in enumerate(active)],
     )
@@ -42,12 +42,11 @@ def decode_positional(
         F.when(F.col(f"__t{i}").isNotNull() & typed[i].isNull(), F.lit(s.name))
         for i, s in enumerate(active)
     ]
-    # A JSON parser in permissive mode gives an array or NULL; both NULL input and bad text count.
-    found = F.array_compact(F.array(F.when(F.col("__broken"), F.lit(value)), *problems))
+    found = F.concat_ws(",", F.when(F.col("__broken"), F.lit(value)), *problems)
     return wide.select(
         *keep,
         *[t.alias(s.name) for t, s in zip(typed, active)],
-        F.when(F.size(found) > 0, found).alias(ERRORS),
+        F.when(found != "", found).alias(ERRORS),
     )
 
 

@@ -32,49 +32,54 @@ def pairs_with_difference(df: DataFrame, column: str, difference) -> DataFrame:
 
 
 def item_combinations(
-    df: DataFrame, group: str, item: str, size: int, max_items: int = MAX_ITEMS
+    df: DataFrame,
+    group: str,
+    item: str,
+    size: int,
+    catalogue: DataFrame | None = None,
+    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """(items, support): ``size``-item combinations and the groups that hold all of them.
 
-    Items come from a catalogue of at most 62 values; more is an error. A group, however
-    large, folds into one bit mask on the map side, equal masks are counted together, and
-    only distinct masks are spelled out.
+    The items are those of ``catalogue``, a frame of one column, or else those in the data.
+    More than 62 are an error. A group, however large, folds into one bit mask on the map
+    side, equal masks are counted together, and only distinct masks are spelled out.
     """
     if not 1 <= max_items <= MAX_ITEMS:
         raise ValueError(f"max_items must be between 1 and {MAX_ITEMS}")
     if size < 1:
         raise ValueError("a combination has at least one item")
-    distinct = df.select(item).where(F.col(item).isNotNull()).distinct()
-    catalogue = [row[0] for row in distinct.orderBy(item).limit(max_items + 1).collect()]
-    if len(catalogue) > max_items:
+    known = (df.select(item) if catalogue is None else catalogue).toDF("item")
+    known = known.where(F.col("item").isNotNull()).distinct().orderBy("item")
+    items = [row[0] for row in known.limit(max_items + 1).collect()]
+    if len(items) > max_items:
         raise ValueError(f"{item!r} has more than {max_items} values; group them first")
     kind = df.schema[item].dataType
-    if not catalogue:
+    if not items:
         return df.sparkSession.createDataFrame([], f"items array<{kind.simpleString()}>, support long")
-    labels = F.array(*[F.lit(v).cast(kind) for v in catalogue])
-    one = F.lit(1).cast("long")
-    bit = F.call_function(
-        "shiftleft", one, (F.array_position(labels, F.col(item)) - 1).cast("int")
-    )
+    labels = F.array(*[F.lit(v).cast(kind) for v in items])
+    place = F.array_position(labels, F.col(item)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)
     masks = (
-        df.where(F.col(item).isNotNull())
+        df.where(place > 0)
         .groupBy(group)
         .agg(F.bit_or(bit).alias("mask"))
         .groupBy("mask")
         .agg(F.count(F.lit(1)).alias("groups"))
     )
     places = F.filter(
-        F.sequence(F.lit(0), F.lit(len(catalogue) - 1)), lambda i: F.getbit("mask", i) == 1
+        F.sequence(F.lit(0), F.lit(len(items) - 1)), lambda i: F.getbit("mask", i) == 1
     )
-    chosen = masks.select("groups", places.alias("places"), F.array().cast("array<int>").alias("combo"))
+    # A combination is a mask too; taking places in rising order spells each one once.
+    chosen = masks.select("groups", places.alias("places"), F.lit(0).cast("long").alias("combo"))
     for _ in range(size):
-        # Places after the last one taken keep each combination in one order.
-        chosen = chosen.select("groups", "combo", "places", F.explode("places").alias("next")).select(
+        chosen = chosen.select("groups", "combo", "places", F.posexplode("places")).select(
             "groups",
-            F.filter("places", lambda p: p > F.col("next")).alias("places"),
-            F.array_append("combo", F.col("next")).alias("combo"),
+            F.slice("places", F.col("pos") + 2, F.size("places")).alias("places"),
+            F.col("combo").bitwiseOR(
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.col("col"))
+            ).alias("combo"),
         )
     counted = chosen.groupBy("combo").agg(F.sum("groups").alias("support"))
-    return counted.select(
-        F.transform("combo", lambda p: F.element_at(labels, p + 1)).alias("items"), "support"
-    )
+    numbered = F.filter(F.sequence(F.lit(1), F.lit(len(items))), lambda i: F.getbit("combo", i - 1) == 1)
+    return counted.select(F.transform(numbered, lambda i: F.element_at(labels, i)).alias("items"), "support")

@@ -132,55 +132,63 @@ def classification_metrics(
     label: str,
     prediction: str,
     metrics: Sequence[str] = METRICS,
-    average: str = "binary",
+    averages: Sequence[str] = ("binary",),
     positive: Any = 1,
 ) -> DataFrame:
-    """(metric, value) from one count per (label, prediction); 0 where nothing was predicted."""
-    unknown = [m for m in metrics if m not in METRICS]
-    if unknown:
-        raise ValueError(f"unknown metrics: {unknown}")
-    if average not in AVERAGES:
-        raise ValueError(f"unknown average {average!r}")
-    pairs = confusion_matrix(df, label, prediction)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    """(average, metric, value) from one count per (label, prediction), all in one pass.
+
+    A class that is never predicted, or never occurs, scores 0.
+    """
+    for kind, given, known in (("metrics", metrics, METRICS), ("averages", averages, AVERAGES)):
+        unknown = [g for g in given if g not in known]
+        if unknown:
+            raise ValueError(f"unknown {kind}: {unknown}")
+    rows, none = F.col("n"), F.lit(0).cast("long")
+    hits = F.when(F.col("label") == F.col("prediction"), rows).otherwise(none)
     # Each pair counts once for its true class and once for its predicted class.
-    sides = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("label").alias("class"), hit.alias("tp"), F.col("n").alias("actual"), F.lit(0).cast("long").alias("predicted")
-                ),
-                F.struct(
-                    F.col("prediction").alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("actual"), F.col("n").alias("predicted")
-                ),
-            )
-        )
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), hits.alias("tp"), rows.alias("actual"), none.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), none.alias("tp"), none.alias("actual"), rows.alias("predicted")),
     )
-    per_class = sides.groupBy("class").agg(
-        *[F.sum(c).alias(c) for c in ("tp", "actual", "predicted")]
+    per_class = (
+        confusion_matrix(df, label, prediction)
+        .select(F.inline(sides))
+        .groupBy("class")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "actual", "predicted")])
     )
-    zero = F.lit(0.0)
-    precision = F.coalesce(F.try_divide("tp", "predicted"), zero)
-    recall = F.coalesce(F.try_divide("tp", "actual"), zero)
-    # 2 tp / (actual + predicted) is the harmonic mean of the two.
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("actual") + F.col("predicted")), zero)
+    scores = {
+        "precision_score": F.try_divide("tp", "predicted"),
+        "recall_score": F.try_divide("tp", "actual"),
+        # The harmonic mean of the two.
+        "f1_score": F.try_divide(2 * F.col("tp"), F.col("actual") + F.col("predicted")),
+    }
     scored = per_class.select(
-        "*", precision.alias("precision_score"), recall.alias("recall_score"), f1.alias("f1_score")
-    )
-    accuracy = F.sum("tp") / F.sum("actual")
-    found = [accuracy.alias("accuracy_score")]
-    for metric in METRICS[1:]:
-        if average == "macro":
-            value = F.avg(metric)
-        elif average == "weighted":
-            value = F.sum(F.col(metric) * F.col("actual")) / F.sum("actual")
-        elif average == "micro":
-            # Every row has one label and one prediction, so all three equal the accuracy.
-            value = accuracy
-        else:
-            value = F.coalesce(F.max(F.when(F.col("class") == F.lit(positive), F.col(metric))), zero)
-        found.append(value.alias(metric))
-    rows = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]
+        "*", *[F.coalesce(value, F.lit(0.0)).alias(name) for name, value in scores.items()]
     )
-    return scored.agg(*found).select(F.inline(rows))
+    values = [
+        _averaged(metric, average, positive).alias(f"{average}_{metric}")
+        for average in averages
+        for metric in metrics
+    ]
+    lines = [
+        F.struct(
+            F.lit(average).alias("average"),
+            F.lit(metric).alias("metric"),
+            F.col(f"{average}_{metric}").alias("value"),
+        )
+        for average in averages
+        for metric in metrics
+    ]
+    return scored.agg(*values).select(F.inline(F.array(*lines)))
+
+
+def _averaged(metric: str, average: str, positive: Any) -> Column:
+    total = F.sum("actual")
+    if metric == "accuracy_score" or average == "micro":
+        # One label and one prediction per row make every micro average the accuracy.
+        return F.sum("tp") / total
+    if average == "macro":
+        return F.avg(metric)
+    if average == "weighted":
+        return F.sum(F.col(metric) * F.col("actual")) / total
+    return F.coalesce(F.max(F.when(F.col("class") == F.lit(positive), F.col(metric))), F.lit(0.0))

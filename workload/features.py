@@ -90,9 +90,10 @@ _SEGMENTS = "SELECT c_custkey, nullif(c_mktsegment, 'FURNITURE') AS segment, c_n
 
 
 @query(
-    f"""SELECT c_custkey, CASE WHEN segment IS NULL THEN -1 ELSE s - (CASE WHEN has_null THEN 0 ELSE 0 END) - 1 END AS segment_code,
+    f"""SELECT c_custkey,
+               CASE WHEN segment IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY segment NULLS LAST) - 1 END AS segment_code,
                dense_rank() OVER (ORDER BY name) - 1 AS name_code
-        FROM (SELECT *, dense_rank() OVER (ORDER BY segment NULLS LAST) AS s, FALSE AS has_null FROM ({_SEGMENTS}))"""
+        FROM ({_SEGMENTS})"""
 )
 def category_codes(spark: SparkSession, sf: str) -> DataFrame:
     customers = table(spark, sf, "customer").select(
@@ -178,14 +179,10 @@ def _metric_sql(average: str, precision: str, recall: str, f1: str, source: str)
     )
 )
 def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    judged = _judged(spark, sf)
-    parts = [
-        models.classification_metrics(judged, "quality", "predicted", average=a).select(
-            F.lit(a).alias("average"), "metric", F.round("value", 9).alias("value")
-        )
-        for a in models.AVERAGES
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    found = models.classification_metrics(
+        _judged(spark, sf), "quality", "predicted", averages=models.AVERAGES
+    )
+    return found.withColumn("value", F.round("value", 9))
 
 
 @query()

@@ -162,8 +162,7 @@ def decode_rejects(spark: SparkSession, sf: str) -> DataFrame:
         "l_linenumber", F.when(F.col("l_linenumber") == 5, F.lit("{cut off")).otherwise(message).alias("value")
     )
     _, rejects = split_rejects(decode(messages, specs, keep=["l_linenumber"]))
-    errors = F.array_join("decode_errors", ",").alias("errors")
-    return rejects.groupBy("l_linenumber", errors).agg(F.count(F.lit(1)).alias("n"))
+    return rejects.groupBy("l_linenumber", F.col("decode_errors").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -643,7 +643,7 @@ def _baskets(spark: SparkSession, sf: str, size: int) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
     branded = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
-    found = combine.item_combinations(branded, "l_orderkey", "p_brand", size)
+    found = combine.item_combinations(branded, "l_orderkey", "p_brand", size, parts.select("p_brand"))
     return found.withColumn("items", F.array_join("items", "+"))
 
 
