@@ -103,8 +103,7 @@ def category_codes(
     """
     for column in columns:
         values = df.select(F.col(f"`{column}`").alias("__v")).where("__v is not null").distinct()
-        head = values.limit(local_labels + 1)
-        if head.count() <= local_labels:
+        if values.count() <= local_labels:
             place = F.row_number().over(W.orderBy("__v")).cast("long")
             codes = F.broadcast(values.withColumn("__p", place))
         else:

@@ -222,15 +222,11 @@ def broadcast_join(
 
 
 def is_small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Whether ``df`` stays within the limits; at most ``max_rows + 1`` rows are looked at."""
+    """Whether ``df`` stays within the limits. Widths are only measured when the rows are few."""
+    if df.count() > max_rows:
+        return False
     width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
-    rows, size = (
-        df.limit(max_rows + 1)
-        .select(width.alias("width"))
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0)))
-        .first()
-    )
-    return rows <= max_rows and size <= max_bytes
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
 
 
 def write_bucketed(

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableloom.staging import new_path
+
 METRICS = ("accuracy_score", "precision_score", "recall_score", "f1_score")
 AVERAGES = ("binary", "micro", "macro", "weighted")
 PENALTIES = ("l1", "l2", "elasticnet", "none")
@@ -85,7 +87,7 @@ def fit_logistic(
 
 def predict(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
     """Add prediction, class probabilities, their logarithms and the decision values."""
-    scored = model.transform(df)
+    scored = _without_summary(model, df).transform(df)
     probability = vector_to_array("probability")
     return scored.withColumns(
         {
@@ -96,6 +98,18 @@ def predict(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
     ).drop("probability", "rawPrediction")
 
 
+def _without_summary(model: LogisticRegressionModel, df: DataFrame) -> LogisticRegressionModel:
+    """A saved copy if the model is fresh from training.
+
+    The training summary holds the session, and not every session can be sent to executors.
+    """
+    if not model.hasSummary:
+        return model
+    path = new_path(df.sparkSession, "model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def attributes(model: LogisticRegressionModel) -> dict[str, Any]:
     """Classes, coefficients, intercepts and, right after fitting, the iterations."""
     return {

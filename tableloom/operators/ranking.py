@@ -15,6 +15,8 @@ from tableloom.staging import stage
 _ROW, _PART = "__row", "__part"
 # A group of this many rows sorts inside one task.
 GROUP_ROWS = 1_000_000
+# Up to this row a slice is cut from the first rows of each task, without sorting the rest.
+SMALL_SLICE = 10_000
 # Spark cuts row_number() <= k before the shuffle up to this k (windowGroupLimitThreshold).
 PRUNED_K = 1_000
 
@@ -121,6 +123,8 @@ def row_slice(
         raise ValueError("need 0 <= start <= end")
     if start == 0 and end == 0:
         return df
+    if 0 < end <= SMALL_SLICE:
+        return df.orderBy(*[_as_column(o) for o in order]).offset(start).limit(end - start)
     placed = with_position(df, order, "__place", unique)
     wanted = F.col("__place") > start
     if end:

@@ -70,7 +70,7 @@ def write_single_csv(df: DataFrame, target: FileTarget, max_rows: int = SINGLE_F
     A larger result is refused: it belongs in part files, which every reader takes as one.
     """
     guard(df.sparkSession, target)
-    if df.limit(max_rows + 1).count() > max_rows:
+    if df.count() > max_rows:
         raise ValueError(f"more than {max_rows} rows: write part files instead")
     _writer(df.repartition(1), target).save(target.path)
 

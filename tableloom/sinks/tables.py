@@ -18,7 +18,7 @@ class TableTarget:
     """A managed table, or an external one when ``location`` is set.
 
     ``drop`` removes the old table first, ``truncate`` keeps its schema and replaces its
-    rows, ``overwrite`` replaces both; with none of them rows are appended.
+    rows, ``overwrite`` replaces both; with none of them rows are appended by name.
     """
 
     name: str
@@ -46,13 +46,13 @@ def write_table(df: DataFrame, target: TableTarget) -> DataFrame:
     spark = df.sparkSession
     if target.drop:
         spark.sql(f"DROP TABLE IF EXISTS {target.name}")
-    exists = spark.catalog.tableExists(target.name)
-    if target.truncate and exists:
-        # By name, and the table keeps its own schema and layout.
-        df.select(*spark.table(target.name).columns).write.insertInto(target.name, overwrite=True)
+    keep_table = target.truncate or not target.overwrite
+    if keep_table and spark.catalog.tableExists(target.name):
+        # insertInto goes by position, so the columns are put in the table's order.
+        rows = df.select(*spark.table(target.name).columns)
+        rows.write.insertInto(target.name, overwrite=target.truncate)
         return spark.table(target.name)
-    mode = "overwrite" if target.overwrite else "append"
-    writer = df.write.format(target.format).mode(mode)
+    writer = df.write.format(target.format).mode("overwrite")
     if target.location:
         writer = writer.option("path", target.location)
     if target.codec:

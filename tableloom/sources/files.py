@@ -34,12 +34,12 @@ def read_csv(
         raise ValueError(f"bad_rows is one of {sorted(BAD_ROWS)}")
     reader = spark.read.option("header", header).option("sep", delimiter)
     reader = reader.option("mode", BAD_ROWS[bad_rows])
-    if bad_rows != "keep":
-        # With pruning only the selected cells are parsed, and bad rows would slip through.
-        reader = reader.option("columnPruning", False)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
+    df = reader.csv(path)
+    if bad_rows != "keep" or CORRUPT in df.columns:
+        # Cells nobody selects are not parsed and could hide a bad row; this selects them all.
+        df = df.select(F.inline(F.array(F.struct("*"))))
+    return df
 
 
 @dataclass(frozen=True)
