@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.operators.ranking import GROUP_ROWS, with_group_position
+from tableloom.operators.ranking import with_group_position
+from tableloom.operators.skew import HOT_ROWS
 
 
 def frequency(df: DataFrame, columns: Sequence[str], name: str = "n") -> DataFrame:
@@ -79,7 +80,7 @@ def in_batches(
     size: int,
     item: Column,
     unique: bool = False,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(key, batch_no, n, items): each key's rows in order, cut into lists of at most ``size``.
 
@@ -107,7 +108,7 @@ def collect_by_key(
     order: Sequence[str],
     size: int = 1_000,
     unique: bool = False,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows of each key as lists of text cells, ``size`` rows per list at most."""
     cells = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
-from tableloom.operators.skew import hot_keys, salt
-from tableloom.staging import new_path
+from tableloom.operators.skew import HOT_ROWS, hot_keys, spread
+from tableloom.staging import new_path, stage
 
 # Accepted join types and what Spark calls them.
 JOIN_TYPES = {
@@ -63,15 +63,6 @@ def _same(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:
     return condition
 
 
-def _unmatched(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[str]) -> DataFrame:
-    """Rows of ``df`` without a partner; of the other side only distinct keys travel."""
-    return df.join(other.select(*other_keys).distinct(), _same(keys, other_keys), "left_anti")
-
-
-def _nulls_like(df: DataFrame) -> list[Column]:
-    return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-
-
 def equi_join(
     left: DataFrame,
     right: DataFrame,
@@ -84,27 +75,20 @@ def equi_join(
     """Join two frames on equal keys and make the column names unique.
 
     Adaptive execution splits a hot key on both sides of an inner join, but never on the
-    optional side of an outer join. With ``skew_safe`` outer joins are therefore an inner
-    join plus the rows without a partner, and semi and anti joins meet distinct keys only.
-    Without it Spark's own join of that type runs: one pass, right when the optional side
-    has no hot key.
+    optional side of an outer join. With ``skew_safe`` the keys of that side are counted
+    first; hot ones are salted, and without any the join is Spark's own. Semi and anti joins
+    meet distinct keys only. Without ``skew_safe`` no keys are counted, which is right when
+    the optional side is known to have no hot key.
     """
     left_keys, right_keys, how = _checked(left, right, left_keys, right_keys, how)
+    if how in ("left_semi", "left_anti") and skew_safe:
+        right = right.select(*right_keys).distinct()
+    optional = {"left": ("right",), "right": ("left",), "full": ("left", "right")}
+    if how in optional and skew_safe and not (left.isStreaming or right.isStreaming):
+        return _salted(left, right, left_keys, right_keys, how, repair, optional[how], HOT_ROWS)
     l, lk = _side(left, "l", left_keys)
     r, rk = _side(right, "r", right_keys)
-    if how in ("left_semi", "left_anti"):
-        partners = r.select(*rk)
-        partners = partners.distinct() if skew_safe else partners
-        return l.join(partners, _same(lk, rk), how).toDF(*left.columns)
-    if how == "inner" or not skew_safe:
-        joined = l.join(r, _same(lk, rk), how)
-    else:
-        joined = l.join(r, _same(lk, rk), "inner")
-        if how in ("left", "full"):
-            joined = joined.unionAll(_unmatched(l, lk, r, rk).select("*", *_nulls_like(r)))
-        if how in ("right", "full"):
-            joined = joined.unionAll(_unmatched(r, rk, l, lk).select(*_nulls_like(l), "*"))
-    return joined.toDF(*unique_names(left.columns + right.columns, repair))
+    return _named(l.join(r, _same(lk, rk), how), left, right, how, repair)
 
 
 def salted_join(
@@ -114,43 +98,87 @@ def salted_join(
     right_keys: str | Sequence[str],
     how: str = "inner",
     repair: str = "suffix",
-    salts: int = 16,
-    share: float = 0.01,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join whose left side has hot keys: those rows are spread over ``salts`` tasks.
+    """Equi-join that spreads every key with ``hot_rows`` rows or more, whatever the engine does.
 
-    Only the right rows of hot keys are repeated. Repeating right rows would break right
-    and full joins, so they are refused.
+    A hot key gets one salt per ``hot_rows`` rows. Its rows take one salt each, and the few
+    rows of the other side that meet it are repeated for all salts.
     """
     left_keys, right_keys, how = _checked(left, right, left_keys, right_keys, how)
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt a {how!r} join")
+    sides = ("left", "right")
+    if how in ("left_semi", "left_anti"):
+        # Distinct keys on the right cannot be hot.
+        right, sides = right.select(*right_keys).distinct(), ("left",)
+    return _salted(left, right, left_keys, right_keys, how, repair, sides, hot_rows)
+
+
+def _named(joined: DataFrame, left: DataFrame, right: DataFrame, how: str, repair: str) -> DataFrame:
+    if how in ("left_semi", "left_anti"):
+        return joined.toDF(*left.columns)
+    return joined.toDF(*unique_names(left.columns + right.columns, repair))
+
+
+def _salted(left, right, left_keys, right_keys, how, repair, sides, hot_rows) -> DataFrame:
     l, lk = _side(left, "l", left_keys)
     r, rk = _side(right, "r", right_keys)
     marks = [f"__h{i}" for i in range(len(lk))]
-    # At most 1 / share rows, so it always fits.
-    hot = F.broadcast(
-        hot_keys(l, lk, share).select(*[F.col(k).alias(m) for k, m in zip(lk, marks)], F.lit(True).alias("__hot"))
-    )
-    zero = F.lit(0).cast("long")
-    # Rows with a NULL key match nothing and may lie anywhere.
-    anywhere = F.coalesce("__hot", F.lit(False))
-    for key in lk:
-        anywhere = anywhere | F.col(key).isNull()
-    spread = (
-        l.withColumn("__any", salt(l, salts))
-        .join(hot, _same(lk, marks), "left")
-        .select(*l.columns, F.when(anywhere, F.col("__any")).otherwise(zero).alias("__lsalt"))
-    )
-    every = F.sequence(zero, F.lit(salts - 1).cast("long"))
-    repeated = r.join(hot, _same(rk, marks), "left").select(
-        *r.columns, F.explode(F.when(F.col("__hot"), every).otherwise(F.array(zero))).alias("__rsalt")
-    )
-    joined = spread.join(repeated, _same([*lk, "__lsalt"], [*rk, "__rsalt"]), how)
+    hot = _hot_table({"left": (l, lk), "right": (r, rk)}, sides, marks, hot_rows)
+    if hot.isEmpty():
+        return _named(l.join(r, _same(lk, rk), how), left, right, how, repair)
+    # At most MAX_HOT keys per side.
+    hot = F.broadcast(hot)
+    l2 = _placed(l, lk, hot, marks, "left", "right")
+    r2 = _placed(r, rk, hot, marks, "right", "left")
+    on = _same(lk, rk)
+    for side in ("left", "right"):
+        on = on & (F.col(f"__left_{side}") == F.col(f"__right_{side}"))
+    joined = l2.join(r2, on, how)
     if how in ("left_semi", "left_anti"):
-        return joined.select(*l.columns).toDF(*left.columns)
-    return joined.select(*l.columns, *r.columns).toDF(
-        *unique_names(left.columns + right.columns, repair)
+        return _named(joined.select(*l.columns), left, right, how, repair)
+    # A copy of a row may find no partner under its salt. Its key is known to have one, so
+    # such a copy is no result; rows whose key is not hot on the other side have one copy.
+    if how in ("left", "full"):
+        joined = joined.where(~(F.col("__right_sure").isNull() & F.col("__left_sure")))
+    if how in ("right", "full"):
+        joined = joined.where(~(F.col("__left_sure").isNull() & F.col("__right_sure")))
+    return _named(joined.select(*l.columns, *r.columns), left, right, how, repair)
+
+
+def _hot_table(frames, sides, marks, hot_rows) -> DataFrame:
+    """Written once, so that both sides of the join see the same hot keys.
+
+    Per key: how many salts its rows take on each side, 0 where it is not hot. The NULL key
+    is in here too: it matches nothing, but it has to be noticed.
+    """
+    found = None
+    for side in sides:
+        df, keys = frames[side]
+        salts = F.ceil(F.col("rows") / hot_rows).cast("long")
+        hot = hot_keys(df, keys, hot_rows).select(
+            *[F.col(k).alias(m) for k, m in zip(keys, marks)],
+            *[(salts if side == s else F.lit(0).cast("long")).alias(f"__{s}_n") for s in frames],
+        )
+        found = hot if found is None else found.unionByName(hot)
+    if len(sides) > 1:
+        found = found.groupBy(*marks).agg(*[F.max(f"__{s}_n").alias(f"__{s}_n") for s in frames])
+    return stage(found, "hot")
+
+
+def _placed(df: DataFrame, keys, hot: DataFrame, marks, own: str, other: str) -> DataFrame:
+    """``df`` with its salt, repeated for every salt of the other side."""
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    marked = df.withColumn("__any", spread(df)).join(hot, _same(keys, marks), "left")
+    own_salts, copies = (F.greatest(F.coalesce(f"__{s}_n", F.lit(0)), F.lit(1)) for s in (own, other))
+    # Rows without a key match nothing, so they may lie anywhere.
+    salt = F.when(no_key, F.col("__any")).otherwise(F.pmod("__any", own_salts))
+    return marked.select(
+        *df.columns,
+        salt.alias(f"__{own}_{own}"),
+        (F.coalesce(f"__{other}_n", F.lit(0)) > 0).alias(f"__{own}_sure"),
+        F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias(f"__{own}_{other}"),
     )
 
 

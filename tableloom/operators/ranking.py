@@ -9,12 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tableloom.functions.collation import collation_key
-from tableloom.operators.skew import _has_map, largest_group
+from tableloom.operators.skew import HOT_ROWS, hashable, largest_group
 from tableloom.staging import stage
 
 _ROW, _PART = "__row", "__part"
-# A group of this many rows sorts inside one task.
-GROUP_ROWS = 1_000_000
 # Up to this row a slice is cut from the first rows of each task, without sorting the rest.
 SMALL_SLICE = 10_000
 # Spark cuts row_number() <= k before the shuffle up to this k (windowGroupLimitThreshold).
@@ -33,10 +31,8 @@ def _numbered(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame
     """
     ties: list[Column] = []
     if not unique:
-        hashable = [f"`{f.name}`" for f in df.schema.fields if not _has_map(f.dataType)]
-        df = df.withColumn("__tie1", F.xxhash64(*hashable)).withColumn(
-            "__tie2", F.spark_partition_id()
-        )
+        content = F.xxhash64(*hashable(df))
+        df = df.withColumns({"__tie1": content, "__tie2": F.spark_partition_id()})
         ties = [F.col("__tie1"), F.col("__tie2")]
     ranged = df.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties)
     # The id is (partition << 33) + row in partition; it is fixed once written.
@@ -71,7 +67,7 @@ def with_group_position(
     name: str = "position",
     first: Mapping[str, str] | None = None,
     unique: bool = False,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based place of each row within its key.
 
@@ -162,7 +158,7 @@ def custom_collation(df: DataFrame, column: str, order: str, then: Sequence[str]
 
 
 def fair_interleave(
-    df: DataFrame, tenant: str, arrival: Sequence[str], unique: bool = False, group_rows: int = GROUP_ROWS
+    df: DataFrame, tenant: str, arrival: Sequence[str], unique: bool = False, group_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``round`` and ``position``: one row per tenant and round, tenants by first arrival."""
     firsts = {f"__first_{c}": c for c in arrival}

@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def salt(df: DataFrame, buckets: int) -> Column:
-    """A salt in ``[0, buckets)`` that a retried task computes again.
+# A key with this many rows is hot; fewer rows are no burden for one task.
+HOT_ROWS = 1_000_000
+# Hot keys handled apart. The others stay in the normal plan, with the same result.
+MAX_HOT = 10_000
+
+
+def spread(df: DataFrame) -> Column:
+    """A number per row that scatters rows and that a retried task computes again.
 
     The partition number keeps exact copies of a row apart, and row order plays no part.
     """
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
-    return F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(buckets))
+    return F.xxhash64(*hashable(df)) + F.spark_partition_id()
+
+
+def salt(df: DataFrame, buckets: int) -> Column:
+    return F.pmod(spread(df), F.lit(buckets))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns Spark can hash: all but those with maps in them."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
 
 
 def _has_map(data_type: T.DataType) -> bool:
@@ -28,13 +42,13 @@ def _has_map(data_type: T.DataType) -> bool:
     return False
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: never more than ``1 / share`` of them."""
-    if not 0 < share <= 1:
-        raise ValueError("share must be in (0, 1]")
-    least = share * df.count()
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = MAX_HOT
+) -> DataFrame:
+    """Keys with at least ``hot_rows`` rows, and how many: the ``most`` largest of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.where(F.col("rows") >= F.lit(least)).where(F.col("rows") > 0)
+    # The keys break ties, so that the same ones are found again.
+    return counts.where(F.col("rows") >= hot_rows).orderBy(F.col("rows").desc(), *keys).limit(most)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -53,19 +53,28 @@ def test_join_types(sides, how, skew_safe):
     assert Counter(tuple(x) for x in got.collect()) == brute(left, right, how)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("share", [0.01, 0.2, 0.9])
-def test_salted_equals_plain(sides, how, share):
+@pytest.mark.parametrize("hot_rows", [1, 4, 1000])
+@pytest.mark.parametrize("how", HOWS)
+def test_salted_equals_plain(sides, how, hot_rows):
     left, right, l, r = sides
-    got = joins.salted_join(l, r, "k", "k", how, salts=4, share=share)
+    got = joins.salted_join(l, r, "k", "k", how, hot_rows=hot_rows)
     assert Counter(tuple(x) for x in got.collect()) == brute(left, right, how)
 
 
-def test_salting_refuses_right_and_full(sides):
-    _, _, l, r = sides
-    for how in ("right", "full"):
-        with pytest.raises(ValueError):
-            joins.salted_join(l, r, "k", "k", how)
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_joins_salt_hot_keys(sides, how, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    left, right, l, r = sides
+    assert Counter(tuple(x) for x in joins.equi_join(l, r, "k", "k", how).collect()) == brute(left, right, how)
+
+
+def test_only_the_largest_hot_keys_are_salted(sides, monkeypatch):
+    from tableloom.operators import skew
+
+    monkeypatch.setattr(joins, "hot_keys", lambda df, keys, rows: skew.hot_keys(df, keys, rows, 2))
+    left, right, l, r = sides
+    got = joins.salted_join(l, r, "k", "k", "full", hot_rows=1)
+    assert Counter(tuple(x) for x in got.collect()) == brute(left, right, "full")
 
 
 def test_salting_spreads_copies_of_one_row(spark):
@@ -169,13 +178,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "o_orderpriority" not in text and "c_mktsegment" not in text
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "full"])
-def test_adaptive_execution_splits_a_hot_optional_side(spark, how):
+@pytest.mark.parametrize("how", ["left", "full"])
+@pytest.mark.parametrize("key", [7, None])
+def test_a_hot_optional_side_fills_many_partitions(spark, monkeypatch, how, key):
+    monkeypatch.setattr(joins, "HOT_ROWS", 1_000)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.shuffle.partitions": "16",
     }
@@ -183,13 +192,18 @@ def test_adaptive_execution_splits_a_hot_optional_side(spark, how):
         spark.conf.set(name, value)
     try:
         left = spark.range(400, numPartitions=4).select(F.col("id").alias("k"))
-        hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500)
-        right = spark.range(60_000, numPartitions=12).select(hot.alias("j"), F.rand(1).alias("w"))
-        safe = joins.equi_join(left, right, "k", "j", how)
-        plain = joins.equi_join(left, right, "k", "j", how, skew_safe=False)
-        assert len(safe.collect()) == len(plain.collect())
-        assert "skew=true" in plan(safe)
-        assert how == "inner" or "skew=true" not in plan(plain)
+        # A third of the rows has one key, and they are copies of each other.
+        hot = F.col("id") % 3 == 0
+        right = spark.range(60_000, numPartitions=12).select(
+            F.when(hot, F.lit(key).cast("long")).otherwise(F.col("id") % 500).alias("j"),
+            F.when(hot, 0).otherwise(F.col("id")).alias("w"),
+        )
+        sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        safe = sizes(joins.equi_join(left, right, "k", "j", how))
+        plain = sizes(joins.equi_join(left, right, "k", "j", how, skew_safe=False))
+        assert sum(safe) == sum(plain)
+        if key is not None or how == "full":
+            assert max(plain) > 20_000 and max(safe) < 9_000
     finally:
         for name in settings:
             spark.conf.unset(name)

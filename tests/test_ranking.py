@@ -159,7 +159,8 @@ def test_salted_aggregate_equals_plain(spark):
 
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert rows(skew.hot_keys(df, ["k"], 0.1)) == [(0, 400)]
+    assert rows(skew.hot_keys(df, ["k"], 100)) == [(0, 400)]
+    assert rows(skew.hot_keys(df, ["k"], 1, 3)) == [(0, 400), (400, 1), (401, 1)]
 
 
 def test_pairs(spark):
