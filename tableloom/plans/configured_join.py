@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,14 @@ class JoinConfig:
     join_type: str = "inner"
     repair: str = "suffix"
 
+    @classmethod
+    def from_options(cls, options: Mapping[str, Any]) -> "JoinConfig":
+        """From job options: unique_key_left, unique_key_right, join_type."""
+        missing = [k for k in ("unique_key_left", "unique_key_right", "join_type") if not options.get(k)]
+        if missing:
+            raise ValueError(f"missing join options: {missing}")
+        return cls(options["unique_key_left"], options["unique_key_right"], options["join_type"])
+
 
 @dataclass(frozen=True)
 class Topic:

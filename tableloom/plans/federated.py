@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tableloom.functions.decode import decode_positional, split_rejects
 from tableloom.functions.schema import import_schema
 from tableloom.operators.joins import dedupe_columns
+from tableloom.sinks.files import FileTarget, guard, write_files
+from tableloom.sinks.report import RunReport, write_with_report
 from tableloom.sources.catalog import read_table
 from tableloom.sources.files import read_csv, read_parquet
 from tableloom.sources.jdbc import JdbcSource, read_jdbc
@@ -83,3 +85,13 @@ def federated_sql(
     spark: SparkSession, left: Source, right: Source, query: str, repair: str = "suffix"
 ) -> DataFrame:
     return sql_join(read_source(spark, left), read_source(spark, right), query, repair)
+
+
+def run_sql(
+    spark: SparkSession, left: Source, right: Source, query: str, target: FileTarget
+) -> RunReport:
+    """Check the target, run the query, write part files, report what was written."""
+    guard(spark, target)
+    return write_with_report(
+        federated_sql(spark, left, right, query), lambda df: write_files(df, target)
+    )

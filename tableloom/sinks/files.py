@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
@@ -32,6 +33,13 @@ class FileTarget:
     partition_by: Sequence[str] = field(default_factory=tuple)
     options: dict[str, str] = field(default_factory=dict)
 
+    @classmethod
+    def from_options(cls, options: Mapping[str, Any], **more: Any) -> "FileTarget":
+        """From job options: filePath, delimiter, overwrite; a missing or null one has its default."""
+        names = {"filePath": "path", "delimiter": "delimiter", "overwrite": "overwrite"}
+        given = {names[k]: v for k, v in options.items() if k in names and v is not None}
+        return cls(**{"path": "", **given, **more})
+
     def check(self) -> None:
         if not self.path:
             raise ValueError("the target path is empty")

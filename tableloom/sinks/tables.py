@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,22 @@ class TableTarget:
     codec: str | None = None
     field_delimiter: str = ","
 
+    @classmethod
+    def from_options(cls, options: Mapping[str, Any]) -> "TableTarget":
+        """From job options; empty text means the default."""
+        get = options.get
+        return cls(
+            name=get("table_name", ""),
+            format=get("format") or "parquet",
+            location=get("table_location") if get("external") else None,
+            partition_by=[get("partition_col")] if get("partition_col") else (),
+            overwrite=get("overwrite", True),
+            truncate=get("truncate", False),
+            drop=get("drop", False),
+            codec=get("compression") or None,
+            field_delimiter=get("field_delimiter") or ",",
+        )
+
     def check(self) -> None:
         if not _NAME.fullmatch(self.name or ""):
             raise ValueError(f"bad table name {self.name!r}")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,28 @@ class CsvJob:
     order_by: Sequence[str] = field(default_factory=tuple)
     max_read_lines: int = -1
 
+    @classmethod
+    def from_options(
+        cls, options: Mapping[str, Any], schema: T.StructType | str | None = None, order_by: Sequence[str] = ()
+    ) -> "CsvJob":
+        """From the options of a job file. A schema is only used with userProvidedSchema."""
+        if options.get("fileInZip"):
+            raise ValueError("a file inside a zip archive cannot be read in parallel: unpack it first")
+        return cls(
+            path=options["path"],
+            schema=schema if options.get("userProvidedSchema") else None,
+            delimiter=options.get("delimiter") or ",",
+            has_header=options.get("hasHeader", True),
+            ignore_and_continue=options.get("ignoreAndContinue", False),
+            columns_to_select=options.get("columnsToSelect") or (),
+            headers=options.get("headers") or (),
+            filter_expression=options.get("filterExpression") or "",
+            start_offset=options.get("startOffset", 0),
+            end_offset=options.get("endOffset", 0),
+            order_by=order_by,
+            max_read_lines=options.get("maxReadLines", -1),
+        )
+
 
 def read_csv_job(spark: SparkSession, job: CsvJob) -> DataFrame:
     bad_rows = "drop" if job.ignore_and_continue else "fail"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableloom.plans.configured_join import JoinConfig, run_join
-from tableloom.plans.federated import Source, federated_sql, read_source
+from tableloom.plans.federated import Source, federated_sql, read_source, run_sql
 from tableloom.sinks import topics as topic_sink
 from tableloom.sinks.files import FileTarget, write_files, write_single_csv
 from tableloom.sinks.report import write_with_report
@@ -205,6 +205,29 @@ def test_sources_of_different_kinds(spark, people, tmp_path):
     assert got.columns == ["id_1", "name_1", "n_1", "id", "name", "n"] and got.count() == 2
     with pytest.raises(ValueError):
         read_source(spark, Source("ftp", "x"))
+    target = FileTarget(str(tmp_path / "o"), "orc")
+    query = "SELECT l.id, r.name FROM left l JOIN right r ON l.id = r.id"
+    report = run_sql(spark, Source("csv", csv, people.schema), Source("parquet", parquet), query, target)
+    assert report.written == 4 and spark.read.orc(target.path).count() == 4
+
+
+def test_job_options():
+    target = FileTarget.from_options({"filePath": "p", "delimiter": None, "other": 1})
+    assert (target.path, target.delimiter, target.overwrite) == ("p", ",", True)
+    assert FileTarget.from_options({"filePath": "p", "overwrite": False}).overwrite is False
+    with pytest.raises(ValueError):
+        FileTarget.from_options({"filePath": None}).check()
+    table = TableTarget.from_options(
+        {"table_name": "t", "table_location": "/x", "external": True, "format": "", "partition_col": "", "compression": ""}
+    )
+    assert table == TableTarget("t", location="/x")
+    job = CsvJob.from_options({"path": "p", "maxReadLines": 5, "columnsToSelect": ["a"], "headers": ["A"], "filterExpression": ""}, "a int")
+    assert job == CsvJob("p", columns_to_select=["a"], headers=["A"], max_read_lines=5)
+    with pytest.raises(ValueError):
+        CsvJob.from_options({"path": "p", "fileInZip": "x.csv"})
+    assert JoinConfig.from_options({"unique_key_left": "a", "unique_key_right": "b", "join_type": "left"}).join_type == "left"
+    with pytest.raises(ValueError):
+        JoinConfig.from_options({"unique_key_left": "a"})
 
 
 def test_join_run_writes_and_reports(spark, people, tmp_path):

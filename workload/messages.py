@@ -24,7 +24,6 @@ from tableloom.streaming.drain import drain, file_stream
 from tableloom.streaming.publish import copy_files, encode_stream, running_result
 from workload.registry import query, table
 
-_NATION = "n_nationkey int, n_name string, n_regionkey int"
 _PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
 
@@ -47,9 +46,9 @@ def _message_stream(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame,
 # ---- CSV
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
-    return read_csv(spark, _csv(table(spark, sf, "nation"), "nation"))
+    return read_csv(spark, _csv(table(spark, sf, "customer"), "customer"))
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -219,10 +218,10 @@ def bounded_drain(spark: SparkSession, sf: str) -> DataFrame:
     return good
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def csv_directory_stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = _csv(table(spark, sf, "nation"), "nation")
-    return drain(file_stream(spark, path, _NATION, "csv", header="true"))
+    path = _csv(table(spark, sf, "part"), "part")
+    return drain(file_stream(spark, path, _PART, "csv", header="true"))
 
 
 @query("SELECT count(event_id) AS n FROM events")
