@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.operators.aggregates import frequency
+from tableloom.operators.joins import equi_join
 from tableloom.operators.ranking import with_position
 
 OTHER = "OTHER"
@@ -98,18 +99,18 @@ def category_codes(
     """Add 0-based codes in sorted order of the values; NULL is -1.
 
     Up to ``local_labels`` values are numbered in one task and broadcast. More are numbered
-    by a distributed sort and joined by key; a hot value sits on the left of that join,
-    where adaptive execution splits it.
+    by a distributed sort and joined by key, hot values salted.
     """
     for column in columns:
         values = df.select(F.col(f"`{column}`").alias("__v")).where("__v is not null").distinct()
-        if values.count() <= local_labels:
+        few = values.count() <= local_labels
+        if few:
             place = F.row_number().over(W.orderBy("__v")).cast("long")
             codes = F.broadcast(values.withColumn("__p", place))
         else:
             codes = with_position(values, ["__v"], "__p", unique=True)
         code = F.coalesce(F.col("__p") - 1, F.lit(-1)).alias(column + suffix)
-        df = df.join(codes, F.col(f"`{column}`") == F.col("__v"), "left").select(
-            *[f"`{c}`" for c in df.columns], code
-        )
+        # A broadcast needs no care for hot values, and on the right each value occurs once.
+        joined = equi_join(df, codes, column, "__v", "left", skew_safe=() if few else ("left",))
+        df = joined.select(*[f"`{c}`" for c in df.columns], code)
     return df

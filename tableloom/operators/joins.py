@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
 from tableloom.operators.skew import HOT_ROWS, hot_keys, spread
-from tableloom.staging import new_path, stage
+from tableloom.staging import stage_unless_empty
 
 # Accepted join types and what Spark calls them.
 JOIN_TYPES = {
@@ -70,62 +70,41 @@ def equi_join(
     right_keys: str | Sequence[str],
     how: str = "inner",
     repair: str = "suffix",
-    skew_safe: bool = True,
+    skew_safe: bool | Sequence[str] = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join two frames on equal keys and make the column names unique.
 
-    Adaptive execution splits a hot key on both sides of an inner join, but never on the
-    optional side of an outer join. With ``skew_safe`` the keys of that side are counted
-    first; hot ones are salted, and without any the join is Spark's own. Semi and anti joins
-    meet distinct keys only. Without ``skew_safe`` no keys are counted, which is right when
-    the optional side is known to have no hot key.
+    Adaptive execution splits a hot key only on some sides, for some join types and plan
+    shapes. So the keys are counted first, and only the counts are shuffled. Without a key of
+    ``hot_rows`` rows or more the join is Spark's own. Otherwise a hot key gets one salt per
+    ``hot_rows`` rows: its rows take one salt each, and the rows of the other side that meet
+    it are repeated for all salts. Semi and anti joins meet distinct keys only.
+
+    ``skew_safe`` may name the sides to count, ``("left",)`` when the right keys are unique,
+    or be False when neither side can have a hot key.
     """
     left_keys, right_keys, how = _checked(left, right, left_keys, right_keys, how)
-    if how in ("left_semi", "left_anti") and skew_safe:
-        right = right.select(*right_keys).distinct()
-    optional = {"left": ("right",), "right": ("left",), "full": ("left", "right")}
-    if how in optional and skew_safe and not (left.isStreaming or right.isStreaming):
-        return _salted(left, right, left_keys, right_keys, how, repair, optional[how], HOT_ROWS)
+    sides = ("left", "right") if skew_safe is True else tuple(skew_safe or ())
+    if how in ("left_semi", "left_anti") and sides:
+        right, sides = right.select(*right_keys).distinct(), ("left",)
     l, lk = _side(left, "l", left_keys)
     r, rk = _side(right, "r", right_keys)
+    if sides and not (left.isStreaming or right.isStreaming):
+        marks = [f"__h{i}" for i in range(len(lk))]
+        hot = _hot_table({"left": (l, lk), "right": (r, rk)}, sides, marks, hot_rows)
+        if hot is not None:
+            return _named(_salted(l, lk, r, rk, how, hot, marks), left, right, how, repair)
     return _named(l.join(r, _same(lk, rk), how), left, right, how, repair)
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    left_keys: str | Sequence[str],
-    right_keys: str | Sequence[str],
-    how: str = "inner",
-    repair: str = "suffix",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi-join that spreads every key with ``hot_rows`` rows or more, whatever the engine does.
-
-    A hot key gets one salt per ``hot_rows`` rows. Its rows take one salt each, and the few
-    rows of the other side that meet it are repeated for all salts.
-    """
-    left_keys, right_keys, how = _checked(left, right, left_keys, right_keys, how)
-    sides = ("left", "right")
-    if how in ("left_semi", "left_anti"):
-        # Distinct keys on the right cannot be hot.
-        right, sides = right.select(*right_keys).distinct(), ("left",)
-    return _salted(left, right, left_keys, right_keys, how, repair, sides, hot_rows)
-
-
 def _named(joined: DataFrame, left: DataFrame, right: DataFrame, how: str, repair: str) -> DataFrame:
     if how in ("left_semi", "left_anti"):
         return joined.toDF(*left.columns)
     return joined.toDF(*unique_names(left.columns + right.columns, repair))
 
 
-def _salted(left, right, left_keys, right_keys, how, repair, sides, hot_rows) -> DataFrame:
-    l, lk = _side(left, "l", left_keys)
-    r, rk = _side(right, "r", right_keys)
-    marks = [f"__h{i}" for i in range(len(lk))]
-    hot = _hot_table({"left": (l, lk), "right": (r, rk)}, sides, marks, hot_rows)
-    if hot.isEmpty():
-        return _named(l.join(r, _same(lk, rk), how), left, right, how, repair)
+def _salted(l, lk, r, rk, how, hot, marks) -> DataFrame:
     # At most MAX_HOT keys per side.
     hot = F.broadcast(hot)
     l2 = _placed(l, lk, hot, marks, "left", "right")
@@ -135,18 +114,18 @@ def _salted(left, right, left_keys, right_keys, how, repair, sides, hot_rows) ->
         on = on & (F.col(f"__left_{side}") == F.col(f"__right_{side}"))
     joined = l2.join(r2, on, how)
     if how in ("left_semi", "left_anti"):
-        return _named(joined.select(*l.columns), left, right, how, repair)
+        return joined.select(*l.columns)
     # A copy of a row may find no partner under its salt. Its key is known to have one, so
     # such a copy is no result; rows whose key is not hot on the other side have one copy.
     if how in ("left", "full"):
         joined = joined.where(~(F.col("__right_sure").isNull() & F.col("__left_sure")))
     if how in ("right", "full"):
         joined = joined.where(~(F.col("__left_sure").isNull() & F.col("__right_sure")))
-    return _named(joined.select(*l.columns, *r.columns), left, right, how, repair)
+    return joined.select(*l.columns, *r.columns)
 
 
-def _hot_table(frames, sides, marks, hot_rows) -> DataFrame:
-    """Written once, so that both sides of the join see the same hot keys.
+def _hot_table(frames, sides, marks, hot_rows) -> DataFrame | None:
+    """The hot keys, if any, written once, so that both sides of the join see the same hot keys.
 
     Per key: how many salts its rows take on each side, 0 where it is not hot. The NULL key
     is in here too: it matches nothing, but it has to be noticed.
@@ -162,7 +141,7 @@ def _hot_table(frames, sides, marks, hot_rows) -> DataFrame:
         found = hot if found is None else found.unionByName(hot)
     if len(sides) > 1:
         found = found.groupBy(*marks).agg(*[F.max(f"__{s}_n").alias(f"__{s}_n") for s in frames])
-    return stage(found, "hot")
+    return stage_unless_empty(found, "hot")
 
 
 def _placed(df: DataFrame, keys, hot: DataFrame, marks, own: str, other: str) -> DataFrame:
@@ -255,21 +234,3 @@ def is_small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
         return False
     width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
     return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
-
-
-def write_bucketed(
-    df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None
-) -> DataFrame:
-    """Save a bucketed, sorted table. Two tables bucketed alike join without a shuffle."""
-    path = path or new_path(df.sparkSession, table)
-    # Rows of one bucket come together first: one file per bucket instead of one per task.
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .option("path", path)
-        .saveAsTable(table)
-    )
-    return df.sparkSession.table(table)
-
-

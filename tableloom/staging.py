@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
@@ -47,3 +48,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_unless_empty(df: DataFrame, label: str = "stage") -> DataFrame | None:
+    """Like ``stage``, but None when nothing was written; the write itself counts."""
+    observation = Observation()
+    staged = stage(df.observe(observation, F.count(F.lit(1)).alias("rows")), label)
+    return staged if observation.get["rows"] else None

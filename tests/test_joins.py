@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tableloom.operators import joins
+from tableloom.operators import bucketed, joins
 from tableloom.plans.federated import sql_join
 from tableloom.staging import new_path
 
@@ -57,15 +57,16 @@ def test_join_types(sides, how, skew_safe):
 @pytest.mark.parametrize("how", HOWS)
 def test_salted_equals_plain(sides, how, hot_rows):
     left, right, l, r = sides
-    got = joins.salted_join(l, r, "k", "k", how, hot_rows=hot_rows)
+    got = joins.equi_join(l, r, "k", "k", how, hot_rows=hot_rows)
     assert Counter(tuple(x) for x in got.collect()) == brute(left, right, how)
 
 
-@pytest.mark.parametrize("how", ["left", "right", "full"])
-def test_outer_joins_salt_hot_keys(sides, how, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+@pytest.mark.parametrize("counted", [["left"], ["right"], []])
+@pytest.mark.parametrize("how", HOWS)
+def test_counting_some_sides_only(sides, counted, how):
     left, right, l, r = sides
-    assert Counter(tuple(x) for x in joins.equi_join(l, r, "k", "k", how).collect()) == brute(left, right, how)
+    got = joins.equi_join(l, r, "k", "k", how, skew_safe=counted, hot_rows=3)
+    assert Counter(tuple(x) for x in got.collect()) == brute(left, right, how)
 
 
 def test_only_the_largest_hot_keys_are_salted(sides, monkeypatch):
@@ -73,7 +74,7 @@ def test_only_the_largest_hot_keys_are_salted(sides, monkeypatch):
 
     monkeypatch.setattr(joins, "hot_keys", lambda df, keys, rows: skew.hot_keys(df, keys, rows, 2))
     left, right, l, r = sides
-    got = joins.salted_join(l, r, "k", "k", "full", hot_rows=1)
+    got = joins.equi_join(l, r, "k", "k", "full", hot_rows=1)
     assert Counter(tuple(x) for x in got.collect()) == brute(left, right, "full")
 
 
@@ -130,17 +131,29 @@ def plan(df) -> str:
 def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    left = joins.write_bucketed(lines, "bucketed_lines", ["l_orderkey"], 4)
-    right = joins.write_bucketed(orders, "bucketed_orders", ["o_orderkey"], 4)
+    left = bucketed.write_bucketed(lines, "bucketed_lines", ["l_orderkey"], 4)
+    right = bucketed.write_bucketed(orders, "bucketed_orders", ["o_orderkey"], 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        both = left.join(right, F.col("l_orderkey") == F.col("o_orderkey"))
+        both = bucketed.bucketed_join(left, right)
         assert "SortMergeJoin" in plan(both) and "Exchange" not in plan(both)
         assert both.count() == lines.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("hot_left,hot_right", [(5, 1000), (1000, 5), (5, 5), (1, 1)])
+def test_bucketed_join_with_hot_keys(sides, hot_left, hot_right):
+    left, right, l, r = sides
+    mark = f"{hot_left}_{hot_right}"
+    a = bucketed.write_bucketed(l, f"hot_left_{mark}", ["k"], 3, hot_rows=hot_left)
+    b = bucketed.write_bucketed(r, f"hot_right_{mark}", ["k"], 3, hot_rows=hot_right)
+    got = bucketed.bucketed_join(a, b)
+    assert got.columns == ["k_1", "v", "k", "w"]
+    assert Counter(tuple(x) for x in got.collect()) == brute(left, right, "inner")
+    assert Counter(tuple(x) for x in a.whole().collect()) == Counter(left)
+
+
 def test_mapped_join(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     right = spark.createDataFrame([(2, "p"), (2, "q"), (3, "r")], "key int, y string")
@@ -178,10 +191,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "o_orderpriority" not in text and "c_mktsegment" not in text
 
 
-@pytest.mark.parametrize("how", ["left", "full"])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
 @pytest.mark.parametrize("key", [7, None])
-def test_a_hot_optional_side_fills_many_partitions(spark, monkeypatch, how, key):
-    monkeypatch.setattr(joins, "HOT_ROWS", 1_000)
+def test_a_hot_optional_side_fills_many_partitions(spark, how, key):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -199,10 +211,10 @@ def test_a_hot_optional_side_fills_many_partitions(spark, monkeypatch, how, key)
             F.when(hot, 0).otherwise(F.col("id")).alias("w"),
         )
         sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
-        safe = sizes(joins.equi_join(left, right, "k", "j", how))
+        safe = sizes(joins.equi_join(left, right, "k", "j", how, hot_rows=1_000))
         plain = sizes(joins.equi_join(left, right, "k", "j", how, skew_safe=False))
         assert sum(safe) == sum(plain)
-        if key is not None or how == "full":
+        if key is not None or how in ("right", "full"):
             assert max(plain) > 20_000 and max(safe) < 9_000
     finally:
         for name in settings:

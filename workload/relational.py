@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.flatten import flatten_record
 from tableloom.functions.schema import apply_schema
-from tableloom.operators import aggregates, columns, combine, joins, ranking, skew
+from tableloom.operators import aggregates, bucketed, columns, combine, joins, ranking, skew
 from tableloom.plans.federated import sql_join as run_sql_join
 from workload.registry import query, table
 
@@ -66,7 +66,8 @@ def dedupe_columns_prefix(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     a = orders.select("o_orderkey", "o_orderstatus")
     b = orders.select("o_orderkey", "o_totalprice")
-    return joins.equi_join(a, b, "o_orderkey", "o_orderkey", repair="prefix")
+    # The key is unique on both sides.
+    return joins.equi_join(a, b, "o_orderkey", "o_orderkey", repair="prefix", skew_safe=False)
 
 
 @query(
@@ -78,7 +79,7 @@ def dedupe_columns_position(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     a = orders.select("o_orderstatus", "o_orderkey")
     b = orders.select("o_orderkey", "o_totalprice")
-    return joins.equi_join(a, b, "o_orderkey", "o_orderkey", repair="position")
+    return joins.equi_join(a, b, "o_orderkey", "o_orderkey", repair="position", skew_safe=False)
 
 
 @query(
@@ -317,7 +318,8 @@ def join_composite(spark: SparkSession, sf: str) -> DataFrame:
         lines.where("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("returns"))
     ).toDF("part", "supplier", "returns")
     kept = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    both = joins.equi_join(kept, returned, ["l_partkey", "l_suppkey"], ["part", "supplier"])
+    keys, others = ["l_partkey", "l_suppkey"], ["part", "supplier"]
+    both = joins.equi_join(kept, returned, keys, others, skew_safe=["left"])
     return both.drop("part", "supplier")
 
 
@@ -382,7 +384,7 @@ def join_broadcast(spark: SparkSession, sf: str) -> DataFrame:
 )
 def join_salted(spark: SparkSession, sf: str) -> DataFrame:
     events, customers = _event_sides(spark, sf)
-    return joins.salted_join(events, customers, "user_id", "c_custkey", hot_rows=HOT)
+    return joins.equi_join(events, customers, "user_id", "c_custkey", hot_rows=HOT)
 
 
 @query(
@@ -391,7 +393,7 @@ def join_salted(spark: SparkSession, sf: str) -> DataFrame:
 )
 def join_salted_full(spark: SparkSession, sf: str) -> DataFrame:
     events, customers = _event_sides(spark, sf)
-    return joins.salted_join(events, customers, "user_id", "c_custkey", "full", hot_rows=HOT)
+    return joins.equi_join(events, customers, "user_id", "c_custkey", "full", hot_rows=HOT)
 
 
 # Small enough that the test tables have hot keys at all.
@@ -412,9 +414,12 @@ def join_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     mark = uuid.uuid4().hex
     names = [f"bucketed_{side}_{mark}" for side in ("lines", "orders")]
-    left = joins.write_bucketed(lines, names[0], ["l_orderkey"], 8)
-    right = joins.write_bucketed(orders, names[1], ["o_orderkey"], 8)
-    both = left.join(right, F.col("l_orderkey") == F.col("o_orderkey"))
+    left = bucketed.write_bucketed(lines, names[0], ["l_orderkey"], 8)
+    right = bucketed.write_bucketed(orders, names[1], ["o_orderkey"], 8)
+    both = bucketed.bucketed_join(left, right)
+    # The plan knows the files by now, and they go with the work folder.
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
     return both.select("l_orderkey", "o_orderkey", "o_orderpriority", "l_linenumber", "l_quantity")
 
 
@@ -646,7 +651,8 @@ _BASKETS = "SELECT DISTINCT l_orderkey AS g, p_brand AS i FROM lineitem JOIN par
 def _baskets(spark: SparkSession, sf: str, size: int) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
-    branded = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+    branded = joins.equi_join(lines, parts, "l_partkey", "p_partkey", skew_safe=["left"])
+    branded = branded.select("l_orderkey", "p_brand")
     found = combine.item_combinations(branded, "l_orderkey", "p_brand", size, parts.select("p_brand"))
     return found.withColumn("items", F.array_join("items", "+"))
 
