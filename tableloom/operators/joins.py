@@ -76,8 +76,8 @@ def equi_join(
     """Join two frames on equal keys and make the column names unique.
 
     Adaptive execution splits a hot key only on some sides, for some join types and plan
-    shapes. So the keys are counted first, and only the counts are shuffled. Without a key of
-    ``hot_rows`` rows or more the join is Spark's own. Otherwise a hot key gets one salt per
+    shapes. So hot keys are looked for first (see ``hot_keys``). Without a key of ``hot_rows``
+    rows or more the join is Spark's own. Otherwise a hot key gets one salt per
     ``hot_rows`` rows: its rows take one salt each, and the rows of the other side that meet
     it are repeated for all salts. Semi and anti joins meet distinct keys only.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tableloom.functions.collation import collation_key
-from tableloom.operators.skew import HOT_ROWS, hashable, largest_group
+from tableloom.operators.skew import HOT_ROWS, has_hot_key, hashable
 from tableloom.staging import stage
 
 _ROW, _PART = "__row", "__part"
@@ -78,7 +78,7 @@ def with_group_position(
     """
     first = dict(first or {})
     ordering = [_as_column(o) for o in order]
-    if largest_group(df, keys) <= group_rows:
+    if not has_hot_key(df, keys, group_rows + 1):
         window = W.partitionBy(*keys).orderBy(*ordering)
         return df.select(
             *[f"`{c}`" for c in df.columns],

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000
 # Hot keys handled apart. The others stay in the normal plan, with the same result.
 MAX_HOT = 10_000
+# How often a hot key is expected in the sample that looks for it.
+EXPECTED = 1_000
 
 
 def spread(df: DataFrame) -> Column:
@@ -45,16 +47,35 @@ def _has_map(data_type: T.DataType) -> bool:
 def hot_keys(
     df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = MAX_HOT
 ) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, and how many: the ``most`` largest of them."""
+    """Keys with at least ``hot_rows`` rows, and how many: the ``most`` largest of them.
+
+    A thin sample names candidates, so that the counts of all keys need not be shuffled; the
+    candidates are then counted in full. Only the route of a key depends on this, never
+    whether its rows are in a result.
+    """
+    narrow = df.select(*keys)
+    rate = min(1.0, EXPECTED / hot_rows)
+    if rate < 1.0:
+        # A hot key is expected EXPECTED times; half as often is some 15 deviations away.
+        seen = _counts(narrow.sample(rate, seed=7), keys, EXPECTED // 2, most)
+        names = [f"__c{i}" for i in range(len(keys))]
+        seen = seen.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        same = F.lit(True)
+        for key, name in zip(keys, names):
+            same = same & F.col(key).eqNullSafe(F.col(name))
+        # At most ``most`` keys. Adaptive execution skips this scan when there are none.
+        narrow = narrow.join(F.broadcast(seen), same, "left_semi")
+    return _counts(narrow, keys, hot_rows, most)
+
+
+def _counts(df: DataFrame, keys: Sequence[str], least: int, most: int) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     # The keys break ties, so that the same ones are found again.
-    return counts.where(F.col("rows") >= hot_rows).orderBy(F.col("rows").desc(), *keys).limit(most)
+    return counts.where(F.col("rows") >= least).orderBy(F.col("rows").desc(), *keys).limit(most)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; only per-key counts are shuffled."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.agg(F.max("rows")).first()[0] or 0
+def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    return not hot_keys(df, keys, hot_rows, 1).isEmpty()
 
 
 def salted_aggregate(

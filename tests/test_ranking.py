@@ -157,6 +157,18 @@ def test_salted_aggregate_equals_plain(spark):
         skew.salted_aggregate(df, ["k"], {"x": ("median", "v")})
 
 
+def test_a_sample_finds_hot_keys_and_counts_are_exact(spark):
+    df = spark.range(90_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 5 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.lit("x").alias("x"),
+    )
+    # 30 000 NULLs and 12 000 zeros; the sample rate is 1 in 10.
+    assert sorted(rows(skew.hot_keys(df, ["k", "x"], 10_000)), key=str) == [(0, "x", 12_000), (None, "x", 30_000)]
+    assert rows(skew.hot_keys(df, ["k"], 10_000, 1)) == [(None, 30_000)]
+    assert skew.has_hot_key(df, ["k"], 30_000) and not skew.has_hot_key(df, ["k"], 30_001)
+    assert not skew.has_hot_key(spark.range(50_000), ["id"])
+
+
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
     assert rows(skew.hot_keys(df, ["k"], 100)) == [(0, 400)]
