@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
 from tableloom.operators.joins import equi_join
-from tableloom.operators.skew import HOT_ROWS, hot_keys
+from tableloom.operators.skew import HOT_ROWS, hot_keys, may_be_hot
 from tableloom.staging import new_path, stage, stage_unless_empty
 
 
@@ -43,8 +43,9 @@ def write_bucketed(
     """
     spark = df.sparkSession
     path = path or new_path(spark, table)
-    hot = stage_unless_empty(hot_keys(df, keys, hot_rows).select(*keys), "hot")
-    aside = None
+    hot = aside = None
+    if may_be_hot([(df, keys)], hot_rows):
+        hot = stage_unless_empty(hot_keys(df, keys, hot_rows).select(*keys), "hot")
     if hot is not None:
         aside = stage(_keep(df, keys, hot, keys, "left_semi"), "aside")
         df = _keep(df, keys, hot, keys, "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
-from tableloom.operators.skew import HOT_ROWS, hot_keys, spread
+from tableloom.operators.skew import HOT_ROWS, hot_keys, may_be_hot, spread
 from tableloom.staging import stage_unless_empty
 
 # Accepted join types and what Spark calls them.
@@ -130,6 +130,8 @@ def _hot_table(frames, sides, marks, hot_rows) -> DataFrame | None:
     Per key: how many salts its rows take on each side, 0 where it is not hot. The NULL key
     is in here too: it matches nothing, but it has to be noticed.
     """
+    if not may_be_hot([frames[side] for side in sides], hot_rows):
+        return None
     found = None
     for side in sides:
         df, keys = frames[side]

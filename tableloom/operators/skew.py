@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,8 +75,21 @@ def _counts(df: DataFrame, keys: Sequence[str], least: int, most: int) -> DataFr
     return counts.where(F.col("rows") >= least).orderBy(F.col("rows").desc(), *keys).limit(most)
 
 
+def may_be_hot(sides: Sequence[tuple[DataFrame, Sequence[str]]], hot_rows: int) -> bool:
+    """Whether the sample names a candidate on any side: one small job, and mostly the last."""
+    rate = min(1.0, EXPECTED / hot_rows)
+    if rate == 1.0:
+        return True
+    often = F.col("rows") >= EXPECTED // 2
+    found = [
+        df.select(*keys).sample(rate, seed=7).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(often)
+        for df, keys in sides
+    ]
+    return not reduce(DataFrame.unionAll, [f.select("rows") for f in found]).isEmpty()
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    return not hot_keys(df, keys, hot_rows, 1).isEmpty()
+    return may_be_hot([(df, keys)], hot_rows) and not hot_keys(df, keys, hot_rows, 1).isEmpty()
 
 
 def salted_aggregate(
