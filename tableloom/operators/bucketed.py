@@ -6,13 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
 from tableloom.operators.joins import equi_join
 from tableloom.operators.skew import HOT_ROWS, hot_keys, may_be_hot
-from tableloom.staging import new_path, stage, stage_unless_empty
+from tableloom.staging import new_path, path_exists
+
+
+# Written next to the table: the hot keys and their rows.
+HOT, ASIDE = "_hot_keys", "_hot_rows"
 
 
 @dataclass(frozen=True)
@@ -42,12 +46,11 @@ def write_bucketed(
     rows or more, NULL included, stay out.
     """
     spark = df.sparkSession
-    path = path or new_path(spark, table)
-    hot = aside = None
+    path = (path or new_path(spark, table)).rstrip("/")
     if may_be_hot([(df, keys)], hot_rows):
-        hot = stage_unless_empty(hot_keys(df, keys, hot_rows).select(*keys), "hot")
-    if hot is not None:
-        aside = stage(_keep(df, keys, hot, keys, "left_semi"), "aside")
+        hot_keys(df, keys, hot_rows).select(*keys).write.parquet(path + HOT)
+        hot = spark.read.schema(df.select(*keys).schema).parquet(path + HOT)
+        _keep(df, keys, hot, keys, "left_semi").write.parquet(path + ASIDE)
         df = _keep(df, keys, hot, keys, "left_anti")
     # Rows of one bucket come together first: one file per bucket instead of one per task.
     (
@@ -57,7 +60,17 @@ def write_bucketed(
         .option("path", path)
         .saveAsTable(table)
     )
-    return BucketedTable(spark.table(table), tuple(keys), hot, aside)
+    return open_bucketed(spark, table, keys, path)
+
+
+def open_bucketed(spark: SparkSession, table: str, keys: Sequence[str], path: str) -> BucketedTable:
+    """A table written before, with the files beside it."""
+    rows = spark.table(table)
+    hot = aside = None
+    if path_exists(spark, path + HOT):
+        hot = spark.read.schema(rows.select(*keys).schema).parquet(path + HOT)
+        aside = spark.read.schema(rows.schema).parquet(path + ASIDE)
+    return BucketedTable(rows, tuple(keys), hot, aside)
 
 
 def bucketed_join(left: BucketedTable, right: BucketedTable, repair: str = "suffix") -> DataFrame:

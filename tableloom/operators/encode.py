@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.operators.aggregates import frequency
-from tableloom.operators.joins import equi_join
+from tableloom.operators.joins import equi_join, is_small
 from tableloom.operators.ranking import with_position
 
 OTHER = "OTHER"
@@ -103,7 +103,7 @@ def category_codes(
     """
     for column in columns:
         values = df.select(F.col(f"`{column}`").alias("__v")).where("__v is not null").distinct()
-        few = values.count() <= local_labels
+        few = is_small(values, local_labels, 64 << 20)
         if few:
             place = F.row_number().over(W.orderBy("__v")).cast("long")
             codes = F.broadcast(values.withColumn("__p", place))

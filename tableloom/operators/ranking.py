@@ -129,8 +129,16 @@ def row_slice(
 
 
 def top_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows in order; each task keeps only its own first ``n``."""
-    return df.orderBy(*[_as_column(o) for o in order]).limit(n)
+    """The first ``n`` rows in order.
+
+    Up to ``SMALL_SLICE`` rows each task keeps its own first ``n`` and one task merges them.
+    More rows are cut by position and sorted in parallel.
+    """
+    ordering = [_as_column(o) for o in order]
+    if n <= SMALL_SLICE:
+        return df.orderBy(*ordering).limit(n)
+    placed = with_position(df, ordering, "__place").where(F.col("__place") <= n)
+    return placed.orderBy("__place").drop("__place")
 
 
 def top_k_sum(

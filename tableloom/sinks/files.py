@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
+from tableloom.staging import path_exists
+
 # Codecs each format can be written with.
 CODECS = {
     "csv": ("none", "uncompressed", "bzip2", "deflate", "gzip", "lz4", "snappy"),
@@ -51,11 +53,6 @@ class FileTarget:
             raise ValueError("the delimiter is empty")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def guard(spark: SparkSession, target: FileTarget) -> None:
     """Refuse a bad or taken target before any data is read."""
     target.check()

@@ -154,6 +154,18 @@ def test_bucketed_join_with_hot_keys(sides, hot_left, hot_right):
     assert Counter(tuple(x) for x in a.whole().collect()) == Counter(left)
 
 
+def test_bucketed_table_is_opened_again(spark, sides, tmp_path):
+    left, right, l, r = sides
+    paths = [str(tmp_path / "l"), str(tmp_path / "r")]
+    bucketed.write_bucketed(l, "again_l", ["k"], 3, paths[0] + "/", hot_rows=5)
+    bucketed.write_bucketed(r, "again_r", ["k"], 3, paths[1], hot_rows=1000)
+    a = bucketed.open_bucketed(spark, "again_l", ["k"], paths[0])
+    b = bucketed.open_bucketed(spark, "again_r", ["k"], paths[1])
+    assert a.aside is not None
+    got = bucketed.bucketed_join(a, b)
+    assert Counter(tuple(x) for x in got.collect()) == brute(left, right, "inner")
+
+
 def test_mapped_join(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     right = spark.createDataFrame([(2, "p"), (2, "q"), (3, "r")], "key int, y string")

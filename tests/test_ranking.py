@@ -84,6 +84,15 @@ def test_slices(spark, monkeypatch, small):
         ranking.row_slice(df, ["v"], 5, 4)
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_top_n(spark, monkeypatch, small):
+    monkeypatch.setattr(ranking, "SMALL_SLICE", small)
+    df = spark.range(200, numPartitions=3).select((F.col("id") * 7 % 50).alias("v"), "id")
+    top = ranking.top_n(df, [F.col("v").desc(), "id"], 30)
+    expected = sorted(((i * 7 % 50, i) for i in range(200)), key=lambda r: (-r[0], r[1]))[:30]
+    assert rows(top) == expected
+
+
 def test_slots_sorted_by_last_column_first(spark):
     slots = [(1, 1, 30, 0), (2, 12, 70, 2), (3, 13, 10, 0), (4, 13, 20, 0), (5, 1, 30, 0), (6, 1, 30, 2), (7, 1, 30, 0)]
     df = spark.createDataFrame(slots, "id int, a int, b int, c int")
