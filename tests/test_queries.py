@@ -13,9 +13,16 @@ def connection(sf_dir):
     return connect(sf_dir)
 
 
+# A plan has none of these: products of two sides, and rows going through Python.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas", "InArrow")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, connection, name):
     df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if name != "row_function":
+        assert [word for word in UNWANTED if word in plan] == []
     if name in SQL:
         assert compare(df, connection, SQL[name]) == []
     assert not df.isEmpty()
