@@ -210,7 +210,10 @@ def keyed_batches(spark: SparkSession, sf: str) -> DataFrame:
 # ---- streams
 
 
-@query("SELECT event_id AS EVENT_ID, ts AS TS, user_id AS USER_ID, event_type AS EVENT_TYPE, value AS VALUE, props AS PROPS FROM events")
+@query(
+    """SELECT event_id AS EVENT_ID, ts AS TS, user_id AS USER_ID, event_type AS EVENT_TYPE,
+              value AS VALUE, props AS PROPS FROM events"""
+)
 def bounded_drain(spark: SparkSession, sf: str) -> DataFrame:
     stream, descriptor = _message_stream(spark, sf, "events")
     specs = import_schema(descriptor)

@@ -33,7 +33,10 @@ def normalise_names(spark: SparkSession, sf: str) -> DataFrame:
     return columns.normalise_names(spaced, upper=True)
 
 
-@query("SELECT s_suppkey AS supplier_id, s_name AS supplier_name, s_nationkey AS nation_id, s_acctbal AS balance FROM supplier")
+@query(
+    """SELECT s_suppkey AS supplier_id, s_name AS supplier_name, s_nationkey AS nation_id,
+              s_acctbal AS balance FROM supplier"""
+)
 def positional_rename(spark: SparkSession, sf: str) -> DataFrame:
     names = ["supplier_id", "supplier_name", "nation_id", "balance"]
     return columns.rename_all(table(spark, sf, "supplier"), names)
