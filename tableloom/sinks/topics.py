@@ -14,9 +14,9 @@ from tableloom.operators.columns import encode_key_json
 from tableloom.sources.topics import KafkaTopic
 
 
-def publish_kafka(df: DataFrame, topic: KafkaTopic, key: str) -> None:
-    """One message per row, key as text and row as JSON, sent by all tasks at once."""
-    messages = encode_key_json(df, key)
+def publish_kafka(df: DataFrame, topic: KafkaTopic, key: str | None = None) -> None:
+    """One message per row, the row as JSON and the key as text, sent by all tasks at once."""
+    messages = encode_key_json(df, key) if key else to_messages(df)
     messages.write.format("kafka").options(**topic.sink_options()).save()
 
 
