@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# Those of the optional subpackage have tests of their own.
+QUERIES, SQL = entry.QUERIES, entry.SQL
 
 
 @pytest.fixture(scope="module")
