@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableloom.llm import chat, mixing, pii, sharding
+from tableloom.llm import chat, mixing, pii, quality, sharding, simhash, topk
 from tableloom.llm.text import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,36 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+         scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+         FROM scores QUALIFY rank <= 10"""
+)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best candidates of every hundredth vector, by integer inner product."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
+
+
+@query()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances from the language references and verdict for every document."""
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query()
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words the mix takes of it; copies of a row are listed each."""
