@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableloom.llm import chat, mixing, pii, quality, sharding, simhash, topk
+from tableloom.llm import chat, mixing, packing, pii, quality, sharding, simhash, topk, wavelet
 from tableloom.llm.text import text_of
+from tableloom.llm.tokens import default_vocabulary
+from tableloom.staging import new_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +80,13 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2 048 tokens, one row per piece."""
+    pieces = stage(packing.token_pieces(table(spark, sf_dir, "documents"), default_vocabulary()), "pieces")
+    return packing.pack(pieces)
+
+
 @query(
     """WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
          scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
@@ -123,6 +132,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the written shards."""
+    path = new_path(spark, "tokens")
+    wavelet.write_tokens(table(spark, sf_dir, "documents"), path, default_vocabulary())
+    return wavelet.read_documents(wavelet.open_shards(spark, path)).withColumnRenamed("key", "doc_id")
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
 
