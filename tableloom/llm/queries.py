@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableloom.llm import chat, mixing, packing, pii, quality, sharding, simhash, topk, wavelet
+from tableloom.llm import chat, lm, mixing, packing, pii, quality, sharding, simhash, topk, wavelet
 from tableloom.llm.text import text_of
 from tableloom.llm.tokens import default_vocabulary
 from tableloom.staging import new_path, stage
@@ -158,6 +158,13 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every text; nine tenths of the documents train the model."""
+    scores, _ = lm.score(table(spark, sf_dir, "documents"))
+    return scores.withColumnRenamed("key", "doc_id")
+
+
 @query(
     f"""WITH cells AS (
            SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
