@@ -40,7 +40,7 @@ from tableloom.staging import stage
 END = " "  # no word has a space
 BLOCK_CHARS = 16 << 20
 SHARD_TOKENS = 3_000_000
-BACKOFF = 50.0  # M above
+BACKOFF = 20.0  # M above
 CODES = 255
 
 
@@ -153,11 +153,11 @@ class Shard(NamedTuple):
         first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
         words, starts = np.unique(first, return_index=True)
         place = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff([*starts, len(pairs)]))
-        order = np.sort(logs)
-        groups = np.array_split(order, min(CODES, len(order))) if len(order) else []
-        book = np.array([g.mean() for g in groups], np.float32)
-        tops = np.array([g[-1] for g in groups])
-        codes = np.searchsorted(tops, logs).astype(np.uint8)
+        # Even steps between the least and the greatest, each read back as the mean of its values.
+        least, most = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
+        codes = np.minimum((logs - least) * (CODES / max(most - least, 1e-9)), CODES - 1).astype(np.uint8)
+        book = np.bincount(codes, logs, minlength=CODES) / np.maximum(np.bincount(codes, minlength=CODES), 1)
+        book = book.astype(np.float32)
         return cls(
             EliasFano.build(words),
             EliasFano.build(np.append(starts, len(pairs))),
