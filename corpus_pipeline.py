@@ -4,29 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableloom.llm import mixing, pii
+from tableloom.llm import mixing, packing, pii, quality, simhash
+from tableloom.llm.tokens import default_vocabulary
 from tableloom.staging import stage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by marks."""
+    """Personal data gives way to marks."""
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
 
 
-STAGES = [("pii", personal_data), ("mixing", mix)]
-# Seeded choices and packing have no SQL form; tests/llm holds the rows against brute force.
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces placed in sequences."""
+    return packing.pack(stage(packing.token_pieces(docs, default_vocabulary()), "pieces"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_dedup),
+    ("personal data", personal_data),
+    ("mixing", mix),
+    ("packing", pack),
+]
+# Tokens have no SQL form; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

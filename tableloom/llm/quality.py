@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tableloom.llm.text import WORD
+from tableloom.llm.text import WORD, free_names
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -175,18 +176,32 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     return found
 
 
-_FEATURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "char_distance double, word_distance double, base_failed boolean, kept boolean"
-)
+_FEATURES = {
+    "n_words": "long",
+    "word_chars": "long",
+    "n_symbols": "long",
+    "n_dup_lines": "long",
+    "n_repeat_words": "long",
+    "char_distance": "double",
+    "word_distance": "double",
+    "base_failed": "boolean",
+    "kept": "boolean",
+}
+_TYPES = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
 
+def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the counts, both distances and the verdict.
 
-def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Columns of ``docs`` without its text, the counts, both distances and the verdict."""
+    A new column whose name is taken gets an underscore in front.
+    """
     known = references(docs, text, lang)
-    rest = [c for c in docs.columns if c != text]
+    rest = docs.columns if carry is None else carry
     names = [f"c{i}" for i in range(len(rest))]
-    narrow = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.col(f"`{text}`").alias("text"))
+    body = rest.index(text) if text in rest else -1
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)]
+    narrow = docs.select(*columns) if body >= 0 else docs.select(*columns, F.col(f"`{text}`").alias("text"))
     matrix = _class_matrix()
     classes = np.array([k[0] for k in known]).reshape(len(known), N_CLASSES)
 
@@ -224,15 +239,18 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(WORD).findall
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-        labels = [part.split()[0] for part in _FEATURES.split(", ")]
         for batch in batches:
-            rows = [judge(t.as_py() or "", find) for t in batch.column("text")]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*names, *labels]
-            )
+            rows = [judge(t.as_py() or "", find) for t in batch.column(body)]
+            found = zip(*rows) if rows else [()] * len(_FEATURES)
+            new = [pa.array(c, _KINDS[kind]) for c, kind in zip(found, _FEATURES.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *_FEATURES])
+
+    fields = [T.StructField(n, narrow.schema[n].dataType) for n in names]
+    schema = T.StructType(fields + [T.StructField(n, _TYPES[kind]) for n, kind in _FEATURES.items()])
+    return narrow.mapInArrow(run, schema).toDF(*rest, *free_names(docs.select(*[f"`{c}`" for c in rest]), *_FEATURES))
+
 
-    schema = ", ".join(f"{n} {narrow.schema[n].dataType.simpleString()}" for n in names)
-    judged = narrow.mapInArrow(run, f"{schema}, {_FEATURES}" if names else _FEATURES)
-    return judged.toDF(*rest, *[part.split()[0] for part in _FEATURES.split(", ")])
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that pass, columns as they were."""
+    judged = quality(docs, text, lang)
+    return judged.where(F.col(f"`{judged.columns[-1]}`")).select(*[f"`{c}`" for c in docs.columns])

@@ -103,7 +103,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, distances from the language references and verdict for every document."""
-    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
+    return quality.quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 @query()
