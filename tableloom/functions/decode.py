@@ -30,22 +30,24 @@ def decode_positional(
     """
     active = [s for s in specs if s.active]
     cells = F.from_json(F.col(value).cast("string"), T.ArrayType(T.StringType()))
-    # A filter on the result may not move below a generator, so JSON is parsed once per row.
-    parsed = df.select(*keep, F.explode(F.array(cells)).alias("__cells"))
-    wide = parsed.select(
+    raw = [F.get("__cells", F.lit(s.slot - 1)) for s in active]
+    typed = df.select(*keep, cells.alias("__cells")).select(
         *keep,
-        F.col("__cells").isNull().alias("__broken"),
-        *[F.get("__cells", F.lit(s.slot - 1)).alias(f"__t{i}") for i, s in enumerate(active)],
+        F.struct(
+            F.col("__cells").isNull().alias("broken"),
+            *[r.isNotNull().alias(f"g{i}") for i, r in enumerate(raw)],
+            *[from_text(r, s).alias(f"v{i}") for i, (r, s) in enumerate(zip(raw, active))],
+        ).alias("__row"),
     )
-    typed = [from_text(F.col(f"__t{i}"), s) for i, s in enumerate(active)]
+    # A filter on the result may not move below a generator, so each cell is typed once.
+    wide = typed.select(*keep, F.inline(F.array("__row")))
     problems = [
-        F.when(F.col(f"__t{i}").isNotNull() & typed[i].isNull(), F.lit(s.name))
-        for i, s in enumerate(active)
+        F.when(F.col(f"g{i}") & F.col(f"v{i}").isNull(), F.lit(s.name)) for i, s in enumerate(active)
     ]
-    found = F.concat_ws(",", F.when(F.col("__broken"), F.lit(value)), *problems)
+    found = F.concat_ws(",", F.when(F.col("broken"), F.lit(value)), *problems)
     return wide.select(
         *keep,
-        *[t.alias(s.name) for t, s in zip(typed, active)],
+        *[F.col(f"v{i}").alias(s.name) for i, s in enumerate(active)],
         F.when(found != "", found).alias(ERRORS),
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableloom.operators.ranking import with_group_position
 from tableloom.operators.skew import HOT_ROWS
@@ -21,14 +22,18 @@ def frequency(df: DataFrame, columns: Sequence[str], name: str = "n") -> DataFra
 def month_segment_counts(df: DataFrame, day: str, segment: str, month: str) -> DataFrame:
     """Rows per segment in one ``yyyyMM`` month.
 
+    ``day`` is a date, a timestamp, or a ``yyyyMM`` number or text as partitions have it.
     The filter stays on the raw column, so it reaches partitions and Parquet statistics.
     """
     start = dt.datetime.strptime(month, "%Y%m")
     end = (start + dt.timedelta(days=32)).replace(day=1)
     kind = df.schema[day].dataType
-    inside = (F.col(day) >= F.lit(start.isoformat()).cast(kind)) & (
-        F.col(day) < F.lit(end.isoformat()).cast(kind)
-    )
+    if isinstance(kind, (T.IntegralType, T.StringType)):
+        inside = F.col(day) == F.lit(int(month) if isinstance(kind, T.IntegralType) else month).cast(kind)
+    else:
+        inside = (F.col(day) >= F.lit(start.isoformat()).cast(kind)) & (
+            F.col(day) < F.lit(end.isoformat()).cast(kind)
+        )
     return (
         df.where(inside)
         .groupBy(segment)

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
 from tableloom.operators.joins import equi_join
-from tableloom.operators.skew import HOT_ROWS, hot_keys, may_be_hot
-from tableloom.staging import new_path, path_exists
+from tableloom.operators.skew import HOT_ROWS, hot_keys
+from tableloom.staging import new_path, path_exists, stage
 
 
-# Written next to the table: the hot keys and their rows.
-HOT, ASIDE = "_hot_keys", "_hot_rows"
+# Folders inside the table's own: the hot keys and their rows. Spark passes over names that begin
+# with an underscore when it reads the table, and they go when the table's folder goes.
+HOT, ASIDE = "/_hot_keys", "/_hot_rows"
 
 
 @dataclass(frozen=True)
 class BucketedTable:
-    """A bucketed table and, beside it, the rows of hot keys, which no bucket could hold."""
+    """A bucketed table and, in its folder, the rows of hot keys, which no bucket could hold."""
 
     table: DataFrame
     keys: tuple[str, ...]
@@ -47,11 +48,16 @@ def write_bucketed(
     """
     spark = df.sparkSession
     path = (path or new_path(spark, table)).rstrip("/")
-    if may_be_hot([(df, keys)], hot_rows):
-        hot_keys(df, keys, hot_rows).select(*keys).write.parquet(path + HOT)
-        hot = spark.read.schema(df.select(*keys).schema).parquet(path + HOT)
-        _keep(df, keys, hot, keys, "left_semi").write.parquet(path + ASIDE)
-        df = _keep(df, keys, hot, keys, "left_anti")
+    found = hot_keys(df, keys, hot_rows).select(*keys)
+    hot = aside = None
+    if not found.isEmpty():
+        # One marked pass over the input; both parts are cut from what it wrote.
+        marks = [f"__h{i}" for i in range(len(keys))]
+        few = found.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)], F.lit(True).alias("__hot"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)])
+        marked = stage(df.join(few, same, "left").select(*[f"`{c}`" for c in df.columns], "__hot"), "marked")
+        hot, aside = found, marked.where("__hot").drop("__hot")
+        df = marked.where("__hot IS NULL").drop("__hot")
     # Rows of one bucket come together first: one file per bucket instead of one per task.
     (
         df.repartition(buckets, *keys)
@@ -60,11 +66,15 @@ def write_bucketed(
         .option("path", path)
         .saveAsTable(table)
     )
+    if hot is not None:
+        hot.write.parquet(path + HOT)
+        aside.write.parquet(path + ASIDE)
     return open_bucketed(spark, table, keys, path)
 
 
 def open_bucketed(spark: SparkSession, table: str, keys: Sequence[str], path: str) -> BucketedTable:
-    """A table written before, with the files beside it."""
+    """A table written before, with the rows set aside in its folder."""
+    path = path.rstrip("/")
     rows = spark.table(table)
     hot = aside = None
     if path_exists(spark, path + HOT):
@@ -91,8 +101,8 @@ def _equal(left: DataFrame, right: DataFrame, left_keys, right_keys) -> DataFram
 
 
 def _keep(df: DataFrame, keys, hot: DataFrame, hot_names, how: str) -> DataFrame:
-    """Rows of ``df`` whose key is, or is not, among the few hot keys."""
+    """Rows of ``df`` whose key is, or is not, among the hot keys, which are read from files."""
     marks = [f"__h{i}" for i in range(len(keys))]
-    few = F.broadcast(hot.select(*[F.col(n).alias(m) for n, m in zip(hot_names, marks)]))
+    few = hot.select(*[F.col(n).alias(m) for n, m in zip(hot_names, marks)])
     same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)]
     return df.join(few, reduce(lambda a, b: a & b, same), how)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Items of one catalogue are bits of a signed 64-bit number.
-MAX_ITEMS = 62
+from tableloom.staging import stage
+
+# So many items are bits of a signed 64-bit number; it decides on the route only.
+MASK_ITEMS = 62
 
 
 def _values(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -37,26 +39,63 @@ def item_combinations(
     item: str,
     size: int,
     catalogue: DataFrame | None = None,
-    max_items: int = MAX_ITEMS,
+    min_support: int = 1,
+    mask_items: int = MASK_ITEMS,
 ) -> DataFrame:
-    """(items, support): ``size``-item combinations and the groups that hold all of them.
+    """(items, support): ``size``-item combinations that at least ``min_support`` groups hold.
 
-    The items are those of ``catalogue``, a frame of one column, or else those in the data.
-    More than 62 are an error. A group, however large, folds into one bit mask on the map
-    side, equal masks are counted together, and only distinct masks are spelled out.
+    The items are those of ``catalogue``, a frame of one column, or else those in the data;
+    NULL is no item. Up to 62 items a group, however large, folds into one bit mask on the
+    map side, equal masks are counted together, and only distinct masks are spelled out.
+    With more items, combinations grow by one item at a time: what is held by fewer than
+    ``min_support`` groups can be part of no result and is dropped before each join, which
+    is exact. ``min_support`` then decides how much there is to spell out. Both routes give
+    the same result.
     """
-    if not 1 <= max_items <= MAX_ITEMS:
-        raise ValueError(f"max_items must be between 1 and {MAX_ITEMS}")
     if size < 1:
         raise ValueError("a combination has at least one item")
+    if min_support < 1:
+        raise ValueError("support is at least one")
     known = (df.select(item) if catalogue is None else catalogue).toDF("item")
-    known = known.where(F.col("item").isNotNull()).distinct().orderBy("item")
-    items = [row[0] for row in known.limit(max_items + 1).collect()]
-    if len(items) > max_items:
-        raise ValueError(f"{item!r} has more than {max_items} values; group them first")
+    known = known.where(F.col("item").isNotNull()).distinct()
+    items = [row[0] for row in known.orderBy("item").limit(min(mask_items, MASK_ITEMS) + 1).collect()]
     kind = df.schema[item].dataType
     if not items:
         return df.sparkSession.createDataFrame([], f"items array<{kind.simpleString()}>, support long")
+    if len(items) > min(mask_items, MASK_ITEMS):
+        return _grown(df, group, item, size, known if catalogue is not None else None, min_support)
+    return _by_masks(df, group, item, size, items, kind).where(F.col("support") >= min_support)
+
+
+def _grown(df: DataFrame, group: str, item: str, size: int, known: DataFrame | None, least: int) -> DataFrame:
+    # A structure is a key even where the group is NULL.
+    baskets = df.select(F.struct(group).alias("g"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
+    if known is not None:
+        baskets = baskets.join(known.select(F.col("item").alias("i")), "i", "left_semi")
+
+    def frequent(combos: DataFrame) -> DataFrame:
+        return combos.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+
+    combos = stage(baskets.select("g", F.array("i").alias("items")), "combinations")
+    counts = stage(frequent(combos), "support")
+    if size == 1:
+        return counts
+    kept = combos.join(counts, "items", "left_semi")
+    singles = stage(kept.select("g", F.get("items", F.lit(0)).alias("i")), "items")
+    combos = kept
+    for length in range(2, size + 1):
+        # Rising order spells each combination once; a group's rows meet on its key, and
+        # adaptive execution splits a hot one.
+        grown = combos.join(singles, "g").where(F.col("i") > F.element_at("items", -1))
+        grown = grown.select("g", F.concat("items", F.array("i")).alias("items"))
+        if length == size:
+            return frequent(grown)
+        combos = stage(grown, "combinations")
+        combos = combos.join(stage(frequent(combos), "support"), "items", "left_semi")
+    return counts
+
+
+def _by_masks(df: DataFrame, group: str, item: str, size: int, items: list, kind) -> DataFrame:
     labels = F.array(*[F.lit(v).cast(kind) for v in items])
     place = F.array_position(labels, F.col(item)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)

@@ -13,12 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.functions.names import unique_names
 from tableloom.operators.aggregates import frequency
 from tableloom.operators.joins import equi_join, is_small
 from tableloom.operators.ranking import with_position
+from tableloom.staging import stage
 
 OTHER = "OTHER"
-MAX_CAP = 1_000
+# Up to so many labels are looked up in an array, more by a join. The result is the same.
+LISTED = 50
 
 
 @dataclass(frozen=True)
@@ -26,7 +29,8 @@ class CategoryList:
     """The most frequent values of a column, and whether others exist.
 
     It holds at most ``cap`` labels, the only data the encoders bring to the driver.
-    NULL is a category of its own.
+    NULL is a category of its own. Names stay unique: a value ``OTHER`` and the rest, or NULL
+    and a text ``None``, do not share a slot.
     """
 
     column: str
@@ -34,10 +38,25 @@ class CategoryList:
     labels: tuple[Any, ...]
     has_other: bool
 
+    @property
+    def other(self) -> str:
+        """The label of the rest: ``OTHER``, or with a number behind it if a value is so called."""
+        texts = {str(label) for label in self.labels if label is not None}
+        name, number = OTHER, 0
+        while name in texts:
+            number += 1
+            name = f"{OTHER}_{number}"
+        return name
+
     def slots(self) -> list[str]:
         """Names of the one-hot columns, in slot order."""
         names = [f"{self.column}_{label}" for label in self.labels]
-        return names + [f"{self.column}_{OTHER}"] if self.has_other else names
+        # The last of equal names keeps it: that of a text before that of NULL.
+        order = sorted(range(len(names)), key=lambda i: self.labels[i] is not None)
+        unique = unique_names([names[i] for i in order])
+        placed = dict(zip(order, unique))
+        names = [placed[i] for i in range(len(names))]
+        return names + [f"{self.column}_{self.other}"] if self.has_other else names
 
     def index(self) -> Column:
         """The 0-based rank of a value; the number of labels for any other value."""
@@ -54,20 +73,44 @@ class CategoryList:
         return F.when(value.isNull(), missing).otherwise(place)
 
     def capped(self) -> Column:
-        """The value as text, or ``OTHER``."""
+        """The value as text, or the label of the rest."""
         value = F.col(f"`{self.column}`").cast("string")
-        return F.when(self.index() < len(self.labels), value).otherwise(F.lit(OTHER))
+        return F.when(self.index() < len(self.labels), value).otherwise(F.lit(self.other))
 
     def one_hot(self) -> list[Column]:
-        """One 0/1 column per slot; all zero for an unknown value without an OTHER slot."""
-        place = self.index()
-        return [F.when(place == i, 1).otherwise(0).alias(n) for i, n in enumerate(self.slots())]
+        """One 0/1 column per slot; all zero for an unknown value without a slot for the rest.
+
+        Each repeats the look-up, so with more than a few slots use ``with_one_hot``.
+        """
+        return _slots(self.index(), self.slots())
+
+    def with_index(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the index: by look-up for few labels, else by a join with the table of labels."""
+        if len(self.labels) <= LISTED:
+            return df.withColumn(name, self.index())
+        kind = T.StructType([T.StructField("__label", self.type), T.StructField("__rank", T.IntegerType())])
+        ranks = df.sparkSession.createDataFrame([(label, i) for i, label in enumerate(self.labels)], kind)
+        same = F.col(f"`{self.column}`").eqNullSafe(F.col("__label"))
+        # At most ``cap`` rows.
+        joined = df.join(F.broadcast(ranks), same, "left")
+        return joined.select(*[f"`{c}`" for c in df.columns], F.coalesce("__rank", F.lit(len(self.labels))).alias(name))
+
+    def with_one_hot(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The columns ``keep`` and one 0/1 column per slot; each value is looked up once."""
+        indexed = self.with_index(df, "__index").select(
+            *[f"`{c}`" for c in keep], F.explode(F.array("__index")).alias("__slot")
+        )
+        return indexed.select(*[f"`{c}`" for c in keep], *_slots(F.col("__slot"), self.slots()))
+
+
+def _slots(place: Column, names: Sequence[str]) -> list[Column]:
+    return [F.when(place == i, 1).otherwise(0).alias(n) for i, n in enumerate(names)]
 
 
 def fit_categories(df: DataFrame, column: str, cap: int) -> CategoryList:
-    """The ``cap`` most frequent values, ties by value."""
-    if not 1 <= cap <= MAX_CAP:
-        raise ValueError(f"cap must be between 1 and {MAX_CAP}")
+    """The ``cap`` most frequent values, ties by value. They come to the driver."""
+    if cap < 1:
+        raise ValueError("cap must be at least 1")
     rows = frequency(df, [column]).limit(cap + 1).select(column).collect()
     labels = tuple(row[0] for row in rows)
     return CategoryList(column, df.schema[column].dataType, labels[:cap], len(labels) > cap)
@@ -98,11 +141,12 @@ def category_codes(
 ) -> DataFrame:
     """Add 0-based codes in sorted order of the values; NULL is -1.
 
-    Up to ``local_labels`` values are numbered in one task and broadcast. More are numbered
-    by a distributed sort and joined by key, hot values salted.
+    Each column's distinct values are written once. Up to ``local_labels`` of them are
+    numbered in one task and broadcast. More are numbered by a distributed sort and joined by
+    key, hot values salted. The codes are the same.
     """
     for column in columns:
-        values = df.select(F.col(f"`{column}`").alias("__v")).where("__v is not null").distinct()
+        values = stage(df.select(F.col(f"`{column}`").alias("__v")).where("__v is not null").distinct(), "values")
         few = is_small(values, local_labels, 64 << 20)
         if few:
             place = F.row_number().over(W.orderBy("__v")).cast("long")
@@ -110,7 +154,8 @@ def category_codes(
         else:
             codes = with_position(values, ["__v"], "__p", unique=True)
         code = F.coalesce(F.col("__p") - 1, F.lit(-1)).alias(column + suffix)
-        # A broadcast needs no care for hot values, and on the right each value occurs once.
+        # A broadcast needs no care for hot values; on the right each value occurs once, and
+        # hot values on the left are split by adaptive execution.
         joined = equi_join(df, codes, column, "__v", "left", skew_safe=() if few else ("left",))
         df = joined.select(*[f"`{c}`" for c in df.columns], code)
     return df

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.names import unique_names
-from tableloom.operators.skew import HOT_ROWS, hot_keys, may_be_hot, spread
-from tableloom.staging import stage_unless_empty
+from tableloom.operators.skew import HOT_ROWS, hot_keys, spread
+from tableloom.staging import stage
 
+# Up to so many hot keys are broadcast; more are joined by key. The result is the same.
+FEW_HOT = 10_000
+# Sides whose hot keys adaptive execution splits by itself, by join type.
+SPLIT_BY_SPARK = {"inner": ("left", "right"), "left": ("left",), "right": ("right",), "left_semi": ("left",), "left_anti": ("left",)}
 # Accepted join types and what Spark calls them.
 JOIN_TYPES = {
     "inner": "inner",
@@ -71,15 +75,16 @@ def equi_join(
     how: str = "inner",
     repair: str = "suffix",
     skew_safe: bool | Sequence[str] = True,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join two frames on equal keys and make the column names unique.
 
-    Adaptive execution splits a hot key only on some sides, for some join types and plan
-    shapes. So hot keys are looked for first (see ``hot_keys``). Without a key of ``hot_rows``
-    rows or more the join is Spark's own. Otherwise a hot key gets one salt per
-    ``hot_rows`` rows: its rows take one salt each, and the rows of the other side that meet
-    it are repeated for all salts. Semi and anti joins meet distinct keys only.
+    Adaptive execution splits a hot key on the sides of ``SPLIT_BY_SPARK``. On the other
+    sides, or on all if that rule is off or ``hot_rows`` is given, hot keys are looked for
+    first (see ``hot_keys``). Without a key of ``hot_rows`` rows (a million) or more the join is
+    Spark's own. Otherwise a hot key gets one salt per ``hot_rows`` rows: its rows take
+    one salt each, and the rows of the other side that meet it are repeated for all salts.
+    Semi and anti joins meet distinct keys only.
 
     ``skew_safe`` may name the sides to count, ``("left",)`` when the right keys are unique,
     or be False when neither side can have a hot key.
@@ -88,6 +93,9 @@ def equi_join(
     sides = ("left", "right") if skew_safe is True else tuple(skew_safe or ())
     if how in ("left_semi", "left_anti") and sides:
         right, sides = right.select(*right_keys).distinct(), ("left",)
+    if hot_rows is None and _splits(left):
+        sides = tuple(side for side in sides if side not in SPLIT_BY_SPARK.get(how, ()))
+    hot_rows = hot_rows or HOT_ROWS
     l, lk = _side(left, "l", left_keys)
     r, rk = _side(right, "r", right_keys)
     if sides and not (left.isStreaming or right.isStreaming):
@@ -98,6 +106,11 @@ def equi_join(
     return _named(l.join(r, _same(lk, rk), how), left, right, how, repair)
 
 
+def _splits(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{n}", "true") == "true" for n in ("enabled", "skewJoin.enabled"))
+
+
 def _named(joined: DataFrame, left: DataFrame, right: DataFrame, how: str, repair: str) -> DataFrame:
     if how in ("left_semi", "left_anti"):
         return joined.toDF(*left.columns)
@@ -105,8 +118,8 @@ def _named(joined: DataFrame, left: DataFrame, right: DataFrame, how: str, repai
 
 
 def _salted(l, lk, r, rk, how, hot, marks) -> DataFrame:
-    # At most MAX_HOT keys per side.
-    hot = F.broadcast(hot)
+    if hot.count() <= FEW_HOT:
+        hot = F.broadcast(hot)
     l2 = _placed(l, lk, hot, marks, "left", "right")
     r2 = _placed(r, rk, hot, marks, "right", "left")
     on = _same(lk, rk)
@@ -125,25 +138,28 @@ def _salted(l, lk, r, rk, how, hot, marks) -> DataFrame:
 
 
 def _hot_table(frames, sides, marks, hot_rows) -> DataFrame | None:
-    """The hot keys, if any, written once, so that both sides of the join see the same hot keys.
+    """The hot keys, if any, written once, so that both sides of the join see the same ones.
 
     Per key: how many salts its rows take on each side, 0 where it is not hot. The NULL key
     is in here too: it matches nothing, but it has to be noticed.
     """
-    if not may_be_hot([frames[side] for side in sides], hot_rows):
-        return None
     found = None
     for side in sides:
         df, keys = frames[side]
+        hot = hot_keys(df, keys, hot_rows)
+        if hot.isEmpty():
+            continue
         salts = F.ceil(F.col("rows") / hot_rows).cast("long")
-        hot = hot_keys(df, keys, hot_rows).select(
+        hot = hot.select(
             *[F.col(k).alias(m) for k, m in zip(keys, marks)],
             *[(salts if side == s else F.lit(0).cast("long")).alias(f"__{s}_n") for s in frames],
         )
         found = hot if found is None else found.unionByName(hot)
+    if found is None:
+        return None
     if len(sides) > 1:
         found = found.groupBy(*marks).agg(*[F.max(f"__{s}_n").alias(f"__{s}_n") for s in frames])
-    return stage_unless_empty(found, "hot")
+    return stage(found, "hot")
 
 
 def _placed(df: DataFrame, keys, hot: DataFrame, marks, own: str, other: str) -> DataFrame:
@@ -221,7 +237,8 @@ def broadcast_join(
 ) -> DataFrame:
     """Equi-join that broadcasts ``small`` when its measured size is below both limits.
 
-    A larger side takes the normal join, with the same result.
+    The limits decide on the route only: a larger side takes the normal join, with the same
+    result.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only the right side of these joins can be broadcast")

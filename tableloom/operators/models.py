@@ -16,7 +16,6 @@ from tableloom.staging import new_path
 METRICS = ("accuracy_score", "precision_score", "recall_score", "f1_score")
 AVERAGES = ("binary", "micro", "macro", "weighted")
 PENALTIES = ("l1", "l2", "elasticnet", "none")
-MAX_CLASSES = 1_000
 
 
 def features_and_label(
@@ -32,20 +31,23 @@ def features_and_label(
     return with_vector.withColumn("label", F.col(label).cast("double"))
 
 
-def class_weights(df: DataFrame, label: str, weights: str | Mapping[Any, float] | None) -> Column:
-    """The weight of each row: 1, a weight per class, or ``'balanced'``."""
-    if weights is None:
-        return F.lit(1.0)
+def with_class_weights(
+    df: DataFrame, label: str, weights: str | Mapping[Any, float] | None, name: str = "weight"
+) -> DataFrame:
+    """Add the weight of each row: 1, a weight per class, or ``'balanced'``.
+
+    A balanced weight is the number of rows over classes times rows of the class; the counts
+    are joined, however many classes there are.
+    """
     if weights == "balanced":
-        rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
-        total = sum(r["count"] for r in rows)
-        weights = {r[label]: total / (len(rows) * r["count"]) for r in rows}
+        counts = df.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+        totals = counts.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+        weight = F.lit(float(totals["n"] or 0)) / (F.lit(max(totals["k"], 1)) * F.col("__n"))
+        return df.join(counts, F.col(label).eqNullSafe(F.col("__class"))).select(*df.columns, weight.alias(name))
     weight = F.lit(1.0)
-    for value, factor in weights.items():
+    for value, factor in (weights or {}).items():
         weight = F.when(F.col(label) == F.lit(value), F.lit(float(factor))).otherwise(weight)
-    return weight
+    return df.withColumn(name, weight)
 
 
 def fit_logistic(
@@ -67,7 +69,7 @@ def fit_logistic(
         raise ValueError(f"unknown penalty {penalty!r}")
     if penalty == "elasticnet" and l1_ratio is None:
         raise ValueError("elasticnet needs l1_ratio")
-    weighted = df.withColumn("weight", class_weights(df, "label", class_weight))
+    weighted = with_class_weights(df, "label", class_weight)
     total = weighted.agg(F.sum("weight")).first()[0]
     if not total:
         raise ValueError("no rows to fit")

@@ -14,15 +14,22 @@ from tableloom.staging import stage
 
 _ROW, _PART = "__row", "__part"
 # Up to this row a slice is cut from the first rows of each task, without sorting the rest.
+# The route is all that depends on it: both routes break ties alike.
 SMALL_SLICE = 10_000
-# Spark cuts row_number() <= k before the shuffle up to this k (windowGroupLimitThreshold).
-PRUNED_K = 1_000
+# Up to this k each task cuts its rows to the first k per key before the shuffle; beyond, a hot
+# key would send too many. The sum is the same either way.
+PRUNED_K = 100
 
 
 def _as_column(order: str | Column) -> Column:
     return F.col(order) if isinstance(order, str) else order
 
 
+def _content(df: DataFrame) -> Column:
+    """What tells rows apart that tie on an order. Rows that tie on this too are copies."""
+    return F.xxhash64(*hashable(df))
+
+
 def _numbered(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame:
     """``df`` range-sorted by ``order`` and written, with partition number and row number in it.
 
@@ -31,8 +38,7 @@ def _numbered(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame
     """
     ties: list[Column] = []
     if not unique:
-        content = F.xxhash64(*hashable(df))
-        df = df.withColumns({"__tie1": content, "__tie2": F.spark_partition_id()})
+        df = df.withColumns({"__tie1": _content(df), "__tie2": F.spark_partition_id()})
         ties = [F.col("__tie1"), F.col("__tie2")]
     ranged = df.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties)
     # The id is (partition << 33) + row in partition; it is fixed once written.
@@ -74,12 +80,13 @@ def with_group_position(
     ``first`` maps new columns to the columns they take from the first row of the group.
     A plain window does it while every group has at most ``group_rows`` rows. Beyond that
     the table is range-sorted by key and order, so a hot key covers many partitions, and
-    the rows of earlier partitions are added on.
+    the rows of earlier partitions are added on. Both break ties by the rows' content, so
+    the result is the same, and the same again in a retried task.
     """
     first = dict(first or {})
     ordering = [_as_column(o) for o in order]
     if not has_hot_key(df, keys, group_rows + 1):
-        window = W.partitionBy(*keys).orderBy(*ordering)
+        window = W.partitionBy(*keys).orderBy(*ordering, *([] if unique else [_content(df)]))
         return df.select(
             *[f"`{c}`" for c in df.columns],
             F.row_number().over(window).cast("long").alias(name),
@@ -120,7 +127,8 @@ def row_slice(
     if start == 0 and end == 0:
         return df
     if 0 < end <= SMALL_SLICE:
-        return df.orderBy(*[_as_column(o) for o in order]).offset(start).limit(end - start)
+        ties = [] if unique else [_content(df)]
+        return df.orderBy(*[_as_column(o) for o in order], *ties).offset(start).limit(end - start)
     placed = with_position(df, order, "__place", unique)
     wanted = F.col("__place") > start
     if end:
@@ -129,14 +137,14 @@ def row_slice(
 
 
 def top_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows in order.
+    """The first ``n`` rows in order, ties by the rows' content.
 
     Up to ``SMALL_SLICE`` rows each task keeps its own first ``n`` and one task merges them.
-    More rows are cut by position and sorted in parallel.
+    More rows are cut by position and sorted in parallel, with the same result.
     """
     ordering = [_as_column(o) for o in order]
     if n <= SMALL_SLICE:
-        return df.orderBy(*ordering).limit(n)
+        return df.orderBy(*ordering, _content(df)).limit(n)
     placed = with_position(df, ordering, "__place").where(F.col("__place") <= n)
     return placed.orderBy("__place").drop("__place")
 
@@ -146,8 +154,8 @@ def top_k_sum(
 ) -> DataFrame:
     """Sum of the ``k`` largest values per key.
 
-    ``row_number <= k`` is cut in each task before the shuffle, so a hot key sends at most
-    ``k`` rows per task.
+    Up to ``PRUNED_K`` the cut is made in each task before the shuffle, so a hot key sends at
+    most ``k`` rows per task; a larger ``k`` goes by position, which splits a hot key.
     """
     narrow = df.select(*keys, value)
     if k <= PRUNED_K:

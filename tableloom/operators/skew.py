@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.staging import stage_unless_empty
 
-# A key with this many rows is hot; fewer rows are no burden for one task.
+# A key with this many rows is hot; fewer rows are no burden for one task. It decides on the
+# route of a key only, never on a result.
 HOT_ROWS = 1_000_000
-# Hot keys handled apart. The others stay in the normal plan, with the same result.
-MAX_HOT = 10_000
 # How often a hot key is expected in the sample that looks for it.
 EXPECTED = 1_000
 
 
-def spread(df: DataFrame) -> Column:
+def spread(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """A number per row that scatters rows and that a retried task computes again.
 
-    The partition number keeps exact copies of a row apart, and row order plays no part.
+    ``columns`` names those to hash, so that a plan reads no others. The partition number
+    keeps exact copies of a row apart, and row order plays no part. The hash is brought
+    below 2**62 first, so that adding to it cannot overflow.
     """
-    return F.xxhash64(*hashable(df)) + F.spark_partition_id()
+    narrow = df if columns is None else df.select(*[f"`{c}`" for c in dict.fromkeys(columns)])
+    return F.pmod(F.xxhash64(*hashable(narrow)), F.lit(1 << 62)) + F.spark_partition_id()
 
 
-def salt(df: DataFrame, buckets: int) -> Column:
-    return F.pmod(spread(df), F.lit(buckets))
+def salt(df: DataFrame, buckets: int, columns: Sequence[str] | None = None) -> Column:
+    return F.pmod(spread(df, columns), F.lit(buckets))
 
 
 def hashable(df: DataFrame) -> list[Column]:
@@ -46,50 +48,42 @@ def _has_map(data_type: T.DataType) -> bool:
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = MAX_HOT
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int | None = None
 ) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, and how many: the ``most`` largest of them.
+    """All keys with at least ``hot_rows`` rows, and how many; or the ``most`` largest of them.
 
     A thin sample names candidates, so that the counts of all keys need not be shuffled; the
-    candidates are then counted in full. Only the route of a key depends on this, never
-    whether its rows are in a result.
+    candidates are then counted in full. Both results are written, so nothing is computed
+    twice, and without a candidate the sample is the only job. Only the route of a key depends
+    on this, never whether its rows are in a result.
     """
     narrow = df.select(*keys)
     rate = min(1.0, EXPECTED / hot_rows)
+    nothing = narrow.limit(0).withColumn("rows", F.lit(0).cast("long"))
     if rate < 1.0:
-        # A hot key is expected EXPECTED times; half as often is some 15 deviations away.
-        seen = _counts(narrow.sample(rate, seed=7), keys, EXPECTED // 2, most)
         names = [f"__c{i}" for i in range(len(keys))]
-        seen = seen.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        # A hot key is expected EXPECTED times; half as often is some 15 deviations away.
+        often = _counts(narrow.sample(rate, seed=7), keys, EXPECTED // 2, None)
+        seen = stage_unless_empty(often.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]), "candidates")
+        if seen is None:
+            return df.sparkSession.createDataFrame([], nothing.schema)
         same = F.lit(True)
         for key, name in zip(keys, names):
             same = same & F.col(key).eqNullSafe(F.col(name))
-        # At most ``most`` keys. Adaptive execution skips this scan when there are none.
-        narrow = narrow.join(F.broadcast(seen), same, "left_semi")
-    return _counts(narrow, keys, hot_rows, most)
+        # Their size is known from the files, so Spark broadcasts them if they are small.
+        narrow = narrow.join(seen, same, "left_semi")
+    found = stage_unless_empty(_counts(narrow, keys, hot_rows, most), "hot-keys")
+    return df.sparkSession.createDataFrame([], nothing.schema) if found is None else found
 
 
-def _counts(df: DataFrame, keys: Sequence[str], least: int, most: int) -> DataFrame:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+def _counts(df: DataFrame, keys: Sequence[str], least: int, most: int | None) -> DataFrame:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
     # The keys break ties, so that the same ones are found again.
-    return counts.where(F.col("rows") >= least).orderBy(F.col("rows").desc(), *keys).limit(most)
-
-
-def may_be_hot(sides: Sequence[tuple[DataFrame, Sequence[str]]], hot_rows: int) -> bool:
-    """Whether the sample names a candidate on any side: one small job, and mostly the last."""
-    rate = min(1.0, EXPECTED / hot_rows)
-    if rate == 1.0:
-        return True
-    often = F.col("rows") >= EXPECTED // 2
-    found = [
-        df.select(*keys).sample(rate, seed=7).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(often)
-        for df, keys in sides
-    ]
-    return not reduce(DataFrame.unionAll, [f.select("rows") for f in found]).isEmpty()
+    return counts if most is None else counts.orderBy(F.col("rows").desc(), *keys).limit(most)
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    return may_be_hot([(df, keys)], hot_rows) and not hot_keys(df, keys, hot_rows, 1).isEmpty()
+    return not hot_keys(df, keys, hot_rows, 1).isEmpty()
 
 
 def salted_aggregate(
@@ -98,7 +92,9 @@ def salted_aggregate(
     """Aggregate per key and salt, then per key.
 
     ``aggregates`` maps an output name to (function, column); functions are sum, count,
-    min, max and avg.
+    min, max and avg. Spark combines these in each task before the shuffle, so a plain
+    aggregate sends one row per key and task. Salting pays when even those rows are too many
+    for one task, that is with very many tasks; it costs a second, small shuffle.
     """
     partial: list[Column] = []
     final: list[Column] = []
@@ -117,5 +113,6 @@ def salted_aggregate(
             final.append(F.try_divide(total.cast("double"), rows).alias(name))
         else:
             raise ValueError(f"cannot combine {function!r} in two phases")
-    salted = df.withColumn("__salt", salt(df, salts))
+    needed = [*keys, *[column for _, column in aggregates.values()]]
+    salted = df.withColumn("__salt", salt(df, salts, needed))
     return salted.groupBy(*keys, "__salt").agg(*partial).groupBy(*keys).agg(*final)

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tableloom.functions.decode import decode_positional, split_rejects
 from tableloom.functions.schema import import_schema
 from tableloom.operators.joins import equi_join
-from tableloom.plans.federated import Source, read_source
-from tableloom.sinks.files import FileTarget, guard, write_files
+from tableloom.plans.federated import Source, Target, guard_target, read_sources, rejected, write_target
 from tableloom.sinks.report import RunReport, write_with_report
 from tableloom.streaming.drain import Drain, drain_all
 
@@ -51,11 +50,20 @@ def drain_topics(topics: Sequence[Topic]) -> list[tuple[DataFrame, DataFrame]]:
     return [split_rejects(rows) for rows in drain_all(drains)]
 
 
-def join_topics(left: Topic, right: Topic, config: JoinConfig) -> DataFrame:
-    """Drain both topics and join them. Rejected messages fail the job unless kept aside."""
+def join_topics(
+    left: Topic, right: Topic, config: JoinConfig, rejects: list[DataFrame] | None = None
+) -> DataFrame:
+    """Drain both topics and join them.
+
+    Rejected messages fail the job. A topic with ``keep_rejects`` goes on without them; they
+    stay in its drained table and are appended to ``rejects``, with their errors.
+    """
     (l, l_bad), (r, r_bad) = drain_topics([left, right])
     for topic, bad in ((left, l_bad), (right, r_bad)):
-        if not topic.keep_rejects and not bad.isEmpty():
+        if topic.keep_rejects:
+            if rejects is not None:
+                rejects.append(bad)
+        elif not bad.isEmpty():
             raise ValueError("a topic has messages that do not fit their schema")
     return _join(l, r, config)
 
@@ -66,10 +74,12 @@ def _join(left: DataFrame, right: DataFrame, config: JoinConfig) -> DataFrame:
     )
 
 
-def run_join(
-    spark: SparkSession, left: Source, right: Source, config: JoinConfig, target: FileTarget
-) -> RunReport:
-    """Check the target, join, write; the report is counted by the write itself."""
-    guard(spark, target)
-    joined = _join(read_source(spark, left), read_source(spark, right), config)
-    return write_with_report(joined, lambda df: write_files(df, target))
+def run_join(spark: SparkSession, left: Source, right: Source, config: JoinConfig, target: Target) -> RunReport:
+    """Check the target, join, write; the report is counted by the write itself.
+
+    The target is files, a table or a topic. Streams on both sides drain side by side.
+    """
+    guard_target(spark, target)
+    rejects: list[DataFrame] = []
+    joined = _join(*read_sources(spark, [left, right], rejects), config)
+    return write_with_report(joined, lambda df: write_target(df, target), rejected=rejected(rejects))

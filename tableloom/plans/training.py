@@ -8,26 +8,21 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.operators.columns import drop_nulls
 from tableloom.operators.models import fit_logistic, predict
 
-MAX_LABELS = 100_000
-
 
 def string_indexer(
     df: DataFrame, columns: Sequence[str], order: str, suffix: str = "_idx"
 ) -> StringIndexerModel:
     """Index text columns; unknown values get a number of their own.
 
-    The labels come to the driver, so columns with very many values are refused.
+    A model of this kind holds its labels, so they come to the driver. For columns with very
+    many values use ``category_codes``, which keeps them in a table.
     """
-    widest = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in columns]).first()
-    large = [c for c in columns if widest[c] > MAX_LABELS]
-    if large:
-        raise ValueError(f"too many values to index on the driver: {large}")
     return StringIndexer(
         inputCols=list(columns),
         outputCols=[c + suffix for c in columns],
@@ -45,8 +40,12 @@ class TrainingPlan:
     model: dict[str, Any] = field(default_factory=dict)
 
 
-def train(df: DataFrame, plan: TrainingPlan) -> PipelineModel:
-    """Drop incomplete rows, encode categories, fit. Codes are 0-based in sorted order, -1 unknown."""
+def train_counted(df: DataFrame, plan: TrainingPlan) -> tuple[PipelineModel, int]:
+    """Fit on the complete rows; also how many rows were left out for a NULL.
+
+    Codes of categories are 0-based in sorted order, -1 for unknown. The model itself keeps
+    every row it is given.
+    """
     rows = drop_nulls(df, plan.not_null)
     stages: list[Any] = []
     if plan.categories:
@@ -58,19 +57,41 @@ def train(df: DataFrame, plan: TrainingPlan) -> PipelineModel:
         )
         stages += [indexer, SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__")]
     columns = [f"{c}_code" if c in plan.categories else c for c in plan.features]
-    stages.append(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip"))
-    encoded = PipelineModel(stages).transform(rows)
+    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
+    encoded = PipelineModel([*stages, assembler]).transform(rows).where(_complete(columns) & F.col(plan.label).isNotNull())
+    # The fit reads its rows many times anyway, so a count is cheap.
+    left_out = df.count() - encoded.count()
     model = fit_logistic(
         encoded.select("features", F.col(plan.label).cast("double").alias("label")), **plan.model
     )
-    return PipelineModel([*stages, model])
+    return PipelineModel([*stages, assembler, model]), left_out
+
+
+def train(df: DataFrame, plan: TrainingPlan) -> PipelineModel:
+    """Drop incomplete rows, encode categories, fit."""
+    return train_counted(df, plan)[0]
+
+
+def _complete(columns: Sequence[str]) -> Column:
+    complete = F.lit(True)
+    for column in columns:
+        value = F.col(f"`{column}`")
+        complete = complete & value.isNotNull() & ~F.isnan(value.cast("double"))
+    return complete
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The rows with prediction, probabilities, log probabilities and decision values."""
+    """Every row, with prediction, probabilities, log probabilities and decision values.
+
+    They are NULL where a feature is.
+    """
     encoded = PipelineModel(model.stages[:-1]).transform(df)
     helpers = ["features"] + [c for c in encoded.columns if c not in df.columns]
-    return predict(model.stages[-1], encoded).drop(*helpers)
+    (assembler,) = [s for s in model.stages if isinstance(s, VectorAssembler)]
+    predicted = predict(model.stages[-1], encoded.withColumn("__complete", _complete(assembler.getInputCols())))
+    found = [c for c in predicted.columns if c not in encoded.columns and c != "__complete"]
+    known = {c: F.when(F.col("__complete"), F.col(c)) for c in found}
+    return predicted.withColumns(known).drop(*helpers, "__complete")
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -17,8 +17,6 @@ CODECS = {
     "orc": ("none", "uncompressed", "lz4", "snappy", "zlib", "zstd"),
     "avro": ("uncompressed", "bzip2", "deflate", "snappy", "xz", "zstandard"),
 }
-# Two million rows of a few hundred bytes still make a file one task writes quickly.
-SINGLE_FILE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -63,20 +61,21 @@ def guard(spark: SparkSession, target: FileTarget) -> None:
 def write_files(df: DataFrame, target: FileTarget) -> None:
     """Write part files from all tasks at once."""
     guard(df.sparkSession, target)
-    if target.partition_by:
-        # Rows of one directory meet in few tasks; adaptive execution splits large ones.
-        df = df.hint("rebalance", *target.partition_by)
-    _writer(df, target).save(target.path)
+    _writer(together(df, target.partition_by), target).save(target.path)
+
+
+def together(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of one directory meet in few tasks; adaptive execution splits large ones."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
 
 
-def write_single_csv(df: DataFrame, target: FileTarget, max_rows: int = SINGLE_FILE_ROWS) -> None:
-    """One CSV part file with one header, for results of at most ``max_rows`` rows.
+def write_single_csv(df: DataFrame, target: FileTarget) -> None:
+    """One CSV part file with one header, written by one task.
 
-    A larger result is refused: it belongs in part files, which every reader takes as one.
+    It is meant for small reports that another program wants as one file. It does not scale;
+    large results belong in part files, which every reader takes as one.
     """
     guard(df.sparkSession, target)
-    if df.count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write part files instead")
     _writer(df.repartition(1), target).save(target.path)
 
 

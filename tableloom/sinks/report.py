@@ -14,6 +14,8 @@ from tableloom.functions.schema import export_schema
 
 @dataclass(frozen=True)
 class RunReport:
+    """``errors`` counts rejected messages and lines of the sources too; ``read`` includes them."""
+
     read: int
     written: int
     ignored: int
@@ -26,10 +28,12 @@ def write_with_report(
     write: Callable[[DataFrame], None],
     ignore: Column | None = None,
     error: Column | None = None,
+    rejected: int = 0,
 ) -> RunReport:
     """Write the rows that are neither ignored nor in error, and count all three.
 
     A row that is both is an error. The write sees each row once; no second job counts.
+    ``rejected`` is what the sources turned away before.
     """
     bad = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
     skip = F.coalesce(ignore, F.lit(False)) if ignore is not None else F.lit(False)
@@ -44,9 +48,9 @@ def write_with_report(
     write(counted.where(~F.col("__bad") & ~F.col("__skip")).drop("__bad", "__skip"))
     seen = observation.get
     return RunReport(
-        read=seen["rows"],
+        read=seen["rows"] + rejected,
         written=seen["rows"] - seen["errors"] - seen["ignored"],
         ignored=seen["ignored"],
-        errors=seen["errors"],
+        errors=seen["errors"] + rejected,
         schema=export_schema(df),
     )

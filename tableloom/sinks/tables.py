@@ -9,7 +9,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableloom.sinks.files import CODECS
+from tableloom.sinks.files import CODECS, together
+from tableloom.staging import path_exists
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
 
@@ -19,7 +20,8 @@ class TableTarget:
     """A managed table, or an external one when ``location`` is set.
 
     ``drop`` removes the old table first, ``truncate`` keeps its schema and replaces its
-    rows, ``overwrite`` replaces both; with none of them rows are appended by name.
+    rows, ``overwrite`` replaces both; with none of them rows are appended by name. Without
+    ``overwrite`` a location that holds data but belongs to no table is refused.
     """
 
     name: str
@@ -31,6 +33,7 @@ class TableTarget:
     drop: bool = False
     codec: str | None = None
     field_delimiter: str = ","
+    line_delimiter: str | None = None
 
     @classmethod
     def from_options(cls, options: Mapping[str, Any]) -> "TableTarget":
@@ -46,6 +49,7 @@ class TableTarget:
             drop=get("drop", False),
             codec=get("compression") or None,
             field_delimiter=get("field_delimiter") or ",",
+            line_delimiter=get("line_delimiter") or None,
         )
 
     def check(self) -> None:
@@ -57,25 +61,36 @@ class TableTarget:
             raise ValueError(f"{self.format} has no codec {self.codec!r}")
 
 
+def guard_table(spark: SparkSession, target: TableTarget) -> None:
+    """Refuse a bad or taken target before any data is read."""
+    target.check()
+    known = spark.catalog.tableExists(target.name)
+    if target.location and not known and not target.overwrite and path_exists(spark, target.location):
+        raise FileExistsError(f"target exists and is no table of this name: {target.location}")
+
+
 def write_table(df: DataFrame, target: TableTarget) -> DataFrame:
     """Write and return the table."""
-    target.check()
     spark = df.sparkSession
+    guard_table(spark, target)
     if target.drop:
         spark.sql(f"DROP TABLE IF EXISTS {target.name}")
     keep_table = target.truncate or not target.overwrite
     if keep_table and spark.catalog.tableExists(target.name):
         # insertInto goes by position, so the columns are put in the table's order.
-        rows = df.select(*spark.table(target.name).columns)
+        rows = together(df.select(*spark.table(target.name).columns), target.partition_by)
         rows.write.insertInto(target.name, overwrite=target.truncate)
         return spark.table(target.name)
-    writer = df.write.format(target.format).mode("overwrite")
+    mode = "overwrite" if target.overwrite else "errorifexists"
+    writer = together(df, target.partition_by).write.format(target.format).mode(mode)
     if target.location:
         writer = writer.option("path", target.location)
     if target.codec:
         writer = writer.option("compression", target.codec)
     if target.format == "csv":
         writer = writer.option("sep", target.field_delimiter)
+        if target.line_delimiter:
+            writer = writer.option("lineSep", target.line_delimiter)
     if target.partition_by:
         writer = writer.partitionBy(*target.partition_by)
     writer.saveAsTable(target.name)

@@ -35,7 +35,8 @@ def publish_batches(
 ) -> None:
     """Hand the batches of all keys to ``send``, once per task.
 
-    A retried task sends again, so ``send`` must cope with repeats of (key, batch_no).
+    A retried task sends again, so ``send`` must cope with repeats of (key, batch_no). Ties
+    in ``order`` are broken by content, so a repeat holds the same rows.
     """
     keyed_batches(df, key, order, size).foreachPartition(send)
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableloom.operators.columns import rename_all
+from tableloom.functions.schema import export_schema
+from tableloom.operators.columns import column_sizes, rename_all
 from tableloom.operators.ranking import row_slice
 
 CORRUPT = "_corrupt_record"
@@ -25,6 +26,7 @@ def read_csv(
     header: bool = True,
     delimiter: str = ",",
     bad_rows: str = "keep",
+    line_delimiter: str | None = None,
 ) -> DataFrame:
     """CSV with a schema, or with types inferred by an extra pass over the data.
 
@@ -35,6 +37,8 @@ def read_csv(
         raise ValueError(f"bad_rows is one of {sorted(BAD_ROWS)}")
     reader = spark.read.option("header", header).option("sep", delimiter)
     reader = reader.option("mode", BAD_ROWS[bad_rows])
+    if line_delimiter:
+        reader = reader.option("lineSep", line_delimiter)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     df = reader.csv(path)
     if bad_rows != "keep" or CORRUPT in df.columns:
@@ -48,7 +52,10 @@ class CsvJob:
     """Options of a CSV read: project, rename, filter, slice, cap.
 
     ``filter_expression`` uses the new names. Offsets need ``order_by``, as files have no
-    row order of their own; 0 and 0 mean all rows. ``max_read_lines`` -1 means all.
+    row order of their own; 0 and 0 mean all rows. ``max_read_lines`` keeps the first rows in
+    that order, or in the order of all columns without one; -1 means all. Rows that do not
+    fit the schema fail the job, given or inferred, unless ``ignore_and_continue``.
+    ``calculate_column_size`` and ``populate_meta_schema`` ask ``run_csv_job`` for both.
     """
 
     path: str
@@ -63,13 +70,16 @@ class CsvJob:
     end_offset: int = 0
     order_by: Sequence[str] = field(default_factory=tuple)
     max_read_lines: int = -1
+    line_delimiter: str | None = None
+    calculate_column_size: bool = False
+    populate_meta_schema: bool = False
 
     @classmethod
     def from_options(
         cls, options: Mapping[str, Any], schema: T.StructType | str | None = None, order_by: Sequence[str] = ()
     ) -> "CsvJob":
         """From the options of a job file. A schema is only used with userProvidedSchema."""
-        if options.get("fileInZip"):
+        if str(options["path"]).lower().endswith(".zip"):
             raise ValueError("a file inside a zip archive cannot be read in parallel: unpack it first")
         return cls(
             path=options["path"],
@@ -84,14 +94,15 @@ class CsvJob:
             end_offset=options.get("endOffset", 0),
             order_by=order_by,
             max_read_lines=options.get("maxReadLines", -1),
+            line_delimiter=options.get("lineDelimiter") or None,
+            calculate_column_size=bool(options.get("calculateColumnSize", False)),
+            populate_meta_schema=bool(options.get("populateMetaSchema", False)),
         )
 
 
 def read_csv_job(spark: SparkSession, job: CsvJob) -> DataFrame:
     bad_rows = "drop" if job.ignore_and_continue else "fail"
-    if job.schema is None and not job.ignore_and_continue:
-        bad_rows = "keep"
-    df = read_csv(spark, job.path, job.schema, job.has_header, job.delimiter, bad_rows)
+    df = read_csv(spark, job.path, job.schema, job.has_header, job.delimiter, bad_rows, job.line_delimiter)
     if job.columns_to_select:
         df = df.select(*[f"`{c}`" for c in job.columns_to_select])
     if job.headers:
@@ -102,11 +113,53 @@ def read_csv_job(spark: SparkSession, job: CsvJob) -> DataFrame:
         if not job.order_by:
             raise ValueError("offsets need order_by: a file has no stable row order")
         df = row_slice(df, list(job.order_by), job.start_offset, job.end_offset)
-    if job.max_read_lines >= 0:
-        df = df.limit(job.max_read_lines)
+    if job.max_read_lines == 0:
+        return df.limit(0)
+    if job.max_read_lines > 0:
+        order = list(job.order_by) or [F.col(f"`{c}`") for c in df.columns]
+        df = row_slice(df, order, 0, job.max_read_lines)
     return df
 
 
+@dataclass(frozen=True)
+class CsvResult:
+    """Rows of a CSV job, how many lines it skipped, and what else it asked for."""
+
+    rows: DataFrame
+    skipped: int
+    column_sizes: DataFrame | None
+    meta_schema: dict[str, dict[str, Any]] | None
+
+
+def run_csv_job(spark: SparkSession, job: CsvJob) -> CsvResult:
+    """Read, count the skipped lines in a pass of its own, and measure what the job asks for."""
+    rows = read_csv_job(spark, job)
+    return CsvResult(
+        rows,
+        skipped_lines(spark, job) if job.ignore_and_continue else 0,
+        column_sizes(rows) if job.calculate_column_size else None,
+        export_schema(rows) if job.populate_meta_schema else None,
+    )
+
+
+def skipped_lines(spark: SparkSession, job: CsvJob) -> int:
+    """How many lines do not fit the job's schema, or the inferred one."""
+    schema = job.schema
+    if schema is None:
+        schema = read_csv(spark, job.path, None, job.has_header, job.delimiter, line_delimiter=job.line_delimiter).schema
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = read_csv(spark, job.path, marked, job.has_header, job.delimiter, line_delimiter=job.line_delimiter)
+    return lines.where(F.col(CORRUPT).isNotNull()).count()
+
+
+def split_text(df: DataFrame, column: str, schema: str, delimiter: str = ",", keep: Sequence[str] = ()) -> DataFrame:
+    """Columns of a text of delimited cells, quotes respected; a cell that does not fit is NULL."""
+    parsed = F.from_csv(F.col(f"`{column}`"), schema, {"sep": delimiter, "mode": "PERMISSIVE"})
+    return df.select(*keep, parsed.alias("__cells")).select(*keep, "__cells.*")
+
+
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     return spark.read.parquet(*paths)

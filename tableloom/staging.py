@@ -7,7 +7,6 @@ executor costs a re-read and not a recomputation with other contents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -19,8 +18,8 @@ _roots: dict[str, str] = {}
 def work_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``; removed at exit.
 
-    Only a local session may go without the setting; a cluster needs a folder
-    every executor can see.
+    A local session without the setting takes a folder below its warehouse; a cluster needs
+    a folder every executor can see, so there the setting is required.
     """
     context = spark.sparkContext
     if context.applicationId not in _roots:
@@ -28,7 +27,7 @@ def work_root(spark: SparkSession) -> str:
         if not base:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            base = tempfile.mkdtemp(prefix="tableloom-")
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.work"
         root = f"{base.rstrip('/')}/tableloom-{context.applicationId}-{uuid.uuid4().hex[:8]}"
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())

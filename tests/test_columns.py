@@ -60,6 +60,18 @@ def test_month_filter_reaches_the_scan(spark, sf_dir):
     assert "o_totalprice" not in plan
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_months_as_numbers_or_text(spark, tmp_path, kind):
+    df = spark.createDataFrame([("199603", "a"), ("199603", "b"), ("199604", "a")], "m string, s string")
+    path = str(tmp_path / "by_month")
+    df.write.partitionBy("m").parquet(path)
+    written = spark.read.schema(f"s string, m {kind}").parquet(path)
+    counts = aggregates.month_segment_counts(written, "m", "s", "199603")
+    assert rows(counts) == [("199603", "a", 1), ("199603", "b", 1)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(m" in plan and "199603" in plan.split("PartitionFilters")[1][:60]
+
+
 def test_steps(spark):
     add = steps.Step(lambda df, by: df.withColumn("id", F.col("id") + by), {"by": steps.REQUIRED})
     df = spark.range(2)

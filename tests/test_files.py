@@ -10,7 +10,7 @@ from tableloom.sinks import topics as topic_sink
 from tableloom.sinks.files import FileTarget, write_files, write_single_csv
 from tableloom.sinks.report import write_with_report
 from tableloom.sinks.tables import TableTarget, create_text_table, write_table
-from tableloom.sources.files import CsvJob, read_csv, read_csv_job, read_keyed_rows
+from tableloom.sources.files import CsvJob, read_csv, read_csv_job, read_keyed_rows, run_csv_job, split_text
 from tableloom.sources.jdbc import JdbcSource, Split
 from tableloom.sources.topics import KafkaTopic
 from tableloom.staging import new_path, stage, work_root
@@ -61,6 +61,59 @@ def test_csv_job(spark, tmp_path):
         read_csv_job(spark, CsvJob(str(path), "k int, v string, w string", ";", False, start_offset=1))
 
 
+def test_read_lines_are_the_first_in_order(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("3;c\n1;a\n2;b\n")
+    job = lambda n, **more: rows(read_csv_job(spark, CsvJob(str(path), "k int, v string", ";", False, max_read_lines=n, **more)))
+    assert job(2) == [(1, "a"), (2, "b")] and job(0) == []
+    assert job(1, order_by=["v"]) == [(1, "a")]
+
+
+def test_skipped_lines_are_counted(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("id,n\n1,2\nx,3\n4,5\n")
+    job = CsvJob(str(path), "id int, n int", ignore_and_continue=True, calculate_column_size=True, populate_meta_schema=True)
+    done = run_csv_job(spark, job)
+    assert rows(done.rows) == [(1, 2), (4, 5)] and done.skipped == 1
+    assert rows(done.column_sizes) == [("id", 1), ("n", 1)] and list(done.meta_schema) == ["ID", "N"]
+    with pytest.raises(Exception):
+        read_csv_job(spark, CsvJob(str(path), "id int, n int")).collect()
+
+
+def test_delimited_text(spark):
+    df = spark.createDataFrame([(1, 'a,"b, c",3'), (2, "x,,oops"), (3, None)], "k int, t string")
+    assert rows(split_text(df, "t", "p string, q string, r int", keep=["k"])) == [
+        (1, "a", "b, c", 3), (2, "x", None, None), (3, None, None, None)]
+
+
+def test_a_table_does_not_replace_foreign_files(spark, people):
+    where = new_path(spark, "foreign")
+    people.write.parquet(where)
+    with pytest.raises(FileExistsError):
+        write_table(people.limit(2), TableTarget("people_x", location=where, overwrite=False))
+    assert spark.read.parquet(where).count() == 4
+    for name in ("people_y", "people_z"):
+        target = TableTarget(name, location=new_path(spark, name), overwrite=False)
+        write_table(people, target)
+        assert write_table(people, target).count() == 8
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_partitions_of_a_table_are_few_files(spark):
+    df = spark.range(1600, numPartitions=8).selectExpr("id", "id % 20 AS p")
+    where = new_path(spark, "few")
+    write_table(df, TableTarget("few_files", location=where, partition_by=["p"]))
+    assert len(glob.glob(where + "/p=*/*.parquet")) <= 40
+    spark.sql("DROP TABLE few_files")
+
+
+def test_a_join_into_a_table(spark, people):
+    frame = Source("frame", people)
+    report = run_join(spark, frame, frame, JoinConfig("id", "id"), TableTarget("people_joined"))
+    assert report.written == 4 and spark.table("people_joined").count() == 4
+    spark.sql("DROP TABLE people_joined")
+
+
 def test_guard_runs_before_the_job(spark, people, tmp_path):
     path = str(tmp_path / "out")
     write_files(people, FileTarget(path, "parquet", overwrite=False))
@@ -95,11 +148,9 @@ def test_partitioned_layout(spark, tmp_path):
 
 def test_single_csv(spark, people, tmp_path):
     path = str(tmp_path / "one")
-    write_single_csv(people.repartition(3), FileTarget(path), max_rows=4)
+    write_single_csv(people.repartition(3), FileTarget(path))
     (part,) = glob.glob(path + "/*.csv")
     assert open(part).read().count("id,name,n") == 1
-    with pytest.raises(ValueError):
-        write_single_csv(people, FileTarget(str(tmp_path / "two")), max_rows=3)
 
 
 def test_report(spark, tmp_path):
@@ -223,8 +274,9 @@ def test_job_options():
     assert table == TableTarget("t", location="/x")
     job = CsvJob.from_options({"path": "p", "maxReadLines": 5, "columnsToSelect": ["a"], "headers": ["A"], "filterExpression": ""}, "a int")
     assert job == CsvJob("p", columns_to_select=["a"], headers=["A"], max_read_lines=5)
+    assert CsvJob.from_options({"path": "p.csv", "fileInZip": "only if the path is an archive"}) == CsvJob("p.csv")
     with pytest.raises(ValueError):
-        CsvJob.from_options({"path": "p", "fileInZip": "x.csv"})
+        CsvJob.from_options({"path": "p.zip", "fileInZip": "x.csv"})
     assert JoinConfig.from_options({"unique_key_left": "a", "unique_key_right": "b", "join_type": "left"}).join_type == "left"
     with pytest.raises(ValueError):
         JoinConfig.from_options({"unique_key_left": "a"})

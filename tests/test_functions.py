@@ -152,10 +152,10 @@ def test_flatten(spark):
         flatten_record(spark.sql("SELECT array(1) AS a"))
 
 
-WORDS = st.lists(st.text("baehoixyz-]^\\$ é"), min_size=1, max_size=12)
+WORDS = st.lists(st.text("toxkabc-]^\\$ é"), min_size=1, max_size=12)
 
 
-@given(words=WORDS, order=st.sampled_from(["baehoi", "]^-\\", "z", "$é "]))
+@given(words=WORDS, order=st.sampled_from(["toxk", "]^-\\", "z", "$é "]))
 @settings(max_examples=20, deadline=None)
 def test_collation(spark, words, order):
     df = spark.createDataFrame([(w,) for w in words], "w string")
@@ -165,6 +165,6 @@ def test_collation(spark, words, order):
 
 
 def test_collation_example(spark):
-    df = spark.createDataFrame([(w,) for w in ("ab", "bi", "ai", "ah", "h", "i", "a")], "w string")
-    got = [r.w for r in df.orderBy(collation_key(F.col("w"), "baehoi")).collect()]
-    assert got == ["bi", "a", "ab", "ah", "ai", "h", "i"]
+    df = spark.createDataFrame([(w,) for w in ("ox", "kit", "to", "ok", "x", "tk", "o")], "w string")
+    got = [r.w for r in df.orderBy(collation_key(F.col("w"), "toxk")).collect()]
+    assert got == ["to", "tk", "o", "ox", "ok", "x", "kit"]

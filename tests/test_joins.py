@@ -124,6 +124,18 @@ def test_broadcast_only_below_the_limits(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_plain_joins_look_for_no_keys(spark, sf_dir):
+    """Adaptive execution splits both sides of an inner join, so nothing runs before it does."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("inner", "inner")
+    joins.equi_join(customer, orders, "c_custkey", "o_custkey")
+    jobs = list(tracker.getJobIdsForGroup("inner"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == []
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

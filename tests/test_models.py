@@ -124,8 +124,22 @@ def test_train_save_load_score(spark):
     assert rows(codes) == [("a", 0.0), ("unseen", -1.0), (None, -1.0)]
 
 
-def test_indexing_very_many_values_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(training, "MAX_LABELS", 10)
-    df = spark.range(100).select(F.col("id").cast("string").alias("x"))
-    with pytest.raises(ValueError):
-        training.string_indexer(df, ["x"], "alphabetAsc")
+def test_rows_without_a_feature_are_scored_without_a_prediction(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 1), (3.0, 0), (4.0, 1), (None, 1), (5.0, None)], "a double, y int")
+    model, left_out = training.train_counted(df, training.TrainingPlan(["a"], "y"))
+    assert left_out == 2
+    scored = {r.a: r.prediction for r in training.score(model, df.select("a")).collect()}
+    assert len(scored) == 6 and scored[None] is None and scored[1.0] is not None
+
+
+@pytest.mark.parametrize("listed", [0, 50])
+def test_names_of_slots_do_not_clash(spark, monkeypatch, listed):
+    monkeypatch.setattr(encode, "LISTED", listed)
+    values = ["OTHER"] * 5 + ["a"] * 4 + [None] * 3 + ["None"] * 2 + ["z"]
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    top = encode.fit_categories(df, "x", 4)
+    assert len({s.lower() for s in top.slots()}) == 5 and top.slots()[-1] == "x_OTHER_1"
+    counts = dict(rows(df.groupBy(top.capped().alias("c")).count()))
+    assert counts == {"OTHER": 5, "a": 4, None: 3, "None": 2, "OTHER_1": 1}
+    hot = {r[0]: tuple(r)[1:] for r in top.with_one_hot(df, ["x"]).collect()}
+    assert hot["OTHER"] == (1, 0, 0, 0, 0) and hot["z"] == (0, 0, 0, 0, 1) and sum(hot[None]) == sum(hot["None"]) == 1

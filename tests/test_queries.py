@@ -42,5 +42,5 @@ def test_the_comparison_sees_differences(spark, sf_dir, connection):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["c_mktsegment", "n"]
+    assert entry.entry(spark).columns == ["c_mktsegment", "n", "rank"]
     assert not entry.entry(spark).isEmpty()

@@ -94,7 +94,7 @@ def test_top_n(spark, monkeypatch, small):
 
 
 def test_slots_sorted_by_last_column_first(spark):
-    slots = [(1, 1, 30, 0), (2, 12, 70, 2), (3, 13, 10, 0), (4, 13, 20, 0), (5, 1, 30, 0), (6, 1, 30, 2), (7, 1, 30, 0)]
+    slots = [(1, 4, 8, 1), (2, 5, 9, 6), (3, 7, 2, 1), (4, 7, 3, 1), (5, 4, 8, 1), (6, 2, 8, 6), (7, 4, 8, 1)]
     df = spark.createDataFrame(slots, "id int, a int, b int, c int")
     order = [F.col(c).desc() for c in ("c", "b", "a")] + [F.col("id")]
     placed = sorted((p, i) for i, _, _, _, p in rows(ranking.with_position(df, order)))
@@ -104,8 +104,8 @@ def test_slots_sorted_by_last_column_first(spark):
 @pytest.mark.parametrize("pruned_k", [1000, 1])
 def test_top_k_sum(spark, monkeypatch, pruned_k):
     monkeypatch.setattr(ranking, "PRUNED_K", pruned_k)
-    df = spark.createDataFrame([("a", v) for v in (1, 10, 11, 31, 2, 23, -9, 6)] + [("b", 5)], "g string, v int")
-    assert dict(rows(ranking.top_k_sum(df, ["g"], "v", 4))) == {"a": 75, "b": 5}
+    df = spark.createDataFrame([("a", v) for v in (4, 17, 8, 26, 3, 19, -2, 12)] + [("b", 5)], "g string, v int")
+    assert dict(rows(ranking.top_k_sum(df, ["g"], "v", 4))) == {"a": 74, "b": 5}
 
 
 def simulate(backlog):
@@ -166,6 +166,20 @@ def test_salted_aggregate_equals_plain(spark):
         skew.salted_aggregate(df, ["k"], {"x": ("median", "v")})
 
 
+def test_a_salt_next_to_the_largest_number(spark):
+    from pyspark.sql.functions import lit
+
+    df = spark.range(10, numPartitions=4).select(lit("x").alias("k"))
+    top = df.select((skew.spread(df) + F.lit((1 << 62) - 10)).alias("s"))
+    assert top.count() == 10 and top.agg(F.max("s")).first()[0] > 0
+
+
+def test_a_salted_aggregate_reads_few_columns(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = skew.salted_aggregate(documents, ["lang"], {"n": ("count", "doc_id")})._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
 def test_a_sample_finds_hot_keys_and_counts_are_exact(spark):
     df = spark.range(90_000, numPartitions=6).select(
         F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 5 == 0, 0).otherwise(F.col("id")).alias("k"),
@@ -185,9 +199,9 @@ def test_hot_keys_are_bounded(spark):
 
 
 def test_pairs(spark):
-    df = spark.createDataFrame([(v,) for v in (6, 10, 20, 30, 9, 3, 12, 24, 10)], "v int")
-    assert sorted(rows(combine.pairs_with_sum(df, "v", 36))) == [(6, 30), (12, 24)]
-    assert sorted(rows(combine.pairs_with_difference(df, "v", 6))) == [(3, 9), (6, 12), (24, 30)]
+    df = spark.createDataFrame([(v,) for v in (5, 8, 17, 40, 45, 2, 28, 33, 8)], "v int")
+    assert sorted(rows(combine.pairs_with_sum(df, "v", 45))) == [(5, 40), (17, 28)]
+    assert sorted(rows(combine.pairs_with_difference(df, "v", 5))) == [(28, 33), (40, 45)]
     with pytest.raises(ValueError):
         combine.pairs_with_difference(df, "v", 0)
 
@@ -208,10 +222,31 @@ def test_combinations(spark, size):
     assert got == expected
 
 
-def test_combinations_need_a_bounded_catalogue(spark):
+@pytest.mark.parametrize("size", [1, 2, 3])
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_many_items_give_the_same_as_masks(spark, size, least):
+    random.seed(9)
+    data = [(random.choice([None, *range(12)]), random.choice([None, *"abcdefgh"])) for _ in range(120)]
+    df = spark.createDataFrame(data, "g int, i string")
+    routes = [combine.item_combinations(df, "g", "i", size, min_support=least, mask_items=n) for n in (62, 3)]
+    first, second = ({tuple(r["items"]): r.support for r in route.collect()} for route in routes)
+    assert first == second and all(n >= least for n in first.values())
+
+
+def test_both_routes_break_ties_alike(spark, monkeypatch):
+    df = spark.range(900, numPartitions=5).select((F.col("id") % 7).alias("v"), (F.col("id") * 31 % 101).alias("w"))
+    found = []
+    for small in (10_000, 0):
+        monkeypatch.setattr(ranking, "SMALL_SLICE", small)
+        found.append([rows(ranking.top_n(df, ["v"], 200)), sorted(rows(ranking.row_slice(df, ["v"], 50, 333)))])
+    assert found[0] == found[1]
+    placed = [sorted(rows(ranking.with_group_position(df, ["v"], [F.lit(1)], "p", group_rows=n))) for n in (10, 1_000_000)]
+    assert placed[0] == placed[1]
+
+
+def test_combinations_of_a_catalogue(spark):
     df = spark.range(100).select(F.lit(1).alias("g"), F.col("id").alias("i"))
-    with pytest.raises(ValueError):
-        combine.item_combinations(df, "g", "i", 2)
+    assert combine.item_combinations(df, "g", "i", 2).count() == 100 * 99 // 2
     wide = combine.item_combinations(df.where("i < 62"), "g", "i", 2)
     assert wide.count() == 62 * 61 // 2
     some = spark.createDataFrame([(3,), (99,)], "i long")

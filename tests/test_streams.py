@@ -94,3 +94,27 @@ def test_csv_stream(spark, tmp_path):
     stream = file_stream(spark, f"{tmp_path}/prob*.csv", "CUST_ID string, OUTBUFFER__1 string", "csv", header="true", sep=",")
     total = stream.agg(F.count("CUST_ID").alias("n"))
     assert rows(running_result(total)) == [(6,)]
+
+
+def test_rejects_are_returned_and_counted(spark, tmp_path):
+    from tableloom.plans.configured_join import run_join
+    from tableloom.sinks.files import FileTarget
+
+    bad = topic(spark, [("1", "a"), ("bad", "c")])
+    stream = lambda: file_stream(spark, bad, "value string")
+    other = Topic(file_stream(spark, topic(spark, [("1", "x")]), "value string"), ROWS)
+    rejects = []
+    joined = join_topics(Topic(stream(), ROWS, True), other, JoinConfig("ID", "ID"), rejects)
+    assert joined.count() == 1 and [r.decode_errors for r in rejects[0].collect()] == ["ID"]
+    source = Source("stream", stream(), ROWS, ignore_rejects=True)
+    right = Source("frame", spark.createDataFrame([(1,)], "key long"))
+    report = run_join(spark, source, right, JoinConfig("ID", "key"), FileTarget(str(tmp_path / "out"), "parquet"))
+    assert (report.read, report.written, report.errors) == (2, 1, 1)
+
+
+def test_each_cell_is_typed_once(spark):
+    specs = import_schema({"ID": {"type": "LongType()", "order": 1}, "DAY": {"type": "DateType()", "order": 2, "date_format": "yyyy"}})
+    df = spark.createDataFrame([('["1","2000"]',)], "value string")
+    good, _ = split_rejects(decode_positional(df, specs))
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert sum("try_to_timestamp" in line or "gettimestamp" in line for line in plan.splitlines()) == 1

@@ -60,10 +60,41 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
     brands = encode.fit_categories(parts, "p_brand", 5)
     # The slots are named after the values; the SQL cannot know them, so they are numbered here.
-    hot = parts.select("p_partkey", *brands.one_hot())
+    hot = brands.with_one_hot(parts, ["p_partkey"])
     return hot.toDF("p_partkey", *[f"slot_{i}" for i in range(len(brands.slots()))])
 
 
+@query(
+    """WITH t AS (SELECT c_name AS name, row_number() OVER (ORDER BY count(*) DESC, c_name) AS place
+                  FROM customer GROUP BY c_name)
+       SELECT c_custkey, least(place, 501) AS slot FROM customer JOIN t ON c_name = name"""
+)
+def one_hot_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """500 slots and one for the rest, back to the number of the one that is set."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    names = encode.fit_categories(customers, "c_name", 500)
+    hot = names.with_one_hot(customers, ["c_custkey"])
+    return hot.select("c_custkey", F.array_position(F.array(*hot.columns[1:]), 1).alias("slot"))
+
+
+@query(
+    """WITH v AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'OTHER' WHEN c_nationkey % 2 = 0 THEN c_mktsegment
+                              ELSE 'NATION ' || c_nationkey END AS x FROM customer),
+            t AS (SELECT x, row_number() OVER (ORDER BY count(*) DESC, x) AS place FROM v GROUP BY x QUALIFY place <= 3)
+       SELECT coalesce(t.x, CASE WHEN 'OTHER' IN (SELECT x FROM t) THEN 'OTHER_1' ELSE 'OTHER' END) AS segment, count(*) AS n
+       FROM v LEFT JOIN t USING (x) GROUP BY ALL"""
+)
+def topn_other_clash(spark: SparkSession, sf: str) -> DataFrame:
+    """A value that is called as the rest is keeps its name and its count."""
+    kind = F.expr(
+        """CASE WHEN c_mktsegment = 'BUILDING' THEN 'OTHER' WHEN c_nationkey % 2 = 0 THEN c_mktsegment
+           ELSE concat('NATION ', c_nationkey) END"""
+    )
+    customers = table(spark, sf, "customer").select(kind.alias("x"))
+    kinds = encode.fit_categories(customers, "x", 3)
+    return customers.groupBy(kinds.capped().alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT p.p_partkey, {_SLOTS} FROM part p LEFT JOIN ({_TOP_BRANDS}) t ON p.p_brand = t.p_brand")
 def one_hot_vector(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
@@ -203,6 +234,70 @@ def train_and_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _saturated(spark: SparkSession, sf: str) -> tuple[DataFrame, training.PipelineModel, int]:
+    """Documents, and a model of quality by a category of two values, saved and loaded."""
+    documents = table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("language"), F.col("n_chars")
+    )
+    labelled = documents.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    plan = training.TrainingPlan(
+        features=["language"], label="quality", categories=["language"], model={"penalty": "none", "tol": 1e-10}
+    )
+    path = new_path(spark, "model")
+    model, left_out = training.train_counted(labelled, plan)
+    training.save(model, path)
+    return documents, training.load(path), left_out
+
+
+_MEANS = """SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS language, avg(quality) AS p
+            FROM labels JOIN documents USING (doc_id) GROUP BY ALL"""
+
+
+@query(
+    f"""SELECT doc_id, language, round(p, 4) AS probability, round(ln(p / (1 - p)), 3) AS decision,
+               CAST(p > 0.5 AS INTEGER) AS prediction
+        FROM documents JOIN ({_MEANS}) m ON (lang = 'en') = (language = 'en')"""
+)
+def train_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a penalty and with a parameter per value, probabilities are the means of the values."""
+    documents, model, _ = _saturated(spark, sf)
+    scored = training.score(model, documents)
+    return scored.select(
+        "doc_id",
+        "language",
+        F.round(F.element_at("probabilities", 2), 4).alias("probability"),
+        F.round(F.element_at("decisions", 2), 3).alias("decision"),
+        F.col("prediction").cast("int").alias("prediction"),
+    )
+
+
+@query(
+    f"""WITH m AS ({_MEANS}), o AS (SELECT ln(p / (1 - p)) AS d, language FROM m)
+        SELECT 2 AS classes, round((SELECT d FROM o WHERE language = 'en'), 3) AS intercept,
+               round((SELECT d FROM o WHERE language = 'other') - (SELECT d FROM o WHERE language = 'en'), 3) AS coefficient"""
+)
+def model_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes are 0 and 1, so the intercept and the coefficient are log odds."""
+    _, model, _ = _saturated(spark, sf)
+    found = models.attributes(model.stages[-1])
+    line = [(len(found["classes"]), round(found["intercept"][0], 3), round(found["coefficients"][0][0], 3))]
+    return spark.createDataFrame(line, "classes int, intercept double, coefficient double")
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN round(p, 4) END AS probability
+        FROM documents JOIN ({_MEANS}) m ON (lang = 'en') = (language = 'en')"""
+)
+def score_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a feature stay, without a prediction."""
+    documents = table(spark, sf, "documents").select("doc_id", (F.col("lang") == "en").cast("double").alias("english"))
+    labelled = documents.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    plan = training.TrainingPlan(features=["english"], label="quality", model={"penalty": "none", "tol": 1e-10})
+    gaps = documents.withColumn("english", F.when(F.col("doc_id") % 7 != 0, F.col("english")))
+    scored = training.score(training.train(labelled, plan), gaps)
+    return scored.select("doc_id", F.round(F.element_at("probabilities", 2), 4).alias("probability"))
+
+
 @query(
     """SELECT o_custkey, count(*) AS n, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))) * 1.5, 2)::DOUBLE AS scaled
        FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey"""
@@ -220,11 +315,16 @@ def chained_steps(spark: SparkSession, sf: str) -> DataFrame:
     return steps.run_steps(table(spark, sf, "orders"), chain, {"status": "O", "factor": "1.5"})
 
 
-@query("SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS letters FROM documents")
+@query(
+    """SELECT event_id, CAST(nfc_normalize(event_type || chr(101) || chr(769)) = event_type || chr(233) AS BOOLEAN) AS composed
+       FROM events"""
+)
 def row_function(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    """Unicode normalisation, which Spark has no function for."""
+    events = table(spark, sf, "events").select("event_id", "event_type")
 
-    def count_letters(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": rows["doc_id"], "letters": rows["text"].str.count("e")})
+    def normalise(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = (rows["event_type"] + "e\u0301").str.normalize("NFC")
+        return pd.DataFrame({"event_id": rows["event_id"], "composed": whole == rows["event_type"] + "\u00e9"})
 
-    return steps.row_function(documents, count_letters, "doc_id long, letters long")
+    return steps.row_function(events, normalise, "event_id long, composed boolean")

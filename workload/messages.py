@@ -12,14 +12,14 @@ from tableloom.functions.decode import (
     split_rejects,
 )
 from tableloom.functions.schema import export_schema, import_schema
-from tableloom.plans.configured_join import JoinConfig, Topic, join_topics
+from tableloom.plans.configured_join import JoinConfig, Topic, join_topics, run_join
 from tableloom.plans.federated import Source, federated_sql
 from tableloom.sinks.files import FileTarget, write_files
 from tableloom.sinks.report import write_with_report
 from tableloom.sinks.tables import TableTarget, write_table
 from tableloom.sinks.topics import keyed_batches as batches
-from tableloom.sources.files import CsvJob, read_csv, read_csv_job
-from tableloom.staging import new_path
+from tableloom.sources.files import CsvJob, read_csv, read_csv_job, run_csv_job, split_text
+from tableloom.staging import new_path, stage
 from tableloom.streaming.drain import drain, file_stream
 from tableloom.streaming.publish import copy_files, encode_stream, running_result
 from workload.registry import query, table
@@ -43,6 +43,11 @@ def _message_stream(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame,
     return stream.select(encode_positional(stream.columns).alias("value")), export_schema(stream)
 
 
+def _none(rejects: DataFrame) -> None:
+    if not rejects.isEmpty():
+        raise ValueError("messages were rejected")
+
+
 # ---- CSV
 
 
@@ -134,7 +139,9 @@ def decode_positional(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"),
     ]
     messages = lines.select(encode_positional(cells).alias("value"))
-    good, _ = split_rejects(decode(messages, import_schema(_LINE)))
+    rows = stage(decode(messages, import_schema(_LINE)), "decoded")
+    good, rejects = split_rejects(rows)
+    _none(rejects)
     return good.withColumn("L_DISCOUNT", F.col("L_DISCOUNT").cast("double"))
 
 
@@ -217,7 +224,8 @@ def keyed_batches(spark: SparkSession, sf: str) -> DataFrame:
 def bounded_drain(spark: SparkSession, sf: str) -> DataFrame:
     stream, descriptor = _message_stream(spark, sf, "events")
     specs = import_schema(descriptor)
-    good, _ = split_rejects(drain(stream, lambda s: decode(s, specs)))
+    good, rejects = split_rejects(drain(stream, lambda s: decode(s, specs)))
+    _none(rejects)
     return good
 
 
@@ -336,3 +344,113 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(
         line, "rows_read long, rows_written long, rows_ignored long, rows_in_error long"
     )
+
+
+@query(
+    """SELECT column_name, max_length, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS skipped,
+              'LongType(),StringType(),DecimalType(20,1)' AS types FROM (
+         SELECT 'order_id' AS column_name, CAST(max(length(CAST(o_orderkey AS VARCHAR))) AS BIGINT) AS max_length
+         FROM orders WHERE o_orderstatus <> 'P'
+         UNION ALL SELECT 'status', max(length(o_orderstatus)) FROM orders WHERE o_orderstatus <> 'P'
+         UNION ALL SELECT 'cents', max(length(CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR))) + 2
+         FROM orders WHERE o_orderstatus <> 'P')"""
+)
+def job_csv_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A job file's read: sizes, schema and the lines that did not fit."""
+    cents = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(
+        F.concat((F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit(".0"))
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", cents.alias("cents"))
+    path = _csv(orders, "orders", delimiter=";")
+    options = {
+        "path": path,
+        "delimiter": ";",
+        "headers": ["order_id", "status", "cents"],
+        "columnsToSelect": ["o_orderkey", "o_orderstatus", "cents"],
+        "fileInZip": "only if the path is an archive",
+        "userProvidedSchema": True,
+        "ignoreAndContinue": True,
+        "calculateColumnSize": True,
+        "populateMetaSchema": True,
+    }
+    done = run_csv_job(spark, CsvJob.from_options(options, "o_orderkey long, o_orderstatus string, cents decimal(20,1)"))
+    return done.column_sizes.withColumns(
+        {"skipped": F.lit(done.skipped).cast("long"), "types": F.lit(",".join(d["type"] for d in done.meta_schema.values()))}
+    )
+
+
+@query(
+    """SELECT c_custkey AS id, c_mktsegment || ', "' || c_name || '"' AS note, CAST(trunc(c_acctbal) AS INTEGER) AS balance,
+              NULL::INTEGER AS word FROM customer"""
+)
+def split_csv_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of delimited cells with quotes; the last cell does not fit its type."""
+    customers = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.concat("c_mktsegment", F.lit(', "'), "c_name", F.lit('"')).alias("note"),
+        F.col("c_acctbal").cast("int").alias("balance"),
+        F.lit("word").alias("word"),
+    )
+    messages = customers.select(F.to_csv(F.struct("*")).alias("value"))
+    return split_text(messages, "value", "id long, note string, balance int, word int")
+
+
+def _spoiled(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Orders as messages, those with status P with a key that is no number."""
+    stream = _stream(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    key = F.when(F.col("o_orderstatus") == "P", F.lit("?")).otherwise(F.col("o_orderkey").cast("string"))
+    cells = [key, "o_custkey", "o_orderstatus"]
+    return stream.select(encode_positional(cells).alias("value")), export_schema(stream)
+
+
+@query(
+    """SELECT 'joined' AS part, c_mktsegment AS name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey
+       WHERE o_orderstatus <> 'P' GROUP BY ALL
+       UNION ALL SELECT 'rejected', 'O_ORDERKEY', count(*) FROM orders WHERE o_orderstatus = 'P'"""
+)
+def join_topics_with_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    left = Topic(*_message_stream(spark, sf, "customer"))
+    right = Topic(*_spoiled(spark, sf), keep_rejects=True)
+    rejects: list[DataFrame] = []
+    joined = join_topics(left, right, JoinConfig("C_CUSTKEY", "O_CUSTKEY"), rejects)
+    (bad,) = rejects
+    counts = [
+        df.groupBy(F.lit(part).alias("part"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        for df, part, name in ((joined, "joined", "C_MKTSEGMENT"), (bad, "rejected", "decode_errors"))
+    ]
+    return counts[0].unionAll(counts[1])
+
+
+@query(
+    """SELECT count(*) AS rows_read, count(*) FILTER (o_orderstatus <> 'P') AS rows_written, 0::BIGINT AS rows_ignored,
+              count(*) FILTER (o_orderstatus = 'P') AS rows_in_error FROM orders"""
+)
+def run_report_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What a source turns away is in the report of the job; every order has one customer."""
+    stream, descriptor = _spoiled(spark, sf)
+    report = run_join(
+        spark,
+        Source("parquet", f"{sf}/customer.parquet"),
+        Source("stream", stream, descriptor, ignore_rejects=True),
+        JoinConfig("c_custkey", "O_CUSTKEY"),
+        FileTarget(new_path(spark, "joined"), "parquet"),
+    )
+    line = [(report.read, report.written, report.ignored, report.errors)]
+    return spark.createDataFrame(line, "rows_read long, rows_written long, rows_ignored long, rows_in_error long")
+
+
+@query(
+    """SELECT c_custkey, c_nationkey, n_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def join_to_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A configured join into a partitioned table."""
+    path = new_path(spark, "joined")
+    name = f"joined_{path[-32:]}"
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    target = TableTarget(name, location=path, partition_by=["n_name"], overwrite=False)
+    run_join(spark, Source("frame", customers), Source("frame", nations), JoinConfig("c_nationkey", "n_nationkey"), target)
+    schema = spark.table(name).schema
+    # An external table leaves its files, partitions in folders, to be read.
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schema).parquet(path)

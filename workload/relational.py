@@ -11,7 +11,9 @@ from tableloom.functions.flatten import flatten_record
 from tableloom.functions.schema import apply_schema
 from tableloom.operators import aggregates, bucketed, columns, combine, joins, ranking, skew
 from tableloom.plans.federated import sql_join as run_sql_join
-from workload.registry import query, table
+from tableloom.sinks.files import FileTarget, write_files
+from tableloom.staging import new_path
+from workload.registry import query, ranked, table
 
 # ---- projection and filters
 
@@ -247,22 +249,23 @@ def flatten_kv(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- joins
 
-_CUSTOMERS = "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal > 2000"
-_ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000"
+_CUSTOMERS = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
+# Every order has a customer and every customer an order. So where a join is about rows without
+# a partner, one side leaves some out.
+_RICH = "c_acctbal > 2000"
+_DEAR = "o_orderstatus = 'F' AND o_totalprice > 300000"
 
 
-def _join_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    customers = table(spark, sf, "customer").where("c_acctbal > 2000")
-    orders = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_totalprice > 300000")
+def _join_sides(spark: SparkSession, sf: str, customers: str = "true", orders: str = "true") -> tuple[DataFrame, DataFrame]:
     return (
-        customers.select("c_custkey", "c_name", "c_mktsegment"),
-        orders.select("o_orderkey", "o_custkey", "o_totalprice"),
+        table(spark, sf, "customer").where(customers).select("c_custkey", "c_name", "c_mktsegment"),
+        table(spark, sf, "orders").where(orders).select("o_orderkey", "o_custkey", "o_totalprice"),
     )
 
 
-def _joined(spark: SparkSession, sf: str, how: str) -> DataFrame:
-    customers, orders = _join_sides(spark, sf)
-    return joins.equi_join(customers, orders, "c_custkey", "o_custkey", how)
+def _joined(spark: SparkSession, sf: str, how: str, customers: str = "true", orders: str = "true") -> DataFrame:
+    return joins.equi_join(*_join_sides(spark, sf, customers, orders), "c_custkey", "o_custkey", how)
 
 
 @query(f"SELECT * FROM ({_CUSTOMERS}) JOIN ({_ORDERS}) ON c_custkey = o_custkey")
@@ -270,9 +273,9 @@ def join_inner(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(spark, sf, "inner")
 
 
-@query(f"SELECT * FROM ({_CUSTOMERS}) LEFT JOIN ({_ORDERS}) ON c_custkey = o_custkey")
+@query(f"SELECT * FROM ({_CUSTOMERS}) LEFT JOIN ({_ORDERS} WHERE {_DEAR}) ON c_custkey = o_custkey")
 def join_left(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "left")
+    return _joined(spark, sf, "left", orders=_DEAR)
 
 
 @query(f"SELECT * FROM ({_CUSTOMERS}) RIGHT JOIN ({_ORDERS}) ON c_custkey = o_custkey")
@@ -280,32 +283,31 @@ def join_right(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(spark, sf, "right")
 
 
-@query(f"SELECT * FROM ({_CUSTOMERS}) FULL JOIN ({_ORDERS}) ON c_custkey = o_custkey")
+@query(f"SELECT * FROM ({_CUSTOMERS} WHERE {_RICH}) FULL JOIN ({_ORDERS}) ON c_custkey = o_custkey")
 def join_full(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "full")
+    return _joined(spark, sf, "full", customers=_RICH)
 
 
-@query(f"SELECT * FROM ({_CUSTOMERS}) SEMI JOIN ({_ORDERS}) ON c_custkey = o_custkey")
+@query(f"SELECT * FROM ({_CUSTOMERS}) SEMI JOIN ({_ORDERS} WHERE {_DEAR}) ON c_custkey = o_custkey")
 def join_semi(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "semi")
+    return _joined(spark, sf, "semi", orders=_DEAR)
 
 
-@query(f"SELECT * FROM ({_CUSTOMERS}) ANTI JOIN ({_ORDERS}) ON c_custkey = o_custkey")
+@query(f"SELECT * FROM ({_CUSTOMERS}) ANTI JOIN ({_ORDERS} WHERE {_DEAR}) ON c_custkey = o_custkey")
 def join_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "anti")
+    return _joined(spark, sf, "anti", orders=_DEAR)
 
 
 @query(
     """SELECT l.o_orderkey AS o_orderkey_1, l.o_totalprice, r.o_orderkey, r.o_orderpriority
-       FROM orders l JOIN orders r ON l.o_orderkey = r.o_orderkey WHERE r.o_orderstatus = 'P'"""
+       FROM orders l JOIN orders r ON l.o_orderkey = r.o_orderkey"""
 )
 def sql_join(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     return run_sql_join(
         orders.select("o_orderkey", "o_totalprice"),
-        orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"),
-        "SELECT l.*, r.o_orderkey, r.o_orderpriority FROM left l JOIN right r "
-        "ON l.o_orderkey == r.o_orderkey WHERE r.o_orderstatus = 'P'",
+        orders.select("o_orderkey", "o_orderpriority"),
+        "SELECT l.*, r.o_orderkey, r.o_orderpriority FROM left l JOIN right r ON l.o_orderkey == r.o_orderkey",
     )
 
 
@@ -367,10 +369,10 @@ def join_mapped(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""SELECT coalesce(c_custkey, o_custkey) AS customer, c_mktsegment AS segment,
                o_orderkey AS order_id, o_totalprice AS price
-        FROM ({_CUSTOMERS}) FULL JOIN ({_ORDERS}) ON c_custkey = o_custkey"""
+        FROM ({_CUSTOMERS} WHERE {_RICH}) FULL JOIN ({_ORDERS}) ON c_custkey = o_custkey"""
 )
 def join_mapped_full(spark: SparkSession, sf: str) -> DataFrame:
-    customers, orders = _join_sides(spark, sf)
+    customers, orders = _join_sides(spark, sf, customers=_RICH)
     return joins.mapped_join(customers, orders, "c_custkey", "o_custkey", _MAPPED, "full")
 
 
@@ -383,28 +385,29 @@ def join_broadcast(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT event_id, user_id, value, c_custkey, c_name
-       FROM events JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey"""
+       FROM events JOIN customer ON user_id = c_custkey"""
 )
 def join_salted(spark: SparkSession, sf: str) -> DataFrame:
     events, customers = _event_sides(spark, sf)
-    return joins.equi_join(events, customers, "user_id", "c_custkey", hot_rows=HOT)
+    return joins.equi_join(events, customers, "user_id", "c_custkey", hot_rows=_hot_rows(events))
 
 
 @query(
     """SELECT event_id, user_id, value, c_custkey, c_name
-       FROM events FULL JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey"""
+       FROM events FULL JOIN customer ON user_id = c_custkey"""
 )
 def join_salted_full(spark: SparkSession, sf: str) -> DataFrame:
     events, customers = _event_sides(spark, sf)
-    return joins.equi_join(events, customers, "user_id", "c_custkey", "full", hot_rows=HOT)
+    return joins.equi_join(events, customers, "user_id", "c_custkey", "full", hot_rows=_hot_rows(events))
 
 
-# Small enough that the test tables have hot keys at all.
-HOT = 64
+def _hot_rows(events: DataFrame) -> int:
+    """A two-hundredth of the table: at the small scales every user has more than that."""
+    return max(1, events.count() // 200)
 
 
 def _event_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    customers = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
     return table(spark, sf, "events").select("event_id", "user_id", "value"), customers
 
 
@@ -434,9 +437,12 @@ def count_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
+@query(
+    """SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank
+       FROM events GROUP BY event_type"""
+)
 def value_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.frequency(table(spark, sf, "events"), ["event_type"])
+    return ranked(aggregates.frequency(table(spark, sf, "events"), ["event_type"]))
 
 
 @query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders")
@@ -464,6 +470,19 @@ def month_segment_counts(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.month_segment_counts(orders, "o_orderdate", "o_orderpriority", "199603")
 
 
+@query(
+    """SELECT '199603' AS month_period, o_orderpriority, count(*) AS n FROM orders
+       WHERE strftime(o_orderdate, '%Y%m') = '199603' GROUP BY o_orderpriority"""
+)
+def month_segment_counts_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over orders written by month, of which one folder is read."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyyMM").alias("month_period"))
+    path = new_path(spark, "by_month")
+    write_files(orders, FileTarget(path, "parquet", partition_by=["month_period"]))
+    written = spark.read.parquet(path)
+    return aggregates.month_segment_counts(written, "month_period", "o_orderpriority", "199603")
+
+
 _DESCRIBED = """SELECT '{0}' AS column_name, count({0}) AS count, round(avg({0}), 4) AS mean,
   round(stddev_samp({0}), 4) AS stddev, min({0})::DOUBLE AS min, max({0})::DOUBLE AS max FROM lineitem"""
 
@@ -537,10 +556,23 @@ def keep_last(spark: SparkSession, sf: str) -> DataFrame:
 # ---- order
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query(
+    """SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank
+       FROM orders QUALIFY rank <= 100"""
+)
 def top_n(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return ranking.top_n(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 100)
+    return ranked(ranking.top_n(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 100))
+
+
+@query(
+    """SELECT o_orderpriority, o_orderstatus, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) AS rank
+       FROM orders QUALIFY rank <= 400"""
+)
+def top_n_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Only copies tie on both columns, so which of them are taken does not show."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus")
+    return ranked(ranking.top_n(orders, ["o_orderpriority", "o_orderstatus"], 400))
 
 
 @query(
@@ -588,12 +620,12 @@ def topk_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, p_name, row_number() OVER (ORDER BY list_transform(string_split(p_name, ''),
-                lambda c: CASE WHEN instr('baehoi', c) = 0 THEN 7 ELSE instr('baehoi', c) END),
+                lambda c: CASE WHEN instr('zyxcdefgh', c) = 0 THEN 10 ELSE instr('zyxcdefgh', c) END),
               p_name, p_partkey) AS position FROM part"""
 )
 def custom_collation(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
-    return ranking.custom_collation(parts, "p_name", "baehoi", ["p_partkey"])
+    return ranking.custom_collation(parts, "p_name", "zyxcdefgh", ["p_partkey"])
 
 
 @query(
@@ -674,3 +706,17 @@ def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def item_triples(spark: SparkSession, sf: str) -> DataFrame:
     return _baskets(spark, sf, 3)
+
+
+_PARTS = "SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem"
+
+
+@query(
+    f"""WITH b AS ({_PARTS}) SELECT x.i || '+' || y.i AS items, count(*) AS support
+        FROM b x JOIN b y ON x.g = y.g AND x.i < y.i GROUP BY ALL HAVING count(*) >= 2"""
+)
+def item_pairs_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs out of all parts, far more than one mask holds."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    found = combine.item_combinations(lines, "l_orderkey", "l_partkey", 2, min_support=2)
+    return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), "+"))
