@@ -4,7 +4,8 @@ Each kind has a pattern, a check of the matched text and a starting score. Match
 and do not overlap within a kind; one that fails its check is dropped. Words near a span (40
 characters before, 20 after) add to its score. Kinds of the base list (email, ip, card, phone) are
 reported whenever their check holds; the others (iban by mod-97, national numbers and
-bank accounts by context) when their score reaches 0.6.
+bank accounts by context) when their score reaches 0.6. The words looked at are those up to
+the next match of the kind.
 
 Positions come from SQL functions alone: the gaps between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running sums of their lengths are the positions.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.llm.text import free_names, running_sums, text_of
+from tableloom.llm.text import free_names, let, running_sums, text_of
 
 THRESHOLD = 0.6
 BEFORE, AFTER = 40, 20
@@ -154,32 +155,29 @@ _SPANS = "array<struct<start:bigint,end:bigint,rank:int,kind:string,score:double
 
 def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
     """Checked spans of one kind, given its matches."""
-    gaps = F.split(text, kind.pattern, -1)
-    steps = F.transform(found, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
-    placed = F.transform(
-        F.arrays_zip(found.alias("m"), running_sums(steps).alias("s"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")),
-        lambda x: F.struct(x["m"].alias("m"), (x["s"] + F.length(x["g"])).alias("start")),
-    )
-    near = lambda x: F.lower(
-        F.concat(
-            F.substr(
-                text,
-                F.greatest(x["start"] - BEFORE, F.lit(0)).cast("int") + 1,
-                F.least(x["start"], F.lit(BEFORE)).cast("int"),
+
+    def placed(gaps: Column) -> Column:
+        steps = F.transform(found, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
+        return F.transform(
+            running_sums(steps),
+            lambda before, i: F.struct(
+                F.get(found, i).alias("m"),
+                (before + F.length(F.get(gaps, i))).alias("start"),
+                F.lower(
+                    F.concat(F.right(F.get(gaps, i), F.lit(BEFORE)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(AFTER)))
+                ).alias("near"),
             ),
-            F.lit(" "),
-            F.substr(text, (x["start"] + F.length(x["m"])).cast("int") + 1, F.lit(AFTER)),
         )
-    )
+
     scored = F.transform(
-        F.filter(placed, lambda x: kind.check(x["m"])),
+        F.filter(let(F.split(text, kind.pattern, -1), placed), lambda x: kind.check(x["m"])),
         lambda x: F.struct(
             x["start"].alias("start"),
             (x["start"] + F.length(x["m"])).alias("end"),
             F.lit(rank).alias("rank"),
             F.lit(kind.name).alias("kind"),
             F.round(
-                F.lit(kind.score) + F.when(F.regexp_like(near(x), F.lit(rf"\b(?:{kind.words})")), 0.3).otherwise(0.0), 2
+                F.lit(kind.score) + F.when(F.regexp_like(x["near"], F.lit(rf"\b(?:{kind.words})")), 0.3).otherwise(0.0), 2
             ).alias("score"),
         ),
     )
@@ -189,8 +187,11 @@ def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
-    """``docs`` with an array of (start, end, rank, kind, score), sorted by start and kind."""
-    whole, *found = free_names(docs, "__text", *[f"__found_{k.name}" for k in KINDS])
+    """``docs`` with an array of (start, rank, end, kind, score), sorted by start and kind.
+
+    Its column is called ``name``, with an underscore in front if that is taken.
+    """
+    name, whole, *found = free_names(docs, name, "__text", *[f"__found_{k.name}" for k in KINDS])
     body = F.col(whole)
     matched = docs.withColumn(whole, text_of(F.col(f"`{text}`"))).withColumns(
         {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +24,42 @@ def lower_ascii(text: str) -> str:
     return text.translate(LOWER_TABLE)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside a lambda function an expression is computed anew for every element; its
+    parameter is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(steps: Column) -> Column:
     """For an array of numbers, the sum of all earlier elements at each place.
 
     Sums of blocks of about sqrt(n) elements are added first, so a long array costs
     n * sqrt(n) steps and no array is copied.
     """
-    block = F.greatest(F.ceil(F.sqrt(F.size(steps))).cast("int"), F.lit(1))
-    add = lambda total, x: total + x
     zero = F.lit(0).cast("long")
 
-    def sums(parts: Column) -> Column:
-        return F.transform(
-            steps,
-            lambda _, i: F.aggregate(F.slice(parts, F.lit(1), F.floor(i / block).cast("int")), zero, add)
-            + F.aggregate(
-                F.slice(steps, (F.floor(i / block) * block).cast("int") + 1, (i % block).cast("int")), zero, add
+    def total(parts: Column) -> Column:
+        return F.aggregate(parts, zero, lambda a, b: a + b)
+
+    def sums(s: Column, block: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(s) / block).cast("int")),
+            lambda b: total(F.slice(s, b * block + 1, block)),
+        )
+        return let(
+            blocks,
+            lambda parts: F.transform(
+                s,
+                lambda _, i: total(F.slice(parts, F.lit(1), F.floor(i / block).cast("int")))
+                + total(F.slice(s, (F.floor(i / block) * block).cast("int") + 1, (i % block).cast("int"))),
             ),
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size(steps) / block).cast("int")),
-        lambda b: F.aggregate(F.slice(steps, (b * block).cast("int") + 1, block), zero, add),
-    )
-    return F.when(F.size(steps) > 0, sums(blocks)).otherwise(F.array().cast("array<bigint>"))
+    side = lambda s: F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1))
+    return let(steps, lambda s: let(side(s), lambda block: sums(s, block)))
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
