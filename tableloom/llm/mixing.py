@@ -102,7 +102,7 @@ def mixing_plan(
         ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))
     )
     # A document belongs to the needed words when its middle does.
-    extra = F.col("before") + F.col("inside") + F.col("words") / 2 <= F.col("needed")
+    extra = (F.col("needed") > 0) & (F.col("before") + F.col("inside") + F.col("words") / 2 <= F.col("needed"))
     return placed.select(
         "key",
         "source",
@@ -123,15 +123,15 @@ def row_hash(key: str, text: str, seed: int = SEED) -> Column:
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, columns as they were."""
     plan = mixing_plan(docs, key, text, source, **options)
-    h, times = free_names(docs, "__h", "__times")
+    h, times, k, s, plan_h = free_names(docs, "__h", "__times", "__key", "__source", "__plan_h")
     decisions = plan.where("repetitions > 0").select(
-        F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("h").alias("__plan_h"), F.col("repetitions").alias(times)
+        F.col("key").alias(k), F.col("source").alias(s), F.col("h").alias(plan_h), F.col("repetitions").alias(times)
     )
     joined = docs.withColumn(h, row_hash(key, text, options.get("seed", SEED))).join(
         decisions,
-        (F.col(h) == F.col("__plan_h"))
-        & F.col(f"`{key}`").eqNullSafe(F.col("__key"))
-        & F.col(f"`{source}`").eqNullSafe(F.col("__source")),
+        (F.col(h) == F.col(plan_h))
+        & F.col(f"`{key}`").eqNullSafe(F.col(k))
+        & F.col(f"`{source}`").eqNullSafe(F.col(s)),
     )
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(h)
