@@ -3,10 +3,11 @@
 Documents become token ids, an end id included; longer ones than a sequence are cut into full
 pieces after a shorter first one. Pieces are dealt into partitions. Each partition is packed
 by best-fit decreasing and gets a lower bound on its number of bins from dual-feasible functions;
-where the two agree the packing is certified optimal. Partitions with a gap give up the pieces
-of bins that are not full, exchange them under a new hash among half as many partitions, and run
-again; a round's packing is kept only if it needs fewer bins. Only two counts per round reach the
-driver, and a partition has about 20 000 pieces.
+where the two agree the packing is certified optimal. The same functions bound the bins of the
+whole table, from its counts by length. While more are used, partitions with a gap give up the
+pieces of bins that are not full, certified ones those of bins not half full; they exchange them
+under a new hash among half as many partitions and run again. A round's packing is kept only if
+it needs fewer bins. Only counts reach the driver, and a partition has about 20 000 pieces.
 
 Defined results: NULL text is the empty text, a piece of the end id alone; rows that agree in
 all are packed each; full pieces are sequences alone.
@@ -66,9 +67,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     A dual-feasible function maps sizes so that what fits one bin still does; the sum of the
     mapped sizes over the capacity is then a bound.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length, 0 to ``capacity``."""
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = np.arange(capacity + 1)
     best = -(-int((counts * sizes).sum()) // capacity)
     # Sizes over capacity - k count as a full bin, those under k as nothing.
@@ -118,7 +123,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 _PACKED = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, "
-    "certified boolean, full boolean"
+    "certified boolean, loose boolean"
 )
 
 
@@ -139,7 +144,7 @@ def _pack(pieces: DataFrame, part: Column, number: int, capacity: int) -> DataFr
                 "sequence_id": (number + 1 << 56) + (part << 32) + bins,
                 "offset": offsets,
                 "certified": np.full(len(bins), certified),
-                "full": fill[bins] == capacity,
+                "loose": (fill[bins] < capacity) if not certified else (2 * fill[bins] < capacity),
             }
         )
 
@@ -147,6 +152,10 @@ def _pack(pieces: DataFrame, part: Column, number: int, capacity: int) -> DataFr
     return parted.groupBy("part").applyInArrow(run, _PACKED)
 
 
+def _bins(packed: DataFrame) -> int:
+    return packed.where("offset = 0").count()
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` with ``sequence_id``, ``offset`` and whether the bin count is ``certified``.
 
@@ -158,18 +167,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
     short = pieces.where(F.col("length") < capacity)
     parts = -(-short.count() // part_pieces) or 1
     row = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    by_length = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    needed = bound_of_counts(np.array([by_length.get(i, 0) for i in range(capacity + 1)], np.int64), capacity)
     now = stage(_pack(short, F.pmod(row, F.lit(parts)), 0, capacity), "packed")
-    done = [now]
+    done, used = [now], _bins(now)
     for number in range(1, rounds):
-        settled, pool = now.where("certified OR full"), now.where("NOT certified AND NOT full")
-        before, size = pool.agg(F.count(F.when(F.col("offset") == 0, F.lit(1))), F.count(F.lit(1))).first()
-        if parts == 1 or before < 2:
+        if parts == 1 or used <= needed:
             break
-        parts = max(1, min(parts // 2, -(-size // part_pieces)))
+        settled, pool = now.where("NOT loose"), now.where("loose")
+        before = _bins(pool)
+        parts = max(1, min(parts // 2, -(-pool.count() // part_pieces)))
         salt = F.xxhash64(F.lit(number), "doc_id", "piece", "ids_crc32", "sequence_id", "offset")
         again = stage(_pack(pool, F.pmod(salt, F.lit(parts)), number, capacity), "packed")
-        if again.where("offset = 0").count() >= before:
+        after = _bins(again)
+        if after >= before:
             break
+        used -= before - after
         done[-1:] = [settled, again]
         now = again
     columns = alone.columns
