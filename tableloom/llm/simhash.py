@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.llm.graph import components
-from tableloom.llm.text import WORD, lower_ascii, text_of
+from tableloom.llm.text import WORD, free_names, lower_ascii, text_of
 from tableloom.staging import stage
 
 WORDS = 3  # per shingle
@@ -146,14 +146,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of ``docs`` with the smallest key of every group, columns as they were."""
+    k, h, others = free_names(docs, "__key", "__hash", "__rest")
     groups = near_groups(docs, key, text).where(F.col("key").eqNullSafe(F.col("component")))
     chosen = groups.groupBy("root").agg(F.min(F.struct("key", "text_hash")).alias("row")).select(
-        F.col("row.key").alias("__key"), F.col("row.text_hash").alias("__hash")
-    )
-    joined = docs.join(
-        chosen, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash"))
+        F.col("row.key").alias(k), F.col("row.text_hash").alias(h)
     )
+    same = F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(h))
+    joined = docs.join(chosen, same)
     # Rows that agree in key and text are one document.
-    rest = [c for c in docs.columns if c not in (key, text)]
-    kept = joined.groupBy(*[F.col(f"`{c}`") for c in (key, text)]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest")) if rest else joined.select(f"`{key}`", f"`{text}`").distinct()
-    return kept.select(*[F.col(f"`{c}`") if c in (key, text) else F.col("__rest").getField(c).alias(c) for c in docs.columns])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]
+    one = F.min(F.struct(*rest, F.lit(True).alias(h))).alias(others)
+    kept = joined.groupBy(F.col(f"`{key}`"), F.col(f"`{text}`")).agg(one)
+    return kept.select(*[F.col(f"`{c}`") if c in (key, text) else F.col(others).getField(c).alias(c) for c in docs.columns])
