@@ -13,7 +13,7 @@ are monotone; successors become so when each first word's are raised by its plac
 vocabulary's size. All three are Elias-Fano coded, and a successor is searched in its first word's
 range alone.
 
-The job. Texts are read in blocks of about 16 MB. A block numbers its words itself and asks the
+The job. Texts are read in blocks of about 8 MB. A block numbers its words itself and asks the
 vocabulary for their ids, then sends its distinct pairs, with their training counts, to the
 shards as compressed arrays. A shard builds its trie from all counts, answers every block with one
 byte per pair, and hands on the trie itself, so a model can be kept and asked again. Each step's
@@ -38,8 +38,8 @@ from tableloom.operators.ranking import with_position
 from tableloom.staging import stage
 
 END = " "  # no word has a space
-BLOCK_CHARS = 16 << 20
-SHARD_TOKENS = 3_000_000
+BLOCK_CHARS = 8 << 20
+SHARD_TOKENS = 1_500_000
 BACKOFF = 20.0  # M above
 CODES = 255
 
