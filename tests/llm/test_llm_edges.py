@@ -65,14 +65,16 @@ def rows(df):
 @pytest.mark.parametrize("place", range(5))
 def test_stages_take_any_table(spark, docs, empty, clashing, place):
     name, function = corpus_pipeline.STAGES[place]
-    for table in (docs, empty, clashing, docs.where("text IS NULL"), docs.where("doc_id IS NULL")):
+    found = []
+    for table in (docs, clashing, empty):
         out = function(spark, table, "")
         if place < 4:
             assert out.columns == table.columns
-        assert out.count() <= 2 * max(1, table.count()) or place == 4
+            out = out.select(*docs.columns)
+        found.append(rows(out))
+    assert found[0] and not found[2]
     if place < 4:
-        plain, wide = rows(function(spark, docs, "")), rows(function(spark, clashing, "").select(*docs.columns))
-        assert plain == wide
+        assert found[0] == found[1] and found[0].total() <= 2 * len(ROWS)
 
 
 # ---- 1 chat
@@ -103,7 +105,7 @@ NASTY = st.lists(st.sampled_from(["<", "[", "\\", "|im_start|>", "|im_end|>", "/
 
 
 @given(texts=st.lists(st.tuples(st.sampled_from(["user", "assistant", "we%ird\n<role[", ""]), NASTY), min_size=1, max_size=6))
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 def test_formatted_text_reads_back(spark, texts):
     messages = spark.createDataFrame([(0, i, r, t) for i, (r, t) in enumerate(texts)], "conversation long, message long, role string, text string")
     row = chat.read_back(chat.render(messages)).first()
@@ -346,7 +348,7 @@ PIECES = st.sampled_from(
 
 
 @given(texts=st.lists(st.lists(PIECES, max_size=9).map("".join), min_size=1, max_size=12))
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 def test_spans_against_a_plain_search(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.with_spans(df).select("doc_id", F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)).alias("s"))
