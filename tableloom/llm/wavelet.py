@@ -29,6 +29,7 @@ from tableloom.llm.tokens import encoder, text_groups
 END_ID = 2
 SHARD_TEXT = 16 << 20
 BLOCK = 512  # bits between entries of the rank directory
+PART = 1 << 16  # ids moved at a time
 _SCHEMA = (
     "shard long, n_tokens long, keys array<long>, lengths array<long>, zeros array<long>, "
     "planes array<binary>, ranks array<binary>"
@@ -47,7 +48,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
-        now = ids
+        now, below = ids.copy(), np.empty_like(ids)
         for level in range(width):
             ones = (now & now.dtype.type(1 << (width - 1 - level))) != 0
             plane = np.packbits(ones, bitorder="little")
@@ -56,9 +57,12 @@ class WaveletMatrix:
             per_block = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(plane.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32).tobytes())
-            left = now[~ones]
-            zeros.append(len(left))
-            now = np.concatenate([left, now[ones]])
+            zeros.append(len(now) - int(per_block.sum()))
+            for part, left, right in _halves(ones, zeros[-1]):
+                values = now[part]
+                below[left[1]] = values.take(left[0])
+                below[right[1]] = values.take(right[0])
+            now, below = below, now
         return cls(len(ids), zeros, planes, ranks)
 
     def _bit(self, level: int, place: int) -> int:
@@ -127,16 +131,33 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
         kind = np.uint16 if self.width <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
+        now, above = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in reversed(range(self.width)):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[level]]
-            above[ones] = now[self.zeros[level] :] | kind(1 << (self.width - 1 - level))
-            now = above
+            bit = kind(1 << (self.width - 1 - level))
+            for part, left, right in _halves(ones, self.zeros[level]):
+                values = above[part]
+                values[left[0]] = now[left[1]]
+                values[right[0]] = now[right[1]] | bit
+            now, above = above, now
         return now
 
 
+def _halves(ones: np.ndarray, zeros: int) -> Iterator[tuple]:
+    """For parts that fit a processor's cache: their place, and for zeros and for ones the places
+    inside the part and in the sequence ordered by this bit."""
+    low, high = 0, zeros
+    for start in range(0, len(ones), PART):
+        mask = ones[start : start + PART]
+        inside = np.flatnonzero(~mask), np.flatnonzero(mask)
+        yield (
+            slice(start, start + len(mask)),
+            (inside[0], slice(low, low + len(inside[0]))),
+            (inside[1], slice(high, high + len(inside[1]))),
+        )
+        low, high = low + len(inside[0]), high + len(inside[1])
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append the end id and write the shards in ascending key order."""
     spark = docs.sparkSession
