@@ -133,14 +133,16 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                parts.setdefault(lang, Counter()).update(find(text))
+                words = find(text)
+                parts.setdefault(lang, Counter()).update(words)
+                counts[lang, "words"] += len(words)
                 for kind, n in enumerate(class_counts(text, matrix)):
                     counts[lang, kind] += int(n)
                 if sum(map(len, parts.values())) > _FLUSH:
                     yield flush()
         yield flush()
 
-    # A space cannot begin a word, so it marks the rows of character classes.
+    # A space cannot begin a word, so it marks the rows of character classes and of totals.
     sums = narrow.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang", "is_class").orderBy(F.col("n").desc(), "word")
     top = (
@@ -156,23 +158,22 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
         .limit(LANGUAGES)
         .collect()
     )
-    totals = {}
-    if rows:
-        of = sums.where(~F.col("word").startswith(" ")).groupBy("lang").agg(F.sum("n").alias("n"))
-        totals = {r["lang"]: r["n"] for r in of.where(F.col("lang").isin([r["lang"] for r in rows])).collect()}
     found = []
     for row in rows:
         classes = np.zeros(N_CLASSES)
         words: dict[str, int] = {}
         numbers: list[int] = []
+        total = 0
         for entry in sorted(row["top"], key=lambda e: (-e["n"], e["word"])):
-            if entry["is_class"]:
+            if entry["word"] == " words":
+                total = entry["n"]
+            elif entry["is_class"]:
                 classes[int(entry["word"])] = entry["n"]
             else:
                 words[entry["word"]] = len(numbers)
                 numbers.append(entry["n"])
         if numbers:
-            found.append((classes, words, np.array([*numbers, totals[row["lang"]] - sum(numbers)], float)))
+            found.append((classes, words, np.array([*numbers, total - sum(numbers)], float)))
     return found
 
 
