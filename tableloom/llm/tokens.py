@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterable, Sequence
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 
@@ -32,7 +34,7 @@ def _even(text: str) -> bool:
 class Encoder:
     """Encodes batches of texts; ``cached`` bounds the number of parts kept."""
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,15 +53,29 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._ids([".", ","])))
 
     def _ids(self, texts: Sequence[str]) -> Iterable[bytes]:
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(found.ids, self.kind).tobytes()
 
     def _learn_words(self, new: list[str]) -> None:
-        """Words without white space and parts that begin with a line break."""
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
+        """Words without white space and parts that begin with a line break.
+
+        A full stop or comma after a Latin letter is a piece of its own, so the word without
+        it is learnt, which serves for all its forms.
+        """
+        words = self.words
+        ending = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha() and w[-2] < "\u0250"]
+        stems = {w[:-1] for w in ending}
+        plain = {w for w in new if w not in words}.difference(ending) | {s for s in stems if s not in words}
+        self._encode_words(list(plain))
+        for word in ending:
+            words[word] = words[word[:-1]] + self.marks[word[-1]]
+
+    def _encode_words(self, new: list[str]) -> None:
+        for start in range(0, len(new), 256):
+            part = new[start : start + 256]
             spelled = [w if w[0] == "\n" else " " + w for w in part]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.cumsum([len(s.encode()) for s in spelled])
@@ -84,29 +100,38 @@ class Encoder:
                 heads.append([text] if any(c in text for c in _DOUBTFUL) else _CHUNK.findall(text))
                 rests.append([])
         words, older = self.words, self.older
-        new = {w for rest in rests for w in rest if w not in words}
+        # One look-up a word is what the time goes into; only texts with new words need more.
+        found = [list(map(words.get, rest)) for rest in rests]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new = {w for i in lacking for w, ids in zip(rests[i], found[i]) if ids is None}
         words.update([(w, older[w]) for w in new if w in older])
         self._learn_words([w for w in new if w not in words])
+        for i in lacking:
+            found[i] = [words[w] if ids is None else ids for w, ids in zip(rests[i], found[i])]
         missing = list(set(chain.from_iterable(heads)).difference(self.parts))
         self.parts.update(zip(missing, self._ids(missing)))
-        part, word = self.parts.__getitem__, words.__getitem__
-        return [
-            np.frombuffer(b"".join([*map(part, head), *map(word, rest)]), self.kind) for head, rest in zip(heads, rests)
-        ]
+        part = self.parts.__getitem__
+        return [np.frombuffer(b"".join([*map(part, head), *ids]), self.kind) for head, ids in zip(heads, found)]
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and vocabulary file.
 
+    Functions that are sent by value bring new globals with every task, so what a worker keeps
+    between tasks hangs on a module of the process.
+    """
+    kept = sys.modules.setdefault("tableloom_worker", ModuleType("tableloom_worker"))
+    encoders = kept.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
+def text_groups(texts: Sequence[str], chars: int = 1 << 17) -> Iterable[slice]:
+    """Slices of ``texts`` of about ``chars`` characters; a longer text is a slice alone.
 
-def text_groups(texts: Sequence[str], chars: int = 1 << 20) -> Iterable[slice]:
-    """Slices of ``texts`` of about ``chars`` characters; a longer text is a slice alone."""
+    The words of a slice should fit a processor's cache.
+    """
     start, total = 0, 0
     for i, text in enumerate(texts):
         if total and total + len(text) > chars:
