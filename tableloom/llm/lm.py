@@ -70,8 +70,9 @@ def _steps_up(values: np.ndarray) -> np.ndarray:
 class EliasFano:
     """Whole numbers that never fall, in about 2 + log2(largest / n) bits each.
 
-    ``lower`` holds the low bits of each number, ``upper`` one set bit per number at
-    (number >> low bits) + its place. ``marks`` are the set bits before every 512 bits.
+    ``lower`` holds the low bits of each number, rounded up to whole bytes so that they are cut
+    and joined without shifting; ``upper`` has one set bit per number at (number >> low bits) +
+    its place. ``marks`` are the set bits before every 512 bits.
     """
 
     BLOCK = 512
@@ -84,13 +85,9 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         largest = int(values[-1]) if n else 0
-        low = max(0, (largest // max(n, 1)).bit_length() - 1)
+        low = -(-max(0, (largest // max(n, 1)).bit_length() - 1) // 8) * 8
         shift = np.uint64(low)
-        if low:
-            bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
-            lower = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        else:
-            lower = np.zeros(0, np.uint8)
+        lower = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : low // 8].ravel()
         places = (values >> shift).astype(np.int64) + np.arange(n)
         size = (int(places[-1]) + 1) if n else 0
         upper = np.zeros(-(-size // cls.BLOCK) * cls.BLOCK, np.uint8)
@@ -100,12 +97,10 @@ class EliasFano:
         return cls(n, low, lower, np.packbits(upper, bitorder="little"), marks)
 
     def _low_bits(self, first: int, count: int) -> np.ndarray:
-        if not self.low:
-            return np.zeros(count, np.uint64)
-        start = first * self.low
-        data = self.lower[start >> 3 : (start + count * self.low + 7) >> 3]
-        bits = np.unpackbits(data, bitorder="little")[start & 7 :][: count * self.low].reshape(count, self.low)
-        return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
+        width = self.low // 8
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :width] = self.lower[first * width : (first + count) * width].reshape(count, width)
+        return wide.view("<u8").ravel()
 
     def get(self, place: int) -> int:
         """One number, by select on the upper bits."""
@@ -168,7 +163,7 @@ class Shard(NamedTuple):
         )
 
     def find(self, pairs: np.ndarray) -> np.ndarray:
-        """For sorted pairs: the code plus one, 0 where a pair was not seen.
+        """For a batch of pairs: the code plus one, 0 where a pair was not seen.
 
         A batch decodes each level once; a first word's place bounds the search of the second.
         """
@@ -418,7 +413,9 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
         trie = Shard.build(pairs, logs, span)
         arrays = trie.arrays()
         blocks = table.column("block").to_pylist()
-        rows = [("answer", b, shard, _squeeze(trie.find(a)), trie.book.tolist()) for b, a in zip(blocks, asked)]
+        # One batch for all blocks, so that each level is decoded once.
+        codes = np.split(trie.find(np.concatenate(asked)), np.cumsum([len(a) for a in asked])[:-1])
+        rows = [("answer", b, shard, _squeeze(c), trie.book.tolist()) for b, c in zip(blocks, codes)]
         rows += [(f"trie:{name}:{a.dtype}", -1, shard, a.tobytes(), []) for name, a in arrays.items()]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float32())]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "block", "shard", "data", "book"])
