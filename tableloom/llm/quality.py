@@ -2,7 +2,9 @@
 
 Two histograms are taken of each text: shares of character classes, and shares of the common words
 of a language (with one bin for all other words). A language's reference is the same histogram
-over all documents of that language; its common words are its 200 most frequent. A text is
+over all documents of that language; its common words are its 200 most frequent. Only labels that
+name a language make references, and of those each histogram only if it looks like prose of some
+language, so junk that carries a label of its own pardons nothing. A text is
 held against the reference that is nearest, so a wrong label harms no one, by the
 Jensen-Shannon distance (base 2, 0 to 1). Short texts vary by chance, so a distance counts
 only from a number of characters or words on, and the limits lie far outside what
@@ -12,19 +14,20 @@ Counts for the references are combined in the task that reads the texts and summ
 The references go to every task: at most 64 languages (those with most words) of 200 words, which
 is their bound whatever the input.
 
-Defined results: NULL text has no words; a NULL language is a language of its own; a table without
-words has no references and every text that passes the base rules is kept.
+Defined results: NULL text has no words; a NULL or blank label, one without a letter and one that
+says the language is not known names none; in a table without references every text that passes
+the base rules is kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,11 @@ COMMON = 200  # words per reference
 LANGUAGES = 64  # references
 GUARD_CHARS, GUARD_WORDS = 400, 50
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.55
+# What a histogram of prose shows: shares of characters, and of words.
+LEAST_LETTERS, MOST_SYMBOLS = 0.6, 0.05
+MOST_BARE, LEAST_COMMON = 0.1, 0.1  # words without a letter; the common words together,
+COMMON_FROM = 4_000  # which counts from so many words on
+NO_LANGUAGE = r"^(und|mul|mis|zxx|unknown|undefined|undetermined|other|none|null|n/a)([-_].*)?$"
 _FLUSH = 200_000  # partial counts kept by a task before they are handed on
 
 # ASCII characters of each class; a lead byte stands for any other character.
@@ -110,9 +118,36 @@ def repeated_lines(text: str) -> int:
     return total
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """For each language: class counts, places of its common words, their counts (last: all others)."""
-    narrow = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").alias("text"))
+def names_language(label: Column) -> Column:
+    """False for NULL."""
+    plain = F.lower(F.trim(F.coalesce(label.cast("string"), F.lit(""))))
+    return F.regexp_like(plain, F.lit(r"\p{L}")) & ~F.regexp_like(plain, F.lit(NO_LANGUAGE))
+
+
+def _sound(classes: bool) -> Column:
+    """Whether the histogram of classes (else of words) in the counts ``top`` of a label looks like prose."""
+
+    def total(chosen: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter("top", chosen), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+
+    in_class = lambda e: e["is_class"] & (e["word"] != " words")
+    of = lambda *numbers: total(lambda e: e["word"].isin(*[f" {i}" for i in numbers]))
+    if classes:
+        n = total(in_class)
+        return (of(0, 1, _BEYOND) >= LEAST_LETTERS * n) & (of(CLASSES.index("#*$%&|<>")) <= MOST_SYMBOLS * n)
+    n = total(lambda e: e["word"] == " words")
+    bare = total(lambda e: ~e["is_class"] & ~F.regexp_like(e["word"], F.lit(r"\p{L}")))
+    common = total(lambda e: ~e["is_class"])
+    return (bare <= MOST_BARE * n) & ((n < COMMON_FROM) | (common >= LEAST_COMMON * n))
+
+
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple]:
+    """For each language: class counts, places of its common words, their counts (last: all others).
+
+    None stands for a histogram that does not look like prose.
+    """
+    label = F.col(f"`{lang}`")
+    narrow = docs.where(names_language(label)).select(label.cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     matrix = _class_matrix()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,27 +189,30 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     rows = (
         top.groupBy("lang")
         .agg(F.collect_list(F.struct("is_class", "word", "n")).alias("top"), F.sum(F.when(~F.col("is_class"), F.col("n"))).alias("common"))
-        .orderBy(F.col("common").desc_nulls_last(), "lang")
+        .withColumns({"classes": _sound(True), "words": _sound(False)})
+        .where("common > 0 AND (classes OR words)")
+        .orderBy(F.col("common").desc(), "lang")
         .limit(LANGUAGES)
         .collect()
     )
-    found = []
-    for row in rows:
-        classes = np.zeros(N_CLASSES)
-        words: dict[str, int] = {}
-        numbers: list[int] = []
-        total = 0
-        for entry in sorted(row["top"], key=lambda e: (-e["n"], e["word"])):
-            if entry["word"] == " words":
-                total = entry["n"]
-            elif entry["is_class"]:
-                classes[int(entry["word"])] = entry["n"]
-            else:
-                words[entry["word"]] = len(numbers)
-                numbers.append(entry["n"])
-        if numbers:
-            found.append((classes, words, np.array([*numbers, total - sum(numbers)], float)))
-    return found
+    return [_reference(row) for row in rows]
+
+
+def _reference(row) -> tuple:
+    classes = np.zeros(N_CLASSES)
+    words: dict[str, int] = {}
+    numbers: list[int] = []
+    total = 0
+    for entry in sorted(row["top"], key=lambda e: (-e["n"], e["word"])):
+        if entry["word"] == " words":
+            total = entry["n"]
+        elif entry["is_class"]:
+            classes[int(entry["word"])] = entry["n"]
+        else:
+            words[entry["word"]] = len(numbers)
+            numbers.append(entry["n"])
+    counts = np.array([*numbers, total - sum(numbers)], float)
+    return classes if row["classes"] else None, words, counts if row["words"] else None
 
 
 _FEATURES = {
@@ -204,25 +242,24 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)]
     narrow = docs.select(*columns) if body >= 0 else docs.select(*columns, F.col(f"`{text}`").alias("text"))
     matrix = _class_matrix()
-    classes = np.array([k[0] for k in known]).reshape(len(known), N_CLASSES)
+    classes = [k[0] for k in known if k[0] is not None]
+    words_of = [k[1:] for k in known if k[2] is not None]
 
     def judge(text: str, find) -> tuple:
         words = find(text)
         n_words = len(words)
         repeats = repeated_words(words)
         histogram = class_counts(text, matrix)
-        by_class = by_word = 0.0
-        if known:
-            by_class = float(jensen_shannon(histogram, classes).min())
-            counts = Counter(words)
-            distances = []
-            for _, places, reference in known:
-                mine = np.zeros(len(reference))
-                for word in places.keys() & counts.keys():
-                    mine[places[word]] = counts[word]
-                mine[-1] = n_words - mine.sum()
-                distances.append(float(jensen_shannon(mine, reference)))
-            by_word = min(distances)
+        by_class = float(jensen_shannon(histogram, np.array(classes)).min()) if classes else 0.0
+        counts = Counter(words)
+        distances = []
+        for places, reference in words_of:
+            mine = np.zeros(len(reference))
+            for word in places.keys() & counts.keys():
+                mine[places[word]] = counts[word]
+            mine[-1] = n_words - mine.sum()
+            distances.append(float(jensen_shannon(mine, reference)))
+        by_word = min(distances, default=0.0)
         failed = n_words < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * n_words
         n_chars = int(histogram.sum())
         odd = (n_chars >= GUARD_CHARS and by_class > CHAR_LIMIT) or (n_words >= GUARD_WORDS and by_word > WORD_LIMIT)

@@ -216,6 +216,18 @@ def test_quality_of_any_table(spark, docs, empty, clashing):
     assert {r.kept for r in quality.quality(blank).collect()} == {False}
 
 
+@pytest.mark.parametrize("label", [None, "", "und", "xx"])
+def test_junk_under_a_label_of_its_own(spark, sf_dir, label):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select("doc_id", F.lit(True).alias("bad"))
+    marked = documents.join(bad, "doc_id", "left")
+    own = marked.withColumn("lang", F.when(F.col("bad"), F.lit(label)).otherwise(F.col("lang")))
+    odd = "bad AND NOT base_failed AND NOT kept"
+    before = {r.doc_id for r in quality.quality(marked).where(odd).collect()}
+    after = {r.doc_id for r in quality.quality(own).where(odd).collect()}
+    assert before and before <= after
+
+
 # ---- 5 near duplicates
 
 
