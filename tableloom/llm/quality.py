@@ -11,8 +11,8 @@ only from a number of characters or words on, and the limits lie far outside wha
 ordinary prose of any of the languages shows.
 
 Counts for the references are combined in the task that reads the texts and summed by Spark.
-The references go to every task: at most 64 languages (those with most words) of 200 words, which
-is their bound whatever the input.
+Every language has its reference. Those of the 64 with most words go to every task, which is a bound
+whatever the input; a text of another language meets its own as well, by a join on the label.
 
 Defined results: NULL text has no words; a NULL or blank label, one without a letter and one that
 says the language is not known names none; in a table without references every text that passes
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.llm.text import WORD, free_names
+from tableloom.staging import stage
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 COMMON = 200  # words per reference
-LANGUAGES = 64  # references
+LANGUAGES = 64  # references that every text is held against, besides its label's own
 GUARD_CHARS, GUARD_WORDS = 400, 50
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.55
 # What a histogram of prose shows: shares of characters, and of words.
@@ -141,10 +142,11 @@ def _sound(classes: bool) -> Column:
     return (bare <= MOST_BARE * n) & ((n < COMMON_FROM) | (common >= LEAST_COMMON * n))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple]:
-    """For each language: class counts, places of its common words, their counts (last: all others).
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[tuple], DataFrame | None]:
+    """References of the languages with most words, and a table (lang, top, classes, words) of the others, if any.
 
-    None stands for a histogram that does not look like prose.
+    A reference is the class counts, the places of the common words, and their counts (last: all
+    others). None stands for a histogram that does not look like prose.
     """
     label = F.col(f"`{lang}`")
     narrow = docs.where(names_language(label)).select(label.cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
@@ -185,17 +187,18 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= COMMON)
     )
-    # One row per language, the languages with most words first.
-    rows = (
+    # One row per language; written, as it is read twice.
+    each = stage(
         top.groupBy("lang")
         .agg(F.collect_list(F.struct("is_class", "word", "n")).alias("top"), F.sum(F.when(~F.col("is_class"), F.col("n"))).alias("common"))
         .withColumns({"classes": _sound(True), "words": _sound(False)})
-        .where("common > 0 AND (classes OR words)")
-        .orderBy(F.col("common").desc(), "lang")
-        .limit(LANGUAGES)
-        .collect()
+        .where("common > 0 AND (classes OR words)"),
+        "references",
     )
-    return [_reference(row) for row in rows]
+    rows = each.orderBy(F.col("common").desc(), "lang").limit(LANGUAGES + 1).collect()
+    shared = rows[:LANGUAGES]
+    others = each.where(~F.col("lang").isin(*[r["lang"] for r in shared])) if len(rows) > LANGUAGES else None
+    return [_reference(row) for row in shared], others
 
 
 def _reference(row) -> tuple:
@@ -212,7 +215,7 @@ def _reference(row) -> tuple:
             words[entry["word"]] = len(numbers)
             numbers.append(entry["n"])
     counts = np.array([*numbers, total - sum(numbers)], float)
-    return classes if row["classes"] else None, words, counts if row["words"] else None
+    return classes if row["classes"] else None, words, counts if row["words"] else None, row["lang"]
 
 
 _FEATURES = {
@@ -235,25 +238,39 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
 
     A new column whose name is taken gets an underscore in front.
     """
-    known = references(docs, text, lang)
+    known, others = references(docs, text, lang)
     rest = docs.columns if carry is None else carry
     names = [f"c{i}" for i in range(len(rest))]
-    body = rest.index(text) if text in rest else -1
+    body = names[rest.index(text)] if text in rest else "text"
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)]
-    narrow = docs.select(*columns) if body >= 0 else docs.select(*columns, F.col(f"`{text}`").alias("text"))
+    if body == "text":
+        columns.append(F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(*columns)
+    given = narrow
+    if others is not None:
+        # Languages that all texts are held against, however frequent, do not enter the join.
+        label = F.col(f"`{lang}`").cast("string")
+        apart = names_language(label) & ~label.isin(*[k[3] for k in known])
+        rare = docs.where(apart).select(*columns, label.alias("lang")).join(
+            others.select("lang", F.struct("lang", "top", "classes", "words").alias("own")), "lang", "left"
+        )
+        none = F.lit(None).cast(rare.schema["own"].dataType)
+        given = docs.where(~apart).select(*columns, none.alias("own")).unionByName(rare.drop("lang"))
+    others_given = others is not None
     matrix = _class_matrix()
     classes = [k[0] for k in known if k[0] is not None]
-    words_of = [k[1:] for k in known if k[2] is not None]
+    words_of = [k[1:3] for k in known if k[2] is not None]
 
-    def judge(text: str, find) -> tuple:
+    def judge(text: str, find, own: tuple = (None, None, None)) -> tuple:
         words = find(text)
         n_words = len(words)
         repeats = repeated_words(words)
         histogram = class_counts(text, matrix)
-        by_class = float(jensen_shannon(histogram, np.array(classes)).min()) if classes else 0.0
+        near = classes if own[0] is None else [*classes, own[0]]
+        by_class = float(jensen_shannon(histogram, np.array(near)).min()) if near else 0.0
         counts = Counter(words)
         distances = []
-        for places, reference in words_of:
+        for places, reference in words_of if own[2] is None else [*words_of, own[1:3]]:
             mine = np.zeros(len(reference))
             for word in places.keys() & counts.keys():
                 mine[places[word]] = counts[word]
@@ -277,15 +294,31 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(WORD).findall
+        cache: dict[str, tuple] = {}
+
+        def own_of(value: pa.StructScalar) -> tuple:
+            if not value.is_valid:
+                return None, None, None
+            label = value["lang"].as_py()
+            if label not in cache:
+                if len(cache) >= LANGUAGES:
+                    cache.clear()
+                cache[label] = _reference(value.as_py())
+            return cache[label]
+
         for batch in batches:
-            rows = [judge(t.as_py() or "", find) for t in batch.column(body)]
+            texts = (t.as_py() or "" for t in batch.column(body))
+            if others_given:
+                rows = [judge(t, find, own_of(o)) for t, o in zip(texts, batch.column("own"))]
+            else:
+                rows = [judge(t, find) for t in texts]
             found = zip(*rows) if rows else [()] * len(_FEATURES)
             new = [pa.array(c, _KINDS[kind]) for c, kind in zip(found, _FEATURES.values())]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *_FEATURES])
 
     fields = [T.StructField(n, narrow.schema[n].dataType) for n in names]
     schema = T.StructType(fields + [T.StructField(n, _TYPES[kind]) for n, kind in _FEATURES.items()])
-    return narrow.mapInArrow(run, schema).toDF(*rest, *free_names(docs.select(*[f"`{c}`" for c in rest]), *_FEATURES))
+    return given.mapInArrow(run, schema).toDF(*rest, *free_names(docs.select(*[f"`{c}`" for c in rest]), *_FEATURES))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
