@@ -4,8 +4,7 @@ Each kind has a pattern, a check of the matched text and a starting score. Match
 and do not overlap within a kind; one that fails its check is dropped. Words near a span (40
 characters before, 20 after) add to its score. Kinds of the base list (email, ip, card, phone) are
 reported whenever their check holds; the others (iban by mod-97, national numbers and
-bank accounts by context) when their score reaches 0.6. The words looked at are those up to
-the next match of the kind.
+bank accounts by context) when their score reaches 0.6.
 
 Positions come from SQL functions alone: the gaps between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running sums of their lengths are the positions.
@@ -161,25 +160,41 @@ def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
         return F.transform(
             running_sums(steps),
             lambda before, i: F.struct(
-                F.get(found, i).alias("m"),
-                (before + F.length(F.get(gaps, i))).alias("start"),
-                F.lower(
-                    F.concat(F.right(F.get(gaps, i), F.lit(BEFORE)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(AFTER)))
-                ).alias("near"),
+                F.get(found, i).alias("m"), (before + F.length(F.get(gaps, i))).alias("start"), i.alias("i")
             ),
         )
 
-    scored = F.transform(
-        F.filter(let(F.split(text, kind.pattern, -1), placed), lambda x: kind.check(x["m"])),
-        lambda x: F.struct(
+    # What lies around a match, from its neighbours' ends: as every match has two characters or more,
+    # so many neighbours reach far enough, and a text's windows cost no search for their places.
+    def ahead_of(gaps: Column) -> Column:
+        return F.transform(gaps, lambda g, i: F.right(F.concat_ws("", F.get(found, i - 1), g), F.lit(BEFORE)))
+
+    def past(gaps: Column) -> Column:
+        return F.transform(gaps, lambda g, i: F.left(F.concat_ws("", g, F.get(found, i)), F.lit(AFTER)))
+
+    def before(parts: Column, i: Column) -> Column:
+        first = F.greatest(i - BEFORE // 2, F.lit(0))
+        return F.right(F.array_join(F.slice(parts, first + 1, i - first + 1), ""), F.lit(BEFORE))
+
+    def after(parts: Column, i: Column) -> Column:
+        return F.left(F.array_join(F.slice(parts, i + 2, F.lit(AFTER // 2 + 1)), ""), F.lit(AFTER))
+
+    def weighed(x: Column, left: Column, right: Column) -> Column:
+        near = F.lower(F.concat(before(left, x["i"]), F.lit(" "), after(right, x["i"])))
+        return F.struct(
             x["start"].alias("start"),
             (x["start"] + F.length(x["m"])).alias("end"),
             F.lit(rank).alias("rank"),
             F.lit(kind.name).alias("kind"),
-            F.round(
-                F.lit(kind.score) + F.when(F.regexp_like(x["near"], F.lit(rf"\b(?:{kind.words})")), 0.3).otherwise(0.0), 2
-            ).alias("score"),
-        ),
+            F.round(F.lit(kind.score) + F.when(F.regexp_like(near, F.lit(rf"\b(?:{kind.words})")), 0.3).otherwise(0.0), 2).alias("score"),
+        )
+
+    def checked(gaps: Column, left: Column, right: Column) -> Column:
+        return F.transform(F.filter(placed(gaps), lambda x: kind.check(x["m"])), lambda x: weighed(x, left, right))
+
+    scored = let(
+        F.split(text, kind.pattern, -1),
+        lambda gaps: let(ahead_of(gaps), lambda left: let(past(gaps), lambda right: checked(gaps, left, right))),
     )
     if not kind.base:
         scored = F.filter(scored, lambda x: x["score"] >= THRESHOLD)

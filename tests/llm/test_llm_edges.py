@@ -396,6 +396,18 @@ def test_added_kinds(spark):
     assert masked[0] == "iban <iban> here" and masked[3] == texts[3]
 
 
+def test_context_reaches_past_other_matches(spark):
+    texts = [
+        "SSN: 123-45-6789, 987-65-4321",
+        "account numbers 12345678, 87654321",
+        "123456789 and 234567890 konto",
+        "account number " + "1" * 12 + " " * 30 + "12345678",
+    ]
+    found = {r.doc_id: r.spans for r in pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kinds = {i: [(s.start, s.end) for s in spans if s.kind not in pii.BASE] for i, spans in found.items()}
+    assert kinds == {0: [(5, 16), (18, 29)], 1: [(16, 24), (26, 34)], 2: [(0, 9), (14, 23)], 3: [(15, 27)]}
+
+
 def test_redaction_of_overlapping_spans(spark):
     text = "x 10.20.30.40 and +1 4539 1488 0343 6467 z, a@b.co."
     (row,) = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
