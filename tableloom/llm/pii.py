@@ -8,6 +8,8 @@ bank accounts by context) when their score reaches 0.6.
 
 Positions come from SQL functions alone: the gaps between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running sums of their lengths are the positions.
+An iban's pattern finds its first four characters; what follows is looked at for the longest
+confirmed number that ends at a border, of the length its country fixes where that is known.
 The patterns are written so that the search is linear in the text: runs are taken whole
 (possessive) and no search starts inside a run that has failed.
 
@@ -77,6 +79,33 @@ def mod97(match: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), rest == 1).otherwise(F.lit(False))
 
 
+# Lengths of account numbers that countries fix.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG CR DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+IBAN_REST = 60  # characters after the first four, spaces included
+
+
+def account_number(window: Column) -> Column:
+    """The longest confirmed account number at the start of the window, or NULL."""
+    run = lambda w: F.regexp_extract(w, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 0)
+    fixed = F.create_map(*[F.lit(v) for n, lands in _LENGTHS.items() for land in lands.split() for v in (land, n)])
+
+    def fits(w: Column, r: Column, k: Column) -> Column:
+        part = F.left(r, k)
+        length = F.length(F.regexp_replace(part, " ", ""))
+        at_border = ~F.substr(r, k, F.lit(1)).eqNullSafe(" ") & ~F.regexp_like(F.substr(w, k + 1, F.lit(1)), F.lit("[A-Za-z0-9]"))
+        return at_border & (length == F.coalesce(F.try_element_at(fixed, F.left(r, F.lit(2))), length)) & mod97(part)
+
+    def best(w: Column, r: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(15), F.greatest(F.length(r), F.lit(15))), lambda k: (k <= F.length(r)) & fits(w, r, k))
+        return F.left(r, F.array_max(ends))
+
+    return let(window, lambda w: let(run(w), lambda r: best(w, r)))
+
+
 @dataclass(frozen=True)
 class Kind:
     """``probe``: what a text must hold for the pattern to be tried at all."""
@@ -88,6 +117,7 @@ class Kind:
     words: str
     base: bool = False
     probe: str = "[0-9]"
+    whole: Callable[[Column], Column] | None = None  # of a match and the characters after it, the whole span
 
 
 # The patterns of the base kinds, in the order in which they are listed.
@@ -122,12 +152,13 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
         mod97,
         0.8,
         "iban|account|bank|konto|compte|cuenta",
         False,
         "[A-Z]{2}[0-9]{2}",
+        account_number,
     ),
     Kind(
         "national_id",
@@ -169,18 +200,23 @@ def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
     def ahead_of(gaps: Column) -> Column:
         return F.transform(gaps, lambda g, i: F.right(F.concat_ws("", F.get(found, i - 1), g), F.lit(BEFORE)))
 
+    reach = AFTER + (IBAN_REST if kind.whole else 0)
+
     def past(gaps: Column) -> Column:
-        return F.transform(gaps, lambda g, i: F.left(F.concat_ws("", g, F.get(found, i)), F.lit(AFTER)))
+        return F.transform(gaps, lambda g, i: F.left(F.concat_ws("", g, F.get(found, i)), F.lit(reach)))
 
     def before(parts: Column, i: Column) -> Column:
         first = F.greatest(i - BEFORE // 2, F.lit(0))
         return F.right(F.array_join(F.slice(parts, first + 1, i - first + 1), ""), F.lit(BEFORE))
 
     def after(parts: Column, i: Column) -> Column:
-        return F.left(F.array_join(F.slice(parts, i + 2, F.lit(AFTER // 2 + 1)), ""), F.lit(AFTER))
+        return F.left(F.array_join(F.slice(parts, i + 2, F.lit(reach // 2 + 1)), ""), F.lit(reach))
 
     def weighed(x: Column, left: Column, right: Column) -> Column:
-        near = F.lower(F.concat(before(left, x["i"]), F.lit(" "), after(right, x["i"])))
+        follows = after(right, x["i"])
+        if kind.whole:
+            follows = F.left(F.substr(follows, F.length(x["m"]) - F.length(F.get(found, x["i"])) + 1), F.lit(AFTER))
+        near = F.lower(F.concat(before(left, x["i"]), F.lit(" "), follows))
         return F.struct(
             x["start"].alias("start"),
             (x["start"] + F.length(x["m"])).alias("end"),
@@ -190,7 +226,13 @@ def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
         )
 
     def checked(gaps: Column, left: Column, right: Column) -> Column:
-        return F.transform(F.filter(placed(gaps), lambda x: kind.check(x["m"])), lambda x: weighed(x, left, right))
+        matches = placed(gaps)
+        if kind.whole:
+            matches = F.transform(
+                matches,
+                lambda x: F.struct(kind.whole(F.concat(x["m"], after(right, x["i"]))).alias("m"), x["start"].alias("start"), x["i"].alias("i")),
+            )
+        return F.transform(F.filter(matches, lambda x: kind.check(x["m"])), lambda x: weighed(x, left, right))
 
     scored = let(
         F.split(text, kind.pattern, -1),

@@ -396,6 +396,15 @@ def test_added_kinds(spark):
     assert masked[0] == "iban <iban> here" and masked[3] == texts[3]
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    after = [" Thanks", " Please pay", " 2024 due", " BIC COBADEFF", "", ".", f" {gb} BIC"]
+    texts = [f"IBAN {de}{a}" for a in after] + [f"REF AB12 CDEF 2024 {gb} A", f"IBAN {de}X and {de}x", f"{gb[:-1]}3 Please"]
+    found = {r.doc_id: r.spans for r in pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ibans = {i: [texts[i][s.start : s.end] for s in spans if s.kind == "iban"] for i, spans in found.items()}
+    assert ibans == {**{i: [de] for i in range(6)}, 6: [de, gb], 7: [gb], 8: [], 9: []}
+
+
 def test_context_reaches_past_other_matches(spark):
     texts = [
         "SSN: 123-45-6789, 987-65-4321",
