@@ -230,7 +230,7 @@ def test_junk_under_a_label_of_its_own(spark, sf_dir, label):
 
 def test_every_language_has_a_reference(spark):
     """70 languages of more words than one in a script of its own, whose texts all stay."""
-    latin = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "aeiou") * 5, f"l{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(70)]
+    latin = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "aeiou") * 8, f"l{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(70)]
     pick = random.Random(5)
     greek = [(100 + i, " ".join(chr(0x3B1 + pick.randrange(9)) * 7 for _ in range(120)), "el") for i in range(2)]
     table = spark.createDataFrame(latin + greek, "doc_id long, text string, lang string").repartition(3)
