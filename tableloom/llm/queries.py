@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableloom.llm import chat, lm, mixing, packing, pii, quality, sharding, simhash, topk, wavelet
+from tableloom.llm import chat, lm, mixing, packing, phrases, pii, quality, runs, sharding, simhash, topk, wavelet
 from tableloom.llm.text import text_of
 from tableloom.llm.tokens import default_vocabulary
 from tableloom.staging import new_path, stage
@@ -184,3 +184,42 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
     return sharding.extendible_shards(docs, "doc_id", F.col("n_bytes"))
+
+
+@query(
+    rf"""WITH texts AS (
+           SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+         pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+         words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+         totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+         places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) r(k)),
+         f AS (
+           SELECT lang, k, w[i : i + k - 1] AS g, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+         cuts AS (
+           SELECT c.lang, c.g, c.k, c.f AS a, x.cut, h.f AS l, t.f AS r, n::BIGINT AS n,
+                  ((1000::HUGEINT * c.f * n::HUGEINT) // (h.f::HUGEINT * t.f))::BIGINT AS score
+           FROM f c JOIN range(1, 5) x(cut) ON x.cut < c.k
+           JOIN f h ON h.lang = c.lang AND h.g = c.g[1 : x.cut]
+           JOIN f t ON t.lang = c.lang AND t.g = c.g[x.cut + 1 : c.k]
+           JOIN totals ON totals.lang = c.lang
+           QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, x.cut) = 1),
+         inside AS (
+           SELECT DISTINCT s.lang, s.g FROM cuts s JOIN f b ON b.lang = s.lang AND b.k > s.k AND 100 * b.f >= 100 * s.a
+           WHERE list_contains([b.g[i : i + s.k - 1] FOR i IN range(1, b.k - s.k + 2)], s.g))
+         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+                a, l, r, n, score, cut::INT AS cut
+         FROM (SELECT *, array_to_string(g, ' ') AS phrase FROM cuts ANTI JOIN inside USING (lang, g))
+         QUALIFY rank <= {phrases.TOP}"""
+)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2 000 strongest phrases of two to five words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs, its longest one, and a digest of the words that stay."""
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=runs.with_loops)
+    return found.withColumn("collapsed_sha256", F.sha2("text", 256)).drop("text")
