@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableloom.llm import chat, lm, mixing, packing, phrases, pii, quality, runs, sharding, simhash, topk, wavelet
+from tableloom.llm import chat, html, lm, mixing, packing, phrases, pii, quality, runs, sharding, simhash, topk, wavelet
 from tableloom.llm.text import text_of
 from tableloom.llm.tokens import default_vocabulary
 from tableloom.staging import new_path, stage
@@ -186,6 +186,14 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(docs, "doc_id", F.col("n_bytes"))
 
 
+@query()
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, and whether markup alone settled it."""
+    return html.main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_markup"
+    )
+
+
 @query(
     rf"""WITH texts AS (
            SELECT coalesce(lang, 'und') AS lang,
