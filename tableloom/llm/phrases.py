@@ -39,8 +39,12 @@ TOP = 2000
 BITS = 25  # the bitmaps have 2 ** BITS bits, 4 MB
 SLICE_BITS = 18
 PENDING = 2_000_000  # n-grams that a task counts at once
-HELD = 600_000  # partial counts that a task holds
+HELD = 2_000_000  # partial counts of hashes that a task holds
+HELD_PHRASES = 500_000  # the same with the phrases themselves
+HELD_WORDS = 1_000_000
+TASK_CHARS = 1 << 30  # characters that a task reads: the more, the more counts meet before the shuffle
 GROUP_BYTES = 4 << 20
+FEW_LANGUAGES = 10_000
 PART_MASS = 20_000_000  # n-grams a hash partition should stand for
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +87,7 @@ class _Words(dict):
         return ids
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[tuple[str, _Words, np.ndarray]]:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Words, np.ndarray]]:
     """(language, words, numbers) of parts of bounded size, each of whole texts."""
     known: dict[str, _Words] = {}
     for batch in batches:
@@ -96,7 +100,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[t
             size += len(text)
             if size >= GROUP_BYTES or i + 1 == len(langs):
                 for name, some in group.items():
-                    if sum(map(len, known.values())) > 2 * held or len(known) > 100:
+                    if sum(map(len, known.values())) > HELD_WORDS or len(known) > 100:
                         known.clear()
                     words = known.setdefault(name, _Words(name))
                     yield name, words, words.number(some)
@@ -286,7 +290,7 @@ def _exact(texts: DataFrame, bitmaps: list, longest: int) -> DataFrame:
                     held[lang, b" ".join([words.list[i] for i in ids[place : place + n].tolist()]), n] += count
                 names = np.zeros(len(ids), np.int64)
                 names[places] = named
-            if len(held) > HELD:
+            if len(held) > HELD_PHRASES:
                 yield counted(held)
                 held = Counter()
         yield counted(held)
@@ -312,9 +316,9 @@ def frequent_phrases(
         raise ValueError("longest must be 3 or more")
     spark = docs.sparkSession
     texts = docs.select(text_of(F.col(f"`{text}`")).alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"))
-    # A word takes two characters with what parts it from the next.
-    mass = texts.agg(F.sum((F.length("text") + 1) / 2)).first()[0]
-    mass = int(mass or 0)
+    chars = texts.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
+    mass = chars // 2  # a word takes two characters with what parts it from the next
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS)))
     bitmaps: list = []
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         share = mass * len(lengths)
@@ -346,7 +350,9 @@ def collocations(
     )
     heads = counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
     tails = counts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
-    parts = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(totals, "lang")
+    parts = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
+    # A row a language: sent to all while there are few, so that a large language is not read by one task.
+    parts = parts.join(F.broadcast(totals) if totals.count() <= FEW_LANGUAGES else totals, "lang")
     # Exact: products have up to 38 digits, and the quotient is whole.
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * _wide("a") * _wide("n"), _wide("l") * _wide("r"))
     lowest = F.min(F.struct(score.alias("score"), "cut", "l", "r", "n"))

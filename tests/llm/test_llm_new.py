@@ -194,7 +194,9 @@ def test_small_memory_loses_nothing(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(" ".join(rng.choices("abcdefghijkl", k=80)), rng.choice("pq")) for _ in range(50)]
     df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
-    monkeypatch.setattr(phrases, "HELD", 20)
+    for name in ("HELD", "HELD_PHRASES", "HELD_WORDS"):
+        monkeypatch.setattr(phrases, name, 20)
+    monkeypatch.setattr(phrases, "FEW_LANGUAGES", 1)
     monkeypatch.setattr(phrases, "PENDING", 100)
     monkeypatch.setattr(phrases, "GROUP_BYTES", 300)
     monkeypatch.setattr(phrases, "BITS", 6)
