@@ -38,8 +38,50 @@ def work_root(spark: SparkSession) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def _at(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    files, target = _at(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(target)] if files.exists(target) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a marker or a log entry."""
+    files, target = _at(spark, path)
+    data = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+    finally:
+        data.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears as a whole; one of that name is replaced."""
+    files, target = _at(spark, path)
+    _, beside = _at(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = files.create(beside)
+    out.write(text.encode())
+    out.close()
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"could not write {path}")
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file or folder to a name that is free, within one file system."""
+    files, new = _at(spark, target)
+    _, old = _at(spark, source)
+    if files.exists(new) or not files.rename(old, new):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

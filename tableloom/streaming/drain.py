@@ -1,11 +1,14 @@
-"""Reading a topic or folder to its present end.
+"""Reading a topic or folder to its present end, or until its producer has finished.
 
 A drain takes what was there when it started. What arrives later belongs to the next
-drain on the same checkpoint, which goes on where this one stopped.
+drain on the same checkpoint, which goes on where this one stopped. ``drain_until_finished`` waits
+instead, until everything the producer has sent in all is written.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -13,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tableloom.staging import new_path
+from tableloom.sources.folder_topic import FolderTopic, read_folder_topic
+from tableloom.staging import names_in, new_path, read_small
 
 
 def file_stream(
@@ -72,3 +76,53 @@ def drain(
 ) -> DataFrame:
     """Drain one stream and return the written rows."""
     return drain_all([Drain(stream, transform, path, checkpoint)])[0]
+
+
+def entries_taken(spark: SparkSession, checkpoint: str) -> int:
+    """How many entries of a folder topic the batches committed under ``checkpoint`` hold."""
+    done = [int(name) for name in names_in(spark, f"{checkpoint}/commits") if name.isdigit()]
+    if not done:
+        return 0
+    offsets = read_small(spark, f"{checkpoint}/offsets/{max(done)}").strip().splitlines()
+    return int(json.loads(offsets[-1])["entries"])
+
+
+def drain_until_finished(
+    spark: SparkSession,
+    topic: FolderTopic,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    poll: float = 0.2,
+    patience: float | None = None,
+) -> DataFrame:
+    """Drain a folder topic until its producer has finished and its last entry is written.
+
+    An empty topic alone is no end. With ``patience``, that many seconds without a new entry raise
+    TimeoutError; what was written stays, and the same path and checkpoint go on from there.
+    """
+    stream = read_folder_topic(spark, topic)
+    rows = transform(stream) if transform else stream
+    path, checkpoint = path or new_path(spark, "drained"), checkpoint or new_path(spark, "checkpoint")
+    query = (
+        rows.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=f"{int(1000 * poll)} milliseconds")
+        .start()
+    )
+    try:
+        taken, since = 0, time.monotonic()
+        while True:
+            query.awaitTermination(poll)  # raises what the query failed with
+            now, last = entries_taken(spark, checkpoint), topic.finished_at(spark)
+            if last is not None and now >= last:
+                break
+            if now > taken:
+                taken, since = now, time.monotonic()
+            elif patience is not None and time.monotonic() - since > patience:
+                raise TimeoutError(f"no entry after {taken} for {patience} seconds, and the producer has not finished")
+    finally:
+        query.stop()
+    return spark.read.schema(rows.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ from tableloom.functions.schema import export_schema, import_schema
 from tableloom.plans.configured_join import JoinConfig, Topic, join_topics, run_join
 from tableloom.plans.federated import Source, federated_sql
 from tableloom.sinks.files import FileTarget, write_files
+from tableloom.sinks.folder_topic import FolderProducer
 from tableloom.sinks.report import write_with_report
 from tableloom.sinks.tables import TableTarget, write_table
 from tableloom.sinks.topics import keyed_batches as batches
 from tableloom.sources.files import CsvJob, read_csv, read_csv_job, run_csv_job, split_text
+from tableloom.sources.folder_topic import FolderTopic
 from tableloom.staging import new_path, stage
-from tableloom.streaming.drain import drain, file_stream
+from tableloom.streaming.drain import drain, drain_until_finished as drain_to_the_end, file_stream
 from tableloom.streaming.publish import copy_files, encode_stream, running_result
 from workload.registry import query, table
 
@@ -454,3 +458,23 @@ def join_to_table(spark: SparkSession, sf: str) -> DataFrame:
     # An external table leaves its files, partitions in folders, to be read.
     spark.sql(f"DROP TABLE {name}")
     return spark.read.schema(schema).parquet(path)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def drain_until_finished(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that are sent while the drain runs, one entry behind its turn."""
+    events = table(spark, sf, "events")
+    topic = FolderTopic(new_path(spark, "events-topic"), events.schema)
+    producer = FolderProducer(spark, topic.path)
+    first = producer.reserve(6)
+
+    def produce() -> None:
+        for number in (0, 1, 3, 4, 2, 5):
+            producer.send(events.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == number), first + number)
+        producer.finish()
+
+    with ThreadPoolExecutor(1) as pool:
+        sending = pool.submit(produce)
+        drained = drain_to_the_end(spark, topic, patience=600)
+        sending.result()
+    return drained
