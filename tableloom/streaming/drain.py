@@ -39,6 +39,7 @@ class Drain:
     transform: Callable[[DataFrame], DataFrame] | None = None
     path: str | None = None
     checkpoint: str | None = None
+    partition_by: Sequence[str] = ()
 
 
 def drain_all(drains: Sequence[Drain]) -> list[DataFrame]:
@@ -55,6 +56,7 @@ def drain_all(drains: Sequence[Drain]) -> list[DataFrame]:
                 .outputMode("append")
                 .option("path", path)
                 .option("checkpointLocation", checkpoint)
+                .partitionBy(*item.partition_by)
                 .trigger(availableNow=True)
                 .start()
             )

@@ -15,9 +15,11 @@ from tableloom.functions.decode import (
 )
 from tableloom.functions.schema import export_schema, import_schema
 from tableloom.plans.configured_join import JoinConfig, Topic, join_topics, run_join
+from tableloom.plans.continued_join import ContinuedJoin
 from tableloom.plans.federated import Source, federated_sql
 from tableloom.sinks.files import FileTarget, write_files
 from tableloom.sinks.folder_topic import FolderProducer
+from tableloom.sinks.ledger import deliver_once, deliver_stream, read_delivered
 from tableloom.sinks.report import write_with_report
 from tableloom.sinks.tables import TableTarget, write_table
 from tableloom.sinks.topics import keyed_batches as batches
@@ -478,3 +480,42 @@ def drain_until_finished(spark: SparkSession, sf: str) -> DataFrame:
         drained = drain_to_the_end(spark, topic, patience=600)
         sending.result()
     return drained
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice, 'table' AS delivery, true AS fits FROM orders
+       UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 'stream', true FROM orders"""
+)
+def delivered_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that is sent twice under one name, and a stream, in batches of 500 rows: each row arrives once."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stream = _stream(spark, sf, "orders").select(*orders.columns)
+    path, checkpoint = new_path(spark, "delivered"), new_path(spark, "checkpoint")
+    for _ in range(2):
+        deliver_once(orders, path, "table", 500)
+        deliver_stream(stream, path, "stream", 500, checkpoint, once=True).awaitTermination()
+    rows = read_delivered(spark, path, orders.schema)
+    sizes = rows.groupBy("delivery", "part", "batch_no").agg((F.count(F.lit(1)) <= 500).alias("fits"))
+    return rows.join(sizes, ["delivery", "part", "batch_no"]).select(*orders.columns, "delivery", "fits")
+
+
+@query(
+    """SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, o_orderkey AS O_ORDERKEY, o_totalprice AS O_TOTALPRICE
+       FROM customer LEFT JOIN orders ON c_custkey = o_custkey"""
+)
+def join_topics_in_two_drains(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics that grow between two steps; matches of new rows with earlier ones are found on both sides."""
+    join = ContinuedJoin(spark, new_path(spark, "continued"), JoinConfig("C_CUSTKEY", "O_CUSTKEY", "left"))
+    halves, topics = {}, []
+    for name, key, columns in (("customer", "c_custkey", ["c_custkey", "c_name"]), ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_totalprice"])):
+        rows = table(spark, sf, name).select(*columns)
+        messages = rows.select(encode_positional(columns).alias("value"), F.pmod(F.xxhash64(key), F.lit(2)).alias("half"))
+        path = new_path(spark, f"{name}-topic")
+        halves[path] = messages
+        spark.createDataFrame([], "value string").write.parquet(path)
+        topics.append(Topic(file_stream(spark, path, "value string"), export_schema(rows)))
+    for half in (0, 1):
+        for path, messages in halves.items():
+            messages.where(F.col("half") == half).select("value").write.mode("append").parquet(path)
+        join.advance(*topics)
+    return join.result(*topics).select("C_CUSTKEY", "C_NAME", "O_ORDERKEY", "O_TOTALPRICE")
