@@ -7,12 +7,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.operators.columns import drop_nulls
 from tableloom.operators.models import fit_logistic, predict
+from tableloom.operators.newton import NewtonFit, newton_logistic
 
 
 def string_indexer(
@@ -72,6 +76,36 @@ def train(df: DataFrame, plan: TrainingPlan) -> PipelineModel:
     return train_counted(df, plan)[0]
 
 
+def refit(model: PipelineModel, df: DataFrame, plan: TrainingPlan) -> tuple[PipelineModel, NewtonFit]:
+    """Fit a saved model again on other rows, from its coefficients on, with its own category codes.
+
+    ``plan.model`` takes penalty (l2 or none), C, tol, max_iter, fit_intercept and class_weight. A category
+    that the model does not know has the code -1.
+    """
+    rows = drop_nulls(df, plan.not_null)
+    encoded = PipelineModel(model.stages[:-1]).transform(rows)
+    (assembler,) = [s for s in model.stages if isinstance(s, VectorAssembler)]
+    complete = encoded.where(_complete(assembler.getInputCols()) & F.col(plan.label).isNotNull())
+    last: LogisticRegressionModel = model.stages[-1]
+    if last.numClasses != 2:
+        raise ValueError(f"a model of {last.numClasses} classes")
+    fit = newton_logistic(
+        complete.select("features", F.col(plan.label).cast("double").alias("label")),
+        last.coefficients.toArray().tolist(),
+        last.intercept,
+        **plan.model,
+    )
+    return PipelineModel([*model.stages[:-1], with_coefficients(last, fit)]), fit
+
+
+def with_coefficients(model: LogisticRegressionModel, fit: NewtonFit) -> LogisticRegressionModel:
+    """A two-class model with the columns and parameters of ``model`` and other coefficients."""
+    context = SparkSession.active().sparkContext
+    kind = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    fresh = kind(model.uid, _py2java(context, Vectors.dense(fit.coefficients)), fit.intercept)
+    return LogisticRegressionModel(model._java_obj.copyValues(fresh, model._java_obj.extractParamMap()))
+
+
 def _complete(columns: Sequence[str]) -> Column:
     complete = F.lit(True)
     for column in columns:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableloom.operators import encode, models
+from tableloom.operators import encode, models, newton
 from tableloom.plans import training
 from tableloom.staging import new_path
 
@@ -143,3 +143,53 @@ def test_names_of_slots_do_not_clash(spark, monkeypatch, listed):
     assert counts == {"OTHER": 5, "a": 4, None: 3, "None": 2, "OTHER_1": 1}
     hot = {r[0]: tuple(r)[1:] for r in top.with_one_hot(df, ["x"]).collect()}
     assert hot["OTHER"] == (1, 0, 0, 0, 0) and hot["z"] == (0, 0, 0, 0, 1) and sum(hot[None]) == sum(hot["None"]) == 1
+
+
+@pytest.mark.parametrize("penalty", ["l2", "none"])
+@pytest.mark.parametrize("class_weight", [None, "balanced"])
+def test_newton_steps_reach_the_same_optimum(sample, penalty, class_weight):
+    _, _, df = sample
+    wanted = models.fit_logistic(df, penalty, C=0.5, tol=1e-10, class_weight=class_weight)
+    cold = newton.newton_logistic(df, penalty=penalty, C=0.5, class_weight=class_weight)
+    assert cold.converged and np.allclose(cold.coefficients, wanted.coefficients, atol=1e-5)
+    assert math.isclose(cold.intercept, wanted.intercept, abs_tol=1e-5)
+    # From near the optimum there is less to do, and from the optimum nothing.
+    near = [c + 0.01 for c in cold.coefficients]
+    warm = newton.newton_logistic(df, near, cold.intercept, penalty, 0.5, class_weight=class_weight)
+    again = newton.newton_logistic(df, cold.coefficients, cold.intercept, penalty, 0.5, class_weight=class_weight)
+    assert np.allclose(warm.coefficients, cold.coefficients, atol=1e-6)
+    assert again.steps == 0 < warm.steps < cold.steps
+
+
+def test_newton_edges(spark, sample):
+    _, _, df = sample
+    flat = newton.newton_logistic(df, fit_intercept=False, C=0.5)
+    wanted = models.fit_logistic(df, C=0.5, tol=1e-10, fit_intercept=False)
+    assert flat.intercept == 0.0 and np.allclose(flat.coefficients, wanted.coefficients, atol=1e-5)
+    far = newton.newton_logistic(df, [40.0, 40.0], -30.0)  # whole steps would overshoot
+    assert far.converged and np.allclose(far.coefficients, newton.newton_logistic(df).coefficients, atol=1e-6)
+    for bad in (df.limit(0), df.withColumn("label", F.lit(2.0))):
+        with pytest.raises(ValueError):
+            newton.newton_logistic(bad)
+    with pytest.raises(ValueError):
+        newton.newton_logistic(df, [1.0])
+    with pytest.raises(ValueError):
+        newton.newton_logistic(df, penalty="l1")
+
+
+def test_a_saved_model_is_fitted_on(spark):
+    rng = np.random.default_rng(3)
+    data = [(c, float(x), int(rng.random() < 1 / (1 + np.exp(-(x + (c == "b")))))) for c, x in zip(rng.choice(list("ab"), 300), rng.normal(size=300))]
+    data = [(str(c), x, y) for c, x, y in data]
+    old = spark.createDataFrame(data[:150], "c string, x double, y int")
+    new = spark.createDataFrame(data + [(None, 1.0, 1), ("a", None, 0)], "c string, x double, y int")
+    plan = training.TrainingPlan(["c", "x"], "y", ["c"], ["c"], {"C": 2.0})
+    path = new_path(spark, "model")
+    training.save(training.train(old, plan), path)
+    model, fit = training.refit(training.load(path), new, plan)
+    whole = training.train(new, training.TrainingPlan(["c", "x"], "y", ["c"], ["c"], {"C": 2.0, "tol": 1e-10})).stages[-1]
+    assert np.allclose(model.stages[-1].coefficients, whole.coefficients, atol=1e-5)
+    assert math.isclose(model.stages[-1].intercept, whole.intercept, abs_tol=1e-5)
+    again = new_path(spark, "model")
+    training.save(model, again)
+    assert training.score(training.load(again), new).count() == 302 and fit.converged

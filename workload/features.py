@@ -271,6 +271,32 @@ def train_saturated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT doc_id, language, round(p, 4) AS probability, round(ln(p / (1 - p)), 3) AS decision,
+               CAST(p > 0.5 AS INTEGER) AS prediction
+        FROM documents JOIN ({_MEANS}) m ON (lang = 'en') = (language = 'en')"""
+)
+def refit_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """A model of half the labels, saved, then fitted on with all of them from its coefficients."""
+    documents = table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("language")
+    )
+    labelled = documents.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    plan = training.TrainingPlan(
+        features=["language"], label="quality", categories=["language"], model={"penalty": "none", "tol": 1e-9}
+    )
+    path = new_path(spark, "model")
+    training.save(training.train(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), plan), path)
+    model, _ = training.refit(training.load(path), labelled, plan)
+    return training.score(model, documents).select(
+        "doc_id",
+        "language",
+        F.round(F.element_at("probabilities", 2), 4).alias("probability"),
+        F.round(F.element_at("decisions", 2), 3).alias("decision"),
+        F.col("prediction").cast("int").alias("prediction"),
+    )
+
+
 @query(
     f"""WITH m AS ({_MEANS}), o AS (SELECT ln(p / (1 - p)) AS d, language FROM m)
         SELECT 2 AS classes, round((SELECT d FROM o WHERE language = 'en'), 3) AS intercept,
