@@ -9,6 +9,7 @@ from tableloom.staging import stage
 
 # So many items are bits of a signed 64-bit number; it decides on the route only.
 MASK_ITEMS = 62
+BUCKETS = 1 << 20
 
 
 def _values(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -48,9 +49,9 @@ def item_combinations(
     NULL is no item. Up to 62 items a group, however large, folds into one bit mask on the
     map side, equal masks are counted together, and only distinct masks are spelled out.
     With more items, combinations grow by one item at a time: what is held by fewer than
-    ``min_support`` groups can be part of no result and is dropped before each join, which
-    is exact. ``min_support`` then decides how much there is to spell out. Both routes give
-    the same result.
+    ``min_support`` groups can be part of no result. Items are dropped before pairs are built,
+    pairs by hashed counts before they are sent on, and longer combinations unless all their
+    parts are frequent; all of that is exact. Both routes give the same result.
     """
     if size < 1:
         raise ValueError("a combination has at least one item")
@@ -72,27 +73,53 @@ def _grown(df: DataFrame, group: str, item: str, size: int, known: DataFrame | N
     baskets = df.select(F.struct(group).alias("g"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
     if known is not None:
         baskets = baskets.join(known.select(F.col("item").alias("i")), "i", "left_semi")
+    baskets = stage(baskets, "baskets")
 
     def frequent(combos: DataFrame) -> DataFrame:
         return combos.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
 
-    combos = stage(baskets.select("g", F.array("i").alias("items")), "combinations")
-    counts = stage(frequent(combos), "support")
     if size == 1:
-        return counts
-    kept = combos.join(counts, "items", "left_semi")
-    singles = stage(kept.select("g", F.get("items", F.lit(0)).alias("i")), "items")
-    combos = kept
-    for length in range(2, size + 1):
+        return frequent(baskets.select("g", F.array("i").alias("items")))
+    singles = baskets
+    if least > 1:
+        counts = baskets.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        singles = baskets.join(counts, "i", "left_semi")
+    combos = _pairs(singles, least)
+    for length in range(3, size + 1):
+        combos = stage(combos, "combinations")
+        counted = stage(frequent(combos), "support")
         # Rising order spells each combination once; a group's rows meet on its key, and
         # adaptive execution splits a hot one.
-        grown = combos.join(singles, "g").where(F.col("i") > F.element_at("items", -1))
+        held = combos.join(counted, "items", "left_semi")
+        grown = held.join(singles, "g").where(F.col("i") > F.element_at("items", -1))
         grown = grown.select("g", F.concat("items", F.array("i")).alias("items"))
-        if length == size:
-            return frequent(grown)
-        combos = stage(grown, "combinations")
-        combos = combos.join(stage(frequent(combos), "support"), "items", "left_semi")
-    return counts
+        combos = _all_parts(grown, counted, length) if least > 1 else grown
+    return frequent(combos)
+
+
+def _pairs(singles: DataFrame, least: int) -> DataFrame:
+    """(g, items): pairs of items, without those that a table of hashed counts rules out.
+
+    Pairs are counted into ``BUCKETS`` buckets, so a task sends on no more than that however many
+    pairs it meets. A pair has no more groups than its bucket, so below ``least`` it is out.
+    The buckets that are left, at most ``BUCKETS`` numbers, are looked up in every task.
+    """
+    left, right = singles.select("g", F.col("i").alias("a")), singles.select("g", F.col("i").alias("b"))
+    pairs = left.join(right, "g").where("a < b")
+    if least > 1:
+        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)).cast("int"))
+        full = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        pairs = pairs.join(F.broadcast(full.select("bucket")), "bucket", "left_semi")
+    return pairs.select("g", F.array("a", "b").alias("items"))
+
+
+def _all_parts(grown: DataFrame, counted: DataFrame, length: int) -> DataFrame:
+    """Those of ``grown`` all of whose parts of one item less are in ``counted``; the part without the last one is."""
+    parts = counted.select(F.col("items").alias("part"))
+    for left_out in range(length - 1):
+        rest = F.concat(F.slice("items", 1, left_out), F.slice("items", left_out + 2, length))
+        grown = grown.withColumn("part", rest).join(parts, "part", "left_semi").drop("part")
+    return grown
 
 
 def _by_masks(df: DataFrame, group: str, item: str, size: int, items: list, kind) -> DataFrame:

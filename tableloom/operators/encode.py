@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.functions.names import unique_names
-from tableloom.operators.aggregates import frequency
+from tableloom.operators.heavy import most_frequent
 from tableloom.operators.joins import equi_join, is_small
 from tableloom.operators.ranking import with_position
 from tableloom.staging import stage
@@ -111,9 +111,9 @@ def fit_categories(df: DataFrame, column: str, cap: int) -> CategoryList:
     """The ``cap`` most frequent values, ties by value. They come to the driver."""
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    rows = frequency(df, [column]).limit(cap + 1).select(column).collect()
-    labels = tuple(row[0] for row in rows)
-    return CategoryList(column, df.schema[column].dataType, labels[:cap], len(labels) > cap)
+    listed, rows = most_frequent(df, column, cap)
+    labels = tuple(value for value, _ in listed)
+    return CategoryList(column, df.schema[column].dataType, labels, sum(n for _, n in listed) < rows)
 
 
 def one_hot_vector(

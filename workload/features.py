@@ -26,6 +26,21 @@ def topn_other(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy(brands.capped().alias("brand")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_WORDS = "SELECT unnest(string_split(text, ' ')) AS word FROM documents"
+
+
+@query(
+    f"""WITH w AS ({_WORDS}), t AS (
+           SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS place FROM w GROUP BY word QUALIFY place <= 50)
+       SELECT coalesce(t.word, 'OTHER') AS word, count(*) AS n FROM w LEFT JOIN t USING (word) GROUP BY ALL"""
+)
+def topn_other_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 most frequent of very many words, and the rest."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    common = encode.fit_categories(words, "word", 50)
+    return words.groupBy(common.capped().alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""SELECT p.p_partkey, p.p_brand, CAST(coalesce(t.place, 5) AS INTEGER) AS brand_index
         FROM part p LEFT JOIN ({_TOP_BRANDS}) t ON p.p_brand = t.p_brand"""

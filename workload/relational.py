@@ -720,3 +720,16 @@ def item_pairs_parts(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     found = combine.item_combinations(lines, "l_orderkey", "l_partkey", 2, min_support=2)
     return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), "+"))
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT l_orderkey // 2 AS g, l_partkey AS i FROM lineitem)
+        SELECT x.i || '+' || y.i || '+' || z.i AS items, count(*) AS support
+        FROM b x JOIN b y ON x.g = y.g AND x.i < y.i JOIN b z ON y.g = z.g AND y.i < z.i
+        GROUP BY ALL HAVING count(*) >= 2"""
+)
+def item_triples_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples out of all parts; few pairs are frequent, so few triples are built."""
+    lines = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 2).alias("g"), "l_partkey")
+    found = combine.item_combinations(lines, "g", "l_partkey", 3, min_support=2)
+    return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), "+"))
