@@ -84,7 +84,11 @@ def _grown(df: DataFrame, group: str, item: str, size: int, known: DataFrame | N
     if least > 1:
         counts = baskets.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         singles = baskets.join(counts, "i", "left_semi")
-    combos = _pairs(singles, least)
+    pairs = _pairs(singles, least)
+    if size == 2:
+        counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+        return counts.select(F.array("a", "b").alias("items"), "support")
+    combos = pairs.select("g", F.array("a", "b").alias("items"))
     for length in range(3, size + 1):
         combos = stage(combos, "combinations")
         counted = stage(frequent(combos), "support")
@@ -98,19 +102,27 @@ def _grown(df: DataFrame, group: str, item: str, size: int, known: DataFrame | N
 
 
 def _pairs(singles: DataFrame, least: int) -> DataFrame:
-    """(g, items): pairs of items, without those that a table of hashed counts rules out.
+    """(g, a, b): pairs of items, without those that a table of hashed counts rules out.
 
     Pairs are counted into ``BUCKETS`` buckets, so a task sends on no more than that however many
     pairs it meets. A pair has no more groups than its bucket, so below ``least`` it is out.
-    The buckets that are left, at most ``BUCKETS`` numbers, are looked up in every task.
+    The buckets that are left, at most ``BUCKETS`` numbers, are looked up in every task. The table is
+    left out where it cannot help: with hardly more pairs than buckets, or with so many that every
+    bucket fills; the number of pairs follows from the sizes of the groups.
     """
     left, right = singles.select("g", F.col("i").alias("a")), singles.select("g", F.col("i").alias("b"))
     pairs = left.join(right, "g").where("a < b")
-    if least > 1:
+    if least > 1 and 4 < _pair_count(singles) / BUCKETS < 4 * least:
         pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)).cast("int"))
         full = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         pairs = pairs.join(F.broadcast(full.select("bucket")), "bucket", "left_semi")
-    return pairs.select("g", F.array("a", "b").alias("items"))
+    return pairs.select("g", "a", "b")
+
+
+def _pair_count(singles: DataFrame) -> float:
+    n = F.col("n").cast("double")
+    sizes = singles.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
 
 
 def _all_parts(grown: DataFrame, counted: DataFrame, length: int) -> DataFrame:

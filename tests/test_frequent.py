@@ -46,7 +46,7 @@ def test_the_second_pass_sends_on_candidates_only(spark):
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4])
 @pytest.mark.parametrize("least", [1, 3])
-@pytest.mark.parametrize("buckets", [1 << 20, 7])
+@pytest.mark.parametrize("buckets", [1 << 18, 20])
 def test_grown_combinations(spark, monkeypatch, size, least, buckets):
     monkeypatch.setattr(combine, "BUCKETS", buckets)
     rng = random.Random(size)
