@@ -42,6 +42,7 @@ BLOCK_CHARS = 8 << 20
 SHARD_TOKENS = 1_500_000
 BACKOFF = 20.0  # M above
 CODES = 255
+FIND = 1 << 16
 
 
 # Compact arrays
@@ -63,10 +64,24 @@ def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system, as workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _steps_up(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+# For a byte and a rank, the place of its set bit of that rank.
+_BIT_OF = np.array([[*[i for i in range(8) if byte >> i & 1], *[0] * 8][:8] for byte in range(256)], np.int64)
+
+
 class EliasFano:
     """Whole numbers that never fall, in about 2 + log2(largest / n) bits each.
 
@@ -120,6 +135,57 @@ class EliasFano:
                 end = middle
         return start
 
+    def _select(self, ranks: np.ndarray, zeros: bool = False) -> np.ndarray:
+        """Places in the upper bits of the ones, or zeros, of these ranks: by blocks, words, bytes."""
+        marks = np.arange(len(self.marks)) * self.BLOCK - self.marks if zeros else self.marks
+        block = np.searchsorted(marks, ranks, side="right") - 1
+        words = self.upper.view("<u8").reshape(-1, self.BLOCK // 64)[block]
+        if zeros:
+            words = ~words
+        rest, rows = ranks - marks[block], np.arange(len(ranks))
+        before = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
+        word = (before <= rest[:, None]).sum(axis=1)
+        rest -= np.where(word, before[rows, word - 1], 0)
+        octets = words[rows, word].view(np.uint8).reshape(-1, 8)
+        before = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int16)
+        octet = (before <= rest[:, None]).sum(axis=1)
+        rest -= np.where(octet, before[rows, octet - 1], 0)
+        return block * self.BLOCK + word * 64 + octet * 8 + _BIT_OF[octets[rows, octet], rest]
+
+    def get_many(self, places: np.ndarray) -> np.ndarray:
+        """The numbers at these places."""
+        high = (self._select(places) - places).astype(np.uint64) << np.uint64(self.low)
+        return high | self._low_at(places)
+
+    def _low_at(self, places: np.ndarray) -> np.ndarray:
+        width = self.low // 8
+        wide = np.zeros((len(places), 8), np.uint8)
+        if width:
+            wide[:, :width] = self.lower.reshape(-1, width)[places]
+        return wide.view("<u8").ravel()
+
+    def successors(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each value the first place in its range [start, end) whose number is at least the value, or ``end``.
+
+        The zeros of the upper bits bound the numbers that share the value's high bits; among those
+        the low bits are searched by halving. No number outside is looked at.
+        """
+        high = (values >> np.uint64(self.low)).astype(np.int64)
+        top = int(self.get_many(np.array([self.n - 1]))[0] >> np.uint64(self.low)) if self.n else -1
+        within, inner = np.minimum(high, top), np.maximum(high - 1, 0)
+        low = np.where(high > top, self.n, np.where(high > 0, self._select(np.minimum(inner, top), True) - inner, 0))
+        most = np.where(high >= top, self.n, self._select(within, True) - within)
+        low, most = np.clip(low, start, end), np.clip(most, start, end)
+        wanted = values & np.uint64((1 << self.low) - 1)
+        open_ = np.flatnonzero(low < most)
+        while len(open_):
+            middle = (low[open_] + most[open_]) >> 1
+            less = self._low_at(middle) < wanted[open_]
+            low[open_[less]] = middle[less] + 1
+            most[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < most[open_]]
+        return low
+
     def decode(self) -> np.ndarray:
         """All numbers, in one pass over both parts."""
         places = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))
@@ -165,20 +231,30 @@ class Shard(NamedTuple):
     def find(self, pairs: np.ndarray) -> np.ndarray:
         """For a batch of pairs: the code plus one, 0 where a pair was not seen.
 
-        A batch decodes each level once; a first word's place bounds the search of the second.
+        Each different first word is searched once; its pointers bound the successor search of its pairs.
+        Everything is read from the coded levels, ``FIND`` pairs at a time.
         """
         out = np.zeros(len(pairs), np.uint8)
         if not self.words.n or not len(pairs):
             return out
-        first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        words = self.words.decode()
-        place = np.minimum(np.searchsorted(words, first), len(words) - 1)
-        known = np.flatnonzero(words[place] == first)
-        raised = place[known].astype(np.uint64) * np.uint64(self.span) + second[known]
-        successors = self.successors.decode()
-        at = np.minimum(np.searchsorted(successors, raised), len(successors) - 1)
-        hit = successors[at] == raised
-        out[known[hit]] = self.codes[at[hit]] + np.uint8(1)
+        words, which = np.unique(pairs >> np.uint64(32), return_inverse=True)
+        none = np.zeros(len(words), np.int64)
+        place = self.words.successors(words, none, none + self.words.n)
+        there = place < self.words.n
+        there[there] = self.words.get_many(place[there]) == words[there]
+        start, end = none.copy(), none.copy()
+        start[there] = self.pointers.get_many(place[there]).astype(np.int64)
+        end[there] = self.pointers.get_many(place[there] + 1).astype(np.int64)
+        for first in range(0, len(pairs), FIND):
+            mine = which[first : first + FIND]
+            known = np.flatnonzero(there[mine])
+            mine = mine[known]
+            second = pairs[first : first + FIND][known] & np.uint64(0xFFFFFFFF)
+            raised = place[mine].astype(np.uint64) * np.uint64(self.span) + second
+            at = self.successors.successors(raised, start[mine], end[mine])
+            hit = at < end[mine]
+            hit[hit] = self.successors.get_many(at[hit]) == raised[hit]
+            out[first + known[hit]] = self.codes[at[hit]] + np.uint8(1)
         return out
 
     def find_one(self, first: int, second: int) -> int:
@@ -298,8 +374,11 @@ def text_blocks(docs: DataFrame, key: str, text: str, held_out: Column, chars: i
                     yield block()
                     number, size = number + 1, 0
                     keys, held, parts, index = [], [], [], _Index({END: 0})
+                    _give_back()
         if keys:
             yield block()
+            keys, held, parts, index = [], [], [], _Index({END: 0})
+            _give_back()
 
     return narrow.mapInArrow(run, _BLOCK)
 
@@ -387,16 +466,22 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
                 train = np.repeat(~held, sizes)
                 unique, inverse = np.unique(pairs, return_inverse=True)
                 seen = np.bincount(inverse[train], minlength=len(unique)).astype(np.uint32)
+                del tokens, pairs, train, inverse
                 parts = _by_shard(unique, counts, shards)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([s for s, _ in parts], pa.int64()),
-                        pa.array([row.column("block")[0].as_py()] * len(parts), pa.int64()),
-                        pa.array([_squeeze(_steps_up(unique[at])) for _, at in parts], pa.binary()),
-                        pa.array([_squeeze(seen[at]) for _, at in parts], pa.binary()),
-                    ],
-                    ["shard", "block", "pairs", "seen"],
-                )
+                block = row.column("block")[0].as_py()
+                for few in range(0, len(parts), 64):
+                    some = parts[few : few + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([s for s, _ in some], pa.int64()),
+                            pa.array([block] * len(some), pa.int64()),
+                            pa.array([_squeeze(_steps_up(unique[at])) for _, at in some], pa.binary()),
+                            pa.array([_squeeze(seen[at]) for _, at in some], pa.binary()),
+                        ],
+                        ["shard", "block", "pairs", "seen"],
+                    )
+                del unique, seen, parts
+                _give_back()
 
     def serve(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -413,7 +498,7 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
         trie = Shard.build(pairs, logs, span)
         arrays = trie.arrays()
         blocks = table.column("block").to_pylist()
-        # One batch for all blocks, so that each level is decoded once.
+        # One batch for all blocks, so that each first word is searched once.
         codes = np.split(trie.find(np.concatenate(asked)), np.cumsum([len(a) for a in asked])[:-1])
         rows = [("answer", b, shard, _squeeze(c), trie.book.tolist()) for b, c in zip(blocks, codes)]
         rows += [(f"trie:{name}:{a.dtype}", -1, shard, a.tobytes(), []) for name, a in arrays.items()]
@@ -471,6 +556,7 @@ def _scored(coded: DataFrame, model: Model, backoff: float) -> DataFrame:
                     ],
                     ["key", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
+                _give_back()
 
     answers = (
         model.table.where("kind = 'answer'")

@@ -4,7 +4,8 @@ The byte-level pre-tokenizer never lets a piece reach across the border between
 that is no white space and a following space or line break. So a text may be cut there
 and the parts encoded one by one; parts are mostly words, and most words return. Parts
 seen first are encoded by the library, many in one call, and the ids are told apart by
-their lengths in bytes.
+their lengths in bytes. Texts that hold one of the vocabulary's added tokens, such as
+``<|endoftext|>``, are encoded whole, which gives these the ids the library gives them.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts with one of these go to the library whole, as it cuts them out before anything else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
@@ -87,6 +89,15 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if not whole:
+            return self._encode(texts)
+        out = self._encode(["" if i in whole else t for i, t in enumerate(texts)])
+        for i, ids in zip(whole, self._ids(list(whole.values()))):
+            out[i] = np.frombuffer(ids, self.kind)
+        return out
+
+    def _encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if len(self.words) + len(self.parts) > self.cached // 2:
             self.older, self.words, self.parts = self.words, {}, {}
         heads: list[list[str]] = []

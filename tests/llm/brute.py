@@ -20,9 +20,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def token_ids(texts):
