@@ -14,7 +14,8 @@ import os
 import re
 import sys
 from collections.abc import Iterable, Sequence
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 from types import ModuleType
 
 import numpy as np
@@ -79,8 +80,9 @@ class Encoder:
         for start in range(0, len(new), 256):
             part = new[start : start + 256]
             spelled = [w if w[0] == "\n" else " " + w for w in part]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum([len(s.encode()) for s in spelled])
+            joined = "".join(spelled)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum(list(map(len, spelled if joined.isascii() else map(str.encode, spelled))))
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
             data, before = ids.tobytes(), 0
             for word, cut in zip(part, (cuts * ids.itemsize).tolist()):
@@ -114,11 +116,11 @@ class Encoder:
         # One look-up a word is what the time goes into; only texts with new words need more.
         found = [list(map(words.get, rest)) for rest in rests]
         lacking = [i for i, ids in enumerate(found) if None in ids]
-        new = {w for i in lacking for w, ids in zip(rests[i], found[i]) if ids is None}
+        new = set(chain.from_iterable(compress(rests[i], map(is_, found[i], repeat(None))) for i in lacking))
         words.update([(w, older[w]) for w in new if w in older])
         self._learn_words([w for w in new if w not in words])
         for i in lacking:
-            found[i] = [words[w] if ids is None else ids for w, ids in zip(rests[i], found[i])]
+            found[i] = list(map(words.__getitem__, rests[i]))
         missing = list(set(chain.from_iterable(heads)).difference(self.parts))
         self.parts.update(zip(missing, self._ids(missing)))
         part = self.parts.__getitem__
