@@ -172,9 +172,11 @@ class EliasFano:
         """
         high = (values >> np.uint64(self.low)).astype(np.int64)
         top = int(self.get_many(np.array([self.n - 1]))[0] >> np.uint64(self.low)) if self.n else -1
-        within, inner = np.minimum(high, top), np.maximum(high - 1, 0)
-        low = np.where(high > top, self.n, np.where(high > 0, self._select(np.minimum(inner, top), True) - inner, 0))
-        most = np.where(high >= top, self.n, self._select(within, True) - within)
+        low, most = np.where(high > top, self.n, 0), np.full(len(values), self.n)
+        # There are as many zeros as the greatest high part; the one before a part and the one behind it.
+        before, behind = np.flatnonzero((high > 0) & (high <= top)), np.flatnonzero(high < top)
+        low[before] = self._select(high[before] - 1, True) - (high[before] - 1)
+        most[behind] = self._select(high[behind], True) - high[behind]
         low, most = np.clip(low, start, end), np.clip(most, start, end)
         wanted = values & np.uint64((1 << self.low) - 1)
         open_ = np.flatnonzero(low < most)

@@ -38,10 +38,10 @@ LONGEST = 5
 TOP = 2000
 BITS = 25  # the bitmaps have 2 ** BITS bits, 4 MB
 SLICE_BITS = 18
-PENDING = 2_000_000  # n-grams that a task counts at once
-HELD = 2_000_000  # partial counts of hashes that a task holds
+PENDING = 1_000_000  # n-grams that a task counts at once
+HELD = 1_000_000  # partial counts of hashes that a task holds
 HELD_PHRASES = 500_000  # the same with the phrases themselves
-HELD_WORDS = 1_000_000
+HELD_WORDS = 600_000
 TASK_CHARS = 1 << 30  # characters that a task reads: the more, the more counts meet before the shuffle
 GROUP_BYTES = 4 << 20
 FEW_LANGUAGES = 10_000

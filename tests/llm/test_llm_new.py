@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tableloom.llm import html, phrases, runs
+from tableloom.llm import html, lm, phrases, runs, tokens
 from tableloom.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -302,3 +302,40 @@ def test_runs_edges(spark):
     assert rows(out) == Counter(judged(*r) for r in table)
     assert runs.periodic_runs(df.limit(0)).count() == 0
     assert runs.periodic_runs(spark.createDataFrame([("k", "b " * 20)], "id string, body string"), "id", "body").first()[:2] == ("k", 1)
+
+
+# ---- 2, 7 tokens and 9 look-up
+
+
+def test_added_tokens_get_their_ids():
+    tool, plain = tokens.encoder(tokens.default_vocabulary()), brute.tokenizer()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "<|endoftext|> y  z", "<|endoftext|><|endoftext|>", "no token", ""]
+    wanted = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in tool.encode(texts)] == wanted and [50256] in wanted
+
+
+@given(data=st.data(), n=st.sampled_from([1, 2, 7, 511, 512, 513, 1024, 1536]), top=st.sampled_from([0, 1, 3, 512, 5000, 10**9, 2**50]))
+@settings(max_examples=80, deadline=None)
+def test_successors_on_the_coded_level(data, n, top):
+    rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
+    values = np.sort(rng.integers(0, top + 1, n).astype(np.uint64))
+    level = lm.EliasFano.build(values)
+    assert (level.get_many(np.arange(n)) == values).all() and (level.decode() == values).all()
+    asked = np.concatenate([values, rng.integers(0, top + 3, 50).astype(np.uint64), np.array([0, top + 1, 2 * top + 5], np.uint64)])
+    start = rng.integers(0, n + 1, len(asked))
+    end = np.minimum(n, start + rng.integers(0, n + 1, len(asked)))
+    wanted = [a + int(np.searchsorted(values[a:b], v)) for v, a, b in zip(asked, start, end)]
+    assert level.successors(asked, start, end).tolist() == wanted
+
+
+def test_pairs_are_found_in_a_shard():
+    rng = np.random.default_rng(3)
+    first, second = rng.zipf(1.4, 4000) % 300, rng.zipf(1.4, 4000) % 5000
+    pairs = np.unique(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+    shard = lm.Shard.build(pairs, rng.normal(size=len(pairs)), 5000)
+    asked = np.concatenate([pairs, pairs ^ np.uint64(1), pairs ^ np.uint64(1 << 32), np.array([2**62], np.uint64)])
+    at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+    wanted = np.where(pairs[at] == asked, shard.codes[at].astype(int) + 1, 0)
+    found = shard.find(asked)
+    assert (found == wanted).all()
+    assert [shard.find_one(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in asked[::97]] == found[::97].tolist()
