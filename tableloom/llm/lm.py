@@ -568,6 +568,16 @@ def _scored(coded: DataFrame, model: Model, backoff: float) -> DataFrame:
     return coded.join(answers, "block").select("block", "keys", "held", "sizes", "tokens", "end", "answers").mapInArrow(run, _SCORES)
 
 
+def _remove(*staged: DataFrame) -> None:
+    """Delete tables of ``stage`` that nothing reads any more: what followed from them is written."""
+    for df in staged:
+        session = df.sparkSession
+        folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+        for folder in folders:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, backoff: float = BACKOFF) -> tuple[DataFrame, Model]:
     """Scores of all texts by a model of those not held out, and the model."""
     if held_out is None:
@@ -577,5 +587,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
     ids = words.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("place", F.col("id").alias("id"))).alias("ids"))
     coded = stage(_with_ids(blocks, ids), "coded")
+    _remove(blocks, vocabulary)
     model = train_and_answer(coded, counts, max(span, 1), backoff)
     return _scored(coded, model, backoff).withColumn("train_tokens", F.lit(counts.tokens).cast("long")), model
