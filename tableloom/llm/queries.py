@@ -96,7 +96,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best candidates of every hundredth vector, by integer inner product."""
-    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    vectors = topk.usable_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
 
 

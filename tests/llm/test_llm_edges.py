@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -183,9 +184,9 @@ def test_a_small_cache_gives_the_same():
 def test_top_k_against_all_pairs(spark):
     random.seed(1)
     vectors = [(i, [random.choice([0.0, 0.5, -0.25, 0.001, 1.0]) for _ in range(random.choice([3, 6]))]) for i in range(70)]
-    vectors += [(5, [1.0, 1.0]), (90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf"), 0.0]), (None, [1.0]), (94, []), (95, [1e30])]
+    vectors += [(5, [1.0, 1.0]), (90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf"), 0.0]), (None, [1.0]), (94, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
-    usable = topk.integer_vectors(df)
+    usable = topk.usable_vectors(df)
     whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors[:70]}
     plain = [(i, whole[i]) for i in whole] + [(5, [1024, 1024]), (94, [])]
     assert rows(usable.select("id")) == Counter((i,) for i, _ in plain)
@@ -196,12 +197,31 @@ def test_top_k_against_all_pairs(spark):
         if i % 7 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in plain if j != i)[:4]
             assert sorted(found[i]) == [(n, j, -s) for n, (s, j) in enumerate(scores, start=1)]
-    nothing = topk.integer_vectors(df.limit(0))
+    nothing = topk.usable_vectors(df.limit(0))
     assert topk.top_k(nothing, nothing).count() == 0 and topk.top_k(usable, nothing).count() == 0
     one = usable.where("id = 7")
     assert topk.top_k(one, one).count() == 0
 
 
+def test_top_k_of_any_size(spark):
+    """Scores beyond 64 bits: the order is that of Python integers."""
+    random.seed(2)
+    sizes = [1e-3, 1.0, -1.0, 70000.0, 1e6, -1e6, 3e9, 1e30, -1e30, 1.5e300]
+    vectors = [(i, [random.choice(sizes) for _ in range(random.choice([1, 2, 4]))]) for i in range(120)]
+    vectors += [(200, [70000.0, 1.0]), (210, [70000.0, 1.0]), (220, [1.7e308]), (230, [-1.7e308])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    usable = topk.usable_vectors(df)
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in vectors}
+    limit = (1 << 63) - 1
+    found = defaultdict(list)
+    for r in topk.top_k(usable, usable.where("id % 10 = 0"), 9).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for i, v in whole.items():
+        if i % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole.items() if j != i)[:9]
+            assert sorted(found[i]) == [(n, j, max(-limit, min(limit, -s))) for n, (s, j) in enumerate(scores, start=1)]
+
+
 # ---- 4 quality
 
 
