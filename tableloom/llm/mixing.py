@@ -9,8 +9,12 @@ documents are put into a seeded order and take one more repetition until the wor
 reached. The order is cut into 4 096 ranges per source: sums per range are added up first, so a
 source with a third of all rows is worked on by many tasks.
 
-Defined results: NULL text has size 0; a NULL source is a source, the last in order; rows that
-agree in source, id and text share one decision; an empty table gives no rows.
+Rows that agree in source, id and text are one entry with a number of copies. They follow each other
+in the order, and how many of them take one more repetition is computed, so they are never spelled
+out before the result. At most one entry of a source is taken in part.
+
+Defined results: NULL text has size 0; a NULL source is a source, the last in order; of an entry
+taken in part, the rows first by content take one more; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tableloom.llm.text import WORD, free_names
-from tableloom.operators.ranking import with_position
+from tableloom.operators.ranking import with_group_position, with_position
 from tableloom.staging import stage
 
 SEED = 20_26
@@ -65,7 +69,10 @@ def mixing_plan(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per document: key, source, size, source_size, target, repetitions, order hash."""
+    """One row per entry: key, source, order hash, size, copies, source_size, target, repetitions, extra.
+
+    Each of the ``copies`` is taken ``repetitions`` times, ``extra`` of them once more.
+    """
     sizes = stage(
         docs.select(
             F.col(f"`{key}`").alias("key"),
@@ -101,8 +108,10 @@ def mixing_plan(
     placed = entries.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0))).join(
         ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))
     )
-    # A document belongs to the needed words when its middle does.
-    extra = (F.col("needed") > 0) & (F.col("before") + F.col("inside") + F.col("words") / 2 <= F.col("needed"))
+    # A copy belongs to the needed words when its middle does.
+    left = F.col("needed") - F.col("before") - F.col("inside")
+    reached = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).when(left >= 0, F.col("copies")).otherwise(F.lit(0))
+    extra = F.when(F.col("needed") > 0, F.greatest(F.lit(0), F.least(reached, F.col("copies")))).otherwise(F.lit(0))
     return placed.select(
         "key",
         "source",
@@ -111,7 +120,8 @@ def mixing_plan(
         "copies",
         "source_size",
         "target",
-        (F.col("whole") + extra.cast("long")).alias("repetitions"),
+        F.col("whole").alias("repetitions"),
+        extra.cast("long").alias("extra"),
     )
 
 
@@ -123,16 +133,34 @@ def row_hash(key: str, text: str, seed: int = SEED) -> Column:
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, columns as they were."""
     plan = mixing_plan(docs, key, text, source, **options)
-    h, times, k, s, plan_h = free_names(docs, "__h", "__times", "__key", "__source", "__plan_h")
-    decisions = plan.where("repetitions > 0").select(
-        F.col("key").alias(k), F.col("source").alias(s), F.col("h").alias(plan_h), F.col("repetitions").alias(times)
+    h, times, k, s, plan_h, extra, copies, place = free_names(
+        docs, "__h", "__times", "__key", "__source", "__plan_h", "__extra", "__copies", "__place"
     )
-    joined = docs.withColumn(h, row_hash(key, text, options.get("seed", SEED))).join(
-        decisions,
+    taken = plan.where("repetitions + extra > 0").select(
+        F.col("key").alias(k),
+        F.col("source").alias(s),
+        F.col("h").alias(plan_h),
+        F.col("repetitions").alias(times),
+        F.col("extra").alias(extra),
+        F.col("copies").alias(copies),
+    )
+    decisions = stage(taken, "mix-decisions")
+    hashed = docs.withColumn(h, row_hash(key, text, options.get("seed", SEED)))
+    same = (
         (F.col(h) == F.col(plan_h))
         & F.col(f"`{key}`").eqNullSafe(F.col(k))
-        & F.col(f"`{source}`").eqNullSafe(F.col(s)),
+        & F.col(f"`{source}`").eqNullSafe(F.col(s))
+    )
+    in_part = (F.col(extra) > 0) & (F.col(extra) < F.col(copies))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = hashed.join(decisions.where(~in_part), same).select(
+        *columns, (F.col(times) + (F.col(extra) > 0).cast("long")).alias(times)
     )
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(h)
-    ).drop(h)
+    parts = decisions.where(in_part)
+    if not parts.isEmpty():
+        # At most one entry of each source; its rows are numbered, however many there are.
+        rows = stage(hashed.join(parts, same), "mix-parts")
+        numbered = with_group_position(rows, [plan_h, s, k], [], place)
+        some = numbered.select(*columns, (F.col(times) + (F.col(place) <= F.col(extra)).cast("long")).alias(times))
+        whole = whole.unionAll(some.where(F.col(times) > 0))
+    return whole.select(*columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(h)).drop(h)

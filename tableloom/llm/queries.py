@@ -128,7 +128,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         F.col("source_size").cast("long").alias("source_size"),
         F.col("target").cast("double").alias("target"),
-        (F.col("size") * F.col("repetitions")).cast("long").alias("taken"),
+        (F.col("size") * (F.col("repetitions") + (F.col("copy") <= F.col("extra")).cast("long"))).cast("long").alias("taken"),
     )
 
 

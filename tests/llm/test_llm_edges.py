@@ -327,10 +327,26 @@ def test_mixing_of_any_table(spark, docs, empty):
     plan = mixing.mixing_plan(docs)
     assert plan.agg(F.sum("copies")).first()[0] == len(ROWS)
     assert {r.source for r in plan.collect()} == {r[3] for r in ROWS}
-    assert all(r.repetitions <= 2 for r in plan.collect())
+    assert all(r.repetitions + (r.extra > 0) <= 2 and r.extra <= r.copies for r in plan.collect())
     assert mixing.mixing_plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
     silent = docs.where("text IS NULL")
-    assert {r.repetitions for r in mixing.mixing_plan(silent).collect()} <= {0, 1, 2}
+    assert {r.repetitions + (r.extra > 0) for r in mixing.mixing_plan(silent).collect()} <= {0, 1, 2}
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_each_copy_has_its_own_decision(spark, key):
+    """Copies of one row reach the target like different rows, whether or not other columns differ."""
+    words = "ten words in each of these copies and no more"
+    data = [(key, words, "s", i % 3) for i in range(1001)] + [(8, "a b c", "s", 0), (9, "d e", "s", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, more int").repartition(4)
+    target = 1.5 * (1001 * 10 + 5)
+    plan = mixing.mixing_plan(df)
+    taken = plan.select(F.sum(F.col("size") * (F.col("repetitions") * F.col("copies") + F.col("extra")))).first()[0]
+    mixed = mixing.mixed(df)
+    assert abs(taken - target) <= 10 and mixed.columns == df.columns
+    assert mixed.agg(F.sum(mixing.word_count("text"))).first()[0] == taken
+    times = Counter(r.more for r in mixed.where("text like 'ten%'").collect())
+    assert sum(times.values()) in (1501, 1502) and min(times.values()) >= 333
 
 
 @pytest.mark.parametrize("weights", [(3, 1, 2), (1000, 1, 1)])
