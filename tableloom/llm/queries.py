@@ -165,6 +165,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumnRenamed("key", "doc_id")
 
 
+# Small enough for the test tables to split at several depths; SHARD_BYTES is the limit of real shards.
+_OP10_BYTES = 64 << 10
+
+
 @query(
     f"""WITH cells AS (
            SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
@@ -173,17 +177,17 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
          depths AS (SELECT cells.*, d::INT AS depth, cell >> (16 - d)::INT AS bucket FROM cells, range(17) r(d)),
          fits AS (
            SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM depths
-           GROUP BY ALL HAVING sum(n_bytes) <= {sharding.SHARD_BYTES} OR count(*) = 1)
+           GROUP BY ALL HAVING sum(n_bytes) <= {_OP10_BYTES} OR count(*) = 1)
          SELECT doc_id, n_bytes, '/' || lpad(bin(bucket), depth, '0') AS shard, depth, shard_bytes, shard_rows
          FROM depths JOIN fits USING (depth, bucket)
          QUALIFY depth = min(depth) OVER (PARTITION BY cell)"""
 )
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document, with the shard's depth, bytes and rows."""
+    """The shard of every document at 64 KB a shard, with the shard's depth, bytes and rows."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
-    return sharding.extendible_shards(docs, "doc_id", F.col("n_bytes"))
+    return sharding.extendible_shards(docs, "doc_id", F.col("n_bytes"), _OP10_BYTES)
 
 
 @query()
