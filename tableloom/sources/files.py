@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tableloom.functions.schema import export_schema
 from tableloom.operators.columns import column_sizes, rename_all
 from tableloom.operators.ranking import row_slice
+from tableloom.sources.first_lines import PLACES, first_lines, with_places
 
 CORRUPT = "_corrupt_record"
 # What happens to a row that does not fit the schema.
@@ -27,11 +28,13 @@ def read_csv(
     delimiter: str = ",",
     bad_rows: str = "keep",
     line_delimiter: str | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """CSV with a schema, or with types inferred by an extra pass over the data.
 
     A given schema always wins over inference. ``bad_rows='keep'`` nulls the cells that do
-    not fit; add a ``_corrupt_record`` string to the schema to keep the raw line too.
+    not fit; add a ``_corrupt_record`` string to the schema to keep the raw line too. ``places``
+    adds the columns that ``first_lines`` needs.
     """
     if bad_rows not in BAD_ROWS:
         raise ValueError(f"bad_rows is one of {sorted(BAD_ROWS)}")
@@ -41,6 +44,8 @@ def read_csv(
         reader = reader.option("lineSep", line_delimiter)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     df = reader.csv(path)
+    if places:
+        df = with_places(df)
     if bad_rows != "keep" or CORRUPT in df.columns:
         # Cells nobody selects are not parsed and could hide a bad row; this selects them all.
         df = df.select(F.inline(F.array(F.struct("*"))))
@@ -53,7 +58,7 @@ class CsvJob:
 
     ``filter_expression`` uses the new names. Offsets need ``order_by``, as files have no
     row order of their own; 0 and 0 mean all rows. ``max_read_lines`` keeps the first rows in
-    that order, or in the order of all columns without one; -1 means all. Rows that do not
+    that order, or without one as the files have them; -1 means all. Rows that do not
     fit the schema fail the job, given or inferred, unless ``ignore_and_continue``.
     ``calculate_column_size`` and ``populate_meta_schema`` ask ``run_csv_job`` for both.
     """
@@ -102,11 +107,13 @@ class CsvJob:
 
 def read_csv_job(spark: SparkSession, job: CsvJob) -> DataFrame:
     bad_rows = "drop" if job.ignore_and_continue else "fail"
-    df = read_csv(spark, job.path, job.schema, job.has_header, job.delimiter, bad_rows, job.line_delimiter)
+    by_place = job.max_read_lines > 0 and not job.order_by
+    df = read_csv(spark, job.path, job.schema, job.has_header, job.delimiter, bad_rows, job.line_delimiter, by_place)
+    places = PLACES if by_place else ()
     if job.columns_to_select:
-        df = df.select(*[f"`{c}`" for c in job.columns_to_select])
+        df = df.select(*[f"`{c}`" for c in job.columns_to_select], *places)
     if job.headers:
-        df = rename_all(df, job.headers)
+        df = rename_all(df, [*job.headers, *places])
     if job.filter_expression.strip():
         df = df.where(F.expr(job.filter_expression))
     if job.start_offset or job.end_offset:
@@ -115,9 +122,10 @@ def read_csv_job(spark: SparkSession, job: CsvJob) -> DataFrame:
         df = row_slice(df, list(job.order_by), job.start_offset, job.end_offset)
     if job.max_read_lines == 0:
         return df.limit(0)
-    if job.max_read_lines > 0:
-        order = list(job.order_by) or [F.col(f"`{c}`") for c in df.columns]
-        df = row_slice(df, order, 0, job.max_read_lines)
+    if by_place:
+        df = first_lines(df, job.max_read_lines)
+    elif job.max_read_lines > 0:
+        df = row_slice(df, list(job.order_by), 0, job.max_read_lines)
     return df
 
 

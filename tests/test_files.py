@@ -10,6 +10,7 @@ from tableloom.sinks import topics as topic_sink
 from tableloom.sinks.files import FileTarget, write_files, write_single_csv
 from tableloom.sinks.report import write_with_report
 from tableloom.sinks.tables import TableTarget, create_text_table, write_table
+from tableloom.sources.first_lines import first_lines, with_places
 from tableloom.sources.files import CsvJob, read_csv, read_csv_job, read_keyed_rows, run_csv_job, split_text
 from tableloom.sources.jdbc import JdbcSource, Split
 from tableloom.sources.topics import KafkaTopic
@@ -61,11 +62,50 @@ def test_csv_job(spark, tmp_path):
         read_csv_job(spark, CsvJob(str(path), "k int, v string, w string", ";", False, start_offset=1))
 
 
+def test_read_lines_are_the_first_of_the_files(spark, tmp_path):
+    """Many blocks, bad rows, a filter and few columns: the lines are those a plain reader finds first."""
+    lines = []
+    for number in range(3):
+        mine = [f"{(i * 7919) % 1000},{'x' if i % 50 == 9 else i},{number}" for i in range(400)]
+        (tmp_path / f"part-{number}.csv").write_text("\n".join(["k,n,f", *mine]) + "\n")
+        lines += [tuple(m.split(",")) for m in mine]
+    good = [(int(k), int(f)) for k, n, f in lines if n != "x" and int(k) % 3]
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for n in (1, 77, 300, 555, len(good) - 1, len(good), len(good) + 5):
+            job = CsvJob(
+                str(tmp_path), "k int, n int, f int", ignore_and_continue=True, columns_to_select=["k", "f"], headers=["K", "F"],
+                filter_expression="K % 3 <> 0", max_read_lines=n,
+            )
+            found = read_csv_job(spark, job)
+            assert found.columns == ["K", "F"] and sorted(map(tuple, found.collect())) == sorted(good[:n])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "rangepartitioning" not in plan
+        assert read_csv_job(spark, CsvJob(str(tmp_path), "k int, n int, f int", max_read_lines=0)).count() == 0
+        # Blocks that changed between the passes stop the job.
+        placed = with_places(spark.read.option("header", True).csv(str(tmp_path)))
+        late = first_lines(placed, 500)
+        moved = placed.withColumn("__block", F.col("__block") + 1)
+        assert late.count() == 500
+        with pytest.raises(Exception, match="have changed"):
+            first_lines(_moving(placed, moved), 500).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+
+
+class _moving:
+    """A table whose blocks are others in the second pass."""
+
+    def __init__(self, first, second):
+        self.groupBy, self.where, self.drop = first.groupBy, second.where, second.drop
+
+
 def test_read_lines_are_the_first_in_order(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("3;c\n1;a\n2;b\n")
     job = lambda n, **more: rows(read_csv_job(spark, CsvJob(str(path), "k int, v string", ";", False, max_read_lines=n, **more)))
-    assert job(2) == [(1, "a"), (2, "b")] and job(0) == []
+    assert job(2) == [(1, "a"), (3, "c")] and job(0) == []
     assert job(1, order_by=["v"]) == [(1, "a")]
 
 

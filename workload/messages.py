@@ -519,3 +519,12 @@ def join_topics_in_two_drains(spark: SparkSession, sf: str) -> DataFrame:
             messages.where(F.col("half") == half).select("value").write.mode("append").parquet(path)
         join.advance(*topics)
     return join.result(*topics).select("C_CUSTKEY", "C_NAME", "O_ORDERKEY", "O_TOTALPRICE")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3000")
+def csv_first_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 3 000 lines of files in key order, as the files have them."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = new_path(spark, "ordered")
+    orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+    return read_csv_job(spark, CsvJob(path, orders.schema, max_read_lines=3000))
