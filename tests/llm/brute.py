@@ -117,6 +117,30 @@ def quality(rows, chars=0.3, words=0.55, least=(400, 50), common=200):
     return out
 
 
+def shingles(text, size=5):
+    words = WORD.findall(lower(text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
+
+
+def alike_groups(texts, share=(4, 5)):
+    """A number per text: groups linked by pairs that share 4/5 of their five-word shingles, by all pairs."""
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(one & sets[j])
+            if (not one and not sets[j]) or (both and share[1] * both >= share[0] * (len(one) + len(sets[j]) - both)):
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

@@ -316,10 +316,46 @@ def test_groups_of_any_table(spark, docs, empty, clashing):
     assert Counter((r.key, r.fingerprint % (1 << 64), r.component) for r in found) == Counter(
         (r[0], p, least[n]) for r, p, n in zip(ROWS, prints, numbers)
     )
-    assert simhash.near_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.near_groups(empty).count() == 0
+
+
+def test_alike_groups_of_any_table(spark, docs, empty, clashing):
+    numbers = brute.alike_groups([r[1] for r in ROWS])
+    least = {n: min((r[0] for r, m in zip(ROWS, numbers) if m == n and r[0] is not None), default=None) for n in numbers}
+    found = Counter((r.key, r.component) for r in simhash.alike_groups(docs).collect())
+    assert found == Counter((r[0], least[n]) for r, n in zip(ROWS, numbers))
+    assert simhash.alike_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
     assert simhash.one_of_each(docs).count() == len(set(numbers)) == simhash.one_of_each(clashing).count()
 
 
+def test_alike_groups_around_the_limit(spark):
+    pick = random.Random(11)
+    word = lambda: "".join(pick.choices("abcdefghij", k=5))
+    texts = []
+    for size in (12, 60, 400):
+        # Near copies with one to many edits, and texts of one form that share too little.
+        base = [word() for _ in range(size)]
+        for edits in (0, 1, 1, 2, 3, 5, 8, 13):
+            near = list(base)
+            for place in pick.sample(range(size), min(edits, size)):
+                near[place] = word()
+            texts.append(" ".join(near))
+        texts += [" ".join(base[: size * 7 // 10] + [word() for _ in range(size * 3 // 10)]) for _ in range(12)]
+    texts += [" ".join(word() for _ in range(50)) for _ in range(20)] + ["", None, " \n", "one two", "one two", "two one"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    numbers = brute.alike_groups(texts)
+    assert {(r.key, r.component) for r in simhash.alike_groups(table).collect()} == set(enumerate(numbers))
+    assert sorted(r.doc_id for r in simhash.one_of_each(table).collect()) == sorted(set(numbers))
+
+
+def test_unlike_texts_of_one_band_leave_it_one_by_one(spark, monkeypatch):
+    # One band for all texts: each round names one text of it, and groups still come out whole.
+    monkeypatch.setattr(simhash, "band_hashes", lambda hashes, factors: [7])
+    texts = [f"{a} {b} c d e f g h" for a in "pqr" for b in "xyz"] + ["k l m n o p q r s t u v w x y z", "k l m n o p q r s t u v w x y z a"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.key, r.component) for r in simhash.alike_groups(table).collect()} == set(enumerate(brute.alike_groups(texts)))
+
+
 # ---- 6 mixing
 
 

@@ -161,11 +161,13 @@ def test_pipeline(spark, sf_dir, documents):
     verdicts = brute.quality([(r["text"], r["lang"]) for r in tables[0]])
     key = lambda r: r["doc_id"]
     assert sorted(tables[1], key=key) == sorted((r for r, v in zip(tables[0], verdicts) if v[2]), key=key)
-    # Near duplicates: the smallest id of each group, as it was.
+    # Near duplicates: the smallest id of each group, as it was. Bands may miss a few groups, and join none.
     best = {}
-    for r, number in zip(tables[1], brute.groups([brute.fingerprint(r["text"]) for r in tables[1]])):
+    for r, number in zip(tables[1], brute.alike_groups([r["text"] for r in tables[1]])):
         best[number] = min(best.get(number, r), r, key=key)
-    assert sorted(tables[2], key=key) == sorted(best.values(), key=key)
+    stay, wanted = ({key(r): r for r in rows} for rows in (tables[2], best.values()))
+    assert all(stay.get(k) == r for k, r in wanted.items())
+    assert len(stay) - len(wanted) <= 0.02 * (len(tables[1]) - len(wanted))
     # Personal data: nothing of the base kinds is left, and texts without any stay.
     masked = {r["doc_id"]: r["text"] for r in tables[3]}
     for r in tables[2]:
