@@ -12,7 +12,11 @@ ordinary prose of any of the languages shows.
 
 Counts for the references are combined in the task that reads the texts and summed by Spark.
 Every language has its reference. Those of the 64 with most words go to every task, which is a bound
-whatever the input; a text of another language meets its own as well, by a join on the label.
+whatever the input; a text of another language meets its own as well, by a join on the label. A text
+that all these would reject is then held against every other reference, 64 at a time, whatever its
+label, so a verdict does not depend on how many languages the table has. (Distances only fall as
+references are added, so a text that passes needs no more of them; its distances are to the nearest
+reference it was held against.)
 
 Defined results: NULL text has no words; a NULL or blank label, one without a letter and one that
 says the language is not known names none; in a table without references every text that passes
@@ -21,9 +25,11 @@ the base rules is kept.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.llm.text import WORD, free_names
-from tableloom.staging import stage
+from tableloom.staging import stage, stage_unless_empty
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 COMMON = 200  # words per reference
-LANGUAGES = 64  # references that every text is held against, besides its label's own
+LANGUAGES = 64  # references a task holds texts against at a time
 GUARD_CHARS, GUARD_WORDS = 400, 50
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.55
 # What a histogram of prose shows: shares of characters, and of words.
@@ -257,29 +263,18 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
         none = F.lit(None).cast(rare.schema["own"].dataType)
         given = docs.where(~apart).select(*columns, none.alias("own")).unionByName(rare.drop("lang"))
     others_given = others is not None
+    carried = narrow.columns if others_given else names
     matrix = _class_matrix()
-    classes = [k[0] for k in known if k[0] is not None]
-    words_of = [k[1:3] for k in known if k[2] is not None]
+    near = _Nearest(known)
 
     def judge(text: str, find, own: tuple = (None, None, None)) -> tuple:
         words = find(text)
         n_words = len(words)
         repeats = repeated_words(words)
         histogram = class_counts(text, matrix)
-        near = classes if own[0] is None else [*classes, own[0]]
-        by_class = float(jensen_shannon(histogram, np.array(near)).min()) if near else 0.0
-        counts = Counter(words)
-        distances = []
-        for places, reference in words_of if own[2] is None else [*words_of, own[1:3]]:
-            mine = np.zeros(len(reference))
-            for word in places.keys() & counts.keys():
-                mine[places[word]] = counts[word]
-            mine[-1] = n_words - mine.sum()
-            distances.append(float(jensen_shannon(mine, reference)))
-        by_word = min(distances, default=0.0)
+        by_class, by_word = near.distances(histogram, words, own)
+        by_class, by_word = (d if d < math.inf else 0.0 for d in (by_class, by_word))
         failed = n_words < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * n_words
-        n_chars = int(histogram.sum())
-        odd = (n_chars >= GUARD_CHARS and by_class > CHAR_LIMIT) or (n_words >= GUARD_WORDS and by_word > WORD_LIMIT)
         return (
             n_words,
             sum(map(len, words)),
@@ -289,7 +284,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
             by_class,
             by_word,
             failed,
-            not failed and not odd,
+            not failed and not _odd(int(histogram.sum()), by_class, n_words, by_word),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +309,73 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
                 rows = [judge(t, find) for t in texts]
             found = zip(*rows) if rows else [()] * len(_FEATURES)
             new = [pa.array(c, _KINDS[kind]) for c, kind in zip(found, _FEATURES.values())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *_FEATURES])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in carried], *new], [*carried, *_FEATURES])
+
+    def schema(columns: list[str]) -> T.StructType:
+        return T.StructType(
+            [T.StructField(n, narrow.schema[n].dataType) for n in columns] + [T.StructField(n, _TYPES[kind]) for n, kind in _FEATURES.items()]
+        )
+
+    free = free_names(docs.select(*[f"`{c}`" for c in rest]), *_FEATURES)
+    if others is None:
+        return given.mapInArrow(run, schema(carried)).toDF(*rest, *free)
+    judged = stage(given.mapInArrow(run, schema(carried)), "judged")
+    doubt = ~F.col("base_failed") & ~F.col("kept")
+    doubtful = stage_unless_empty(judged.where(doubt), "doubtful")
+    parts = [judged.where(~doubt)]
+    if doubtful is not None:
+        more = (_reference(row) for row in others.toLocalIterator())
+        while block := list(islice(more, LANGUAGES)):
+            doubtful = stage(doubtful.mapInArrow(_second_look(block, body, matrix), schema(carried)), "doubtful")
+        parts.append(doubtful)
+    whole = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return whole.select(*names, *_FEATURES).toDF(*rest, *free)
+
+
+def _odd(n_chars: int, by_class: float, n_words: int, by_word: float) -> bool:
+    return (n_chars >= GUARD_CHARS and by_class > CHAR_LIMIT) or (n_words >= GUARD_WORDS and by_word > WORD_LIMIT)
+
+
+class _Nearest:
+    """Up to ``LANGUAGES`` references, and a text's least distances from them."""
+
+    def __init__(self, references: list[tuple]):
+        self.classes = [r[0] for r in references if r[0] is not None]
+        self.words = [r[1:3] for r in references if r[2] is not None]
 
-    fields = [T.StructField(n, narrow.schema[n].dataType) for n in names]
-    schema = T.StructType(fields + [T.StructField(n, _TYPES[kind]) for n, kind in _FEATURES.items()])
-    return given.mapInArrow(run, schema).toDF(*rest, *free_names(docs.select(*[f"`{c}`" for c in rest]), *_FEATURES))
+    def distances(self, histogram: np.ndarray, words: list[str], own: tuple = (None, None, None)) -> tuple[float, float]:
+        near = self.classes if own[0] is None else [*self.classes, own[0]]
+        by_class = float(jensen_shannon(histogram, np.array(near)).min()) if near else math.inf
+        counts = Counter(words)
+        by_word = math.inf
+        for places, reference in self.words if own[2] is None else [*self.words, own[1:3]]:
+            mine = np.zeros(len(reference))
+            for word in places.keys() & counts.keys():
+                mine[places[word]] = counts[word]
+            mine[-1] = len(words) - mine.sum()
+            by_word = min(by_word, float(jensen_shannon(mine, reference)))
+        return by_class, by_word
+
+
+def _second_look(references: list[tuple], body: str, matrix: np.ndarray) -> Callable:
+    """Distances and verdicts once these references are known too."""
+    near = _Nearest(references)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(WORD).findall
+        for batch in batches:
+            by_class, by_word, kept = [], [], []
+            for text, c, w in zip(*[batch.column(n) for n in (body, "char_distance", "word_distance")]):
+                text = text.as_py() or ""
+                words, histogram = find(text), class_counts(text, matrix)
+                nearest = [min(a, b.as_py()) for a, b in zip(near.distances(histogram, words), (c, w))]
+                by_class.append(nearest[0])
+                by_word.append(nearest[1])
+                kept.append(not _odd(int(histogram.sum()), nearest[0], len(words), nearest[1]))
+            new = {"char_distance": pa.array(by_class, pa.float64()), "word_distance": pa.array(by_word, pa.float64()), "kept": pa.array(kept)}
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return run
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

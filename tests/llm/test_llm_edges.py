@@ -253,8 +253,14 @@ def test_every_language_has_a_reference(spark):
     latin = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "aeiou") * 8, f"l{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(70)]
     pick = random.Random(5)
     greek = [(100 + i, " ".join(chr(0x3B1 + pick.randrange(9)) * 7 for _ in range(120)), "el") for i in range(2)]
-    table = spark.createDataFrame(latin + greek, "doc_id long, text string, lang string").repartition(3)
-    judged = quality.quality(table).where("lang = 'el'").collect()
+    # A label that names no language is no drawback, however many languages come before the text's own.
+    stray = [(200, greek[0][1], None), (201, greek[1][1], "und"), (202, "#$ %& <> |* " * 60, None)]
+    table = spark.createDataFrame(latin + greek + stray, "doc_id long, text string, lang string").repartition(3)
+    judged = quality.quality(table)
+    few = quality.quality(table.where("doc_id < 20 OR doc_id >= 100"))
+    for found in (judged, few):
+        assert sorted((r.doc_id, r.kept) for r in found.where("doc_id >= 200").collect()) == [(200, True), (201, True), (202, False)]
+    judged = judged.where("lang = 'el'").collect()
     assert [(r.char_distance < 0.1, r.word_distance < 0.5, r.base_failed, r.kept) for r in judged] == [(True, True, False, True)] * 2
     assert quality.kept_documents(table).where("lang = 'el'").count() == 2
     assert rows(quality.quality(table, carry=["doc_id"]).select("doc_id")) == rows(table.select("doc_id"))
