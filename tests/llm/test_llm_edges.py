@@ -322,7 +322,8 @@ def test_groups_of_any_table(spark, docs, empty, clashing):
     assert Counter((r.key, r.fingerprint % (1 << 64), r.component) for r in found) == Counter(
         (r[0], p, least[n]) for r, p, n in zip(ROWS, prints, numbers)
     )
-    assert simhash.near_groups(empty).count() == 0
+    assert simhash.near_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_each(docs).count() == len(set(numbers)) == simhash.one_of_each(clashing).count()
 
 
 def test_alike_groups_of_any_table(spark, docs, empty, clashing):
@@ -330,8 +331,8 @@ def test_alike_groups_of_any_table(spark, docs, empty, clashing):
     least = {n: min((r[0] for r, m in zip(ROWS, numbers) if m == n and r[0] is not None), default=None) for n in numbers}
     found = Counter((r.key, r.component) for r in simhash.alike_groups(docs).collect())
     assert found == Counter((r[0], least[n]) for r, n in zip(ROWS, numbers))
-    assert simhash.alike_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
-    assert simhash.one_of_each(docs).count() == len(set(numbers)) == simhash.one_of_each(clashing).count()
+    assert simhash.alike_groups(empty).count() == 0 and simhash.one_of_each(empty, groups_of=simhash.alike_groups).count() == 0
+    assert simhash.one_of_each(docs, groups_of=simhash.alike_groups).count() == len(set(numbers)) == simhash.one_of_each(clashing, groups_of=simhash.alike_groups).count()
 
 
 def test_alike_groups_around_the_limit(spark):
@@ -351,7 +352,7 @@ def test_alike_groups_around_the_limit(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     numbers = brute.alike_groups(texts)
     assert {(r.key, r.component) for r in simhash.alike_groups(table).collect()} == set(enumerate(numbers))
-    assert sorted(r.doc_id for r in simhash.one_of_each(table).collect()) == sorted(set(numbers))
+    assert sorted(r.doc_id for r in simhash.one_of_each(table, groups_of=simhash.alike_groups).collect()) == sorted(set(numbers))
 
 
 def test_unlike_texts_of_one_band_leave_it_one_by_one(spark, monkeypatch):
