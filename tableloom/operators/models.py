@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -123,10 +125,14 @@ def attributes(model: LogisticRegressionModel) -> dict[str, Any]:
 
 
 def linear_score(coefficients: Mapping[str, float], intercept: float) -> dict[str, Column]:
-    """Columns of a two-class model with known coefficients."""
+    """Columns of a two-class model with known coefficients.
+
+    Coefficients count as they are written: 0.15, not 0.15000000000000002, is 3 times 0.05, so rows on
+    the border between the classes do not tip over by the product's error.
+    """
     decision = F.lit(float(intercept))
     for column, factor in coefficients.items():
-        decision = decision + F.lit(float(factor)) * F.col(column)
+        decision = decision + _product(float(factor), F.col(column))
     probability = 1.0 / (1.0 + F.exp(-decision))
     return {
         "decision": decision,
@@ -136,6 +142,20 @@ def linear_score(coefficients: Mapping[str, float], intercept: float) -> dict[st
     }
 
 
+def _product(factor: float, column: Column) -> Column:
+    """``factor * column`` as a double; with a whole-number column it is rounded once, from the exact product."""
+    product = F.lit(factor) * column
+    if not math.isfinite(factor):
+        return product
+    written = Decimal(repr(factor))
+    _, digits, exponent = written.as_tuple()
+    # Up to 17 digits, as 20 more of a bigint still fit a decimal of 38.
+    if exponent > 0 or max(len(digits), -exponent) > 17:
+        return product
+    whole = F.typeof(column).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(whole, (F.lit(written) * column.cast("long")).cast("double")).otherwise(product)
+
+
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(label, prediction, n) for the pairs that occur."""
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(

@@ -193,3 +193,19 @@ def test_a_saved_model_is_fitted_on(spark):
     again = new_path(spark, "model")
     training.save(model, again)
     assert training.score(training.load(again), new).count() == 302 and fit.converged
+
+
+def test_scores_on_the_border(spark):
+    border = [(750.0, 24), (875.0, 23), (1375.0, 19), (1625.0, 17), (2000.0, 14), (2250.0, 12)]  # -1.5 + 0.0004 a + 0.05 n = 0
+    near = [(a + step, n) for a, n in border for step in (-0.01, 0.01)]
+    df = spark.createDataFrame([*border, *near, (None, 3), (3.0, None)], "a double, n int")
+    scores = models.linear_score({"a": 0.0004, "n": 0.05}, -1.5)
+    found = {(r.a, r.n): (r.d, r.p) for r in df.select("a", "n", scores["decision"].alias("d"), scores["prediction"].alias("p")).collect()}
+    assert [found[b] for b in border] == [(0.0, 0)] * len(border)
+    assert [found[b][1] for b in near] == [0, 1] * len(border)
+    assert found[None, 3] == found[3.0, None] == (None, None)
+    # Long coefficients, odd types and the widest numbers go as they did, or exactly.
+    wide = spark.createDataFrame([(2**63 - 1, 0.25, "2")], "n long, x float, s string")
+    for factor in (1e-30, 1.2345678901234567e-5, 0.5, 1e16, 1e22, -3.0, float("inf")):
+        for column, value in (("n", 2.0**63), ("x", 0.25), ("s", 2.0)):
+            assert wide.select(models.linear_score({column: factor}, 0.0)["decision"]).first()[0] == pytest.approx(factor * value, rel=1e-15)
