@@ -18,6 +18,9 @@ from tableloom.staging import new_path, path_exists, stage
 # Folders inside the table's own: the hot keys and their rows. Spark passes over names that begin
 # with an underscore when it reads the table, and they go when the table's folder goes.
 HOT, ASIDE = "/_hot_keys", "/_hot_rows"
+# One task sorts a bucket in memory, and nothing merges or splits it afterwards.
+BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 100_000  # Spark's own limit
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,17 @@ class BucketedTable:
         return self.table if self.aside is None else self.table.unionAll(self.aside)
 
 
+def buckets_for(tables: Sequence[DataFrame], least: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """A number of buckets for tables that will be joined: ``least``, doubled while the largest one needs more.
+
+    Tables with equal numbers meet bucket by bucket, so all of them take the same.
+    """
+    rows, buckets = max(df.count() for df in tables), least
+    while rows > buckets * bucket_rows and 2 * buckets <= MOST_BUCKETS:
+        buckets *= 2
+    return buckets
+
+
 def write_bucketed(
     df: DataFrame,
     table: str,

@@ -154,6 +154,22 @@ def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_grow_with_the_rows(spark):
+    wide, narrow = spark.range(1000).toDF("k"), spark.range(900).toDF("j")
+    assert bucketed.buckets_for([wide, narrow], 8) == 8
+    buckets = bucketed.buckets_for([narrow, wide], 8, bucket_rows=20)
+    assert buckets == 64
+    a, b = bucketed.write_bucketed(wide, "many_k", ["k"], buckets), bucketed.write_bucketed(narrow, "many_j", ["j"], buckets)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = bucketed.bucketed_join(a, b)
+        assert "Exchange" not in plan(both)
+        tasks = both.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.sum("count")).first()
+        assert tasks[0] < 60 and tasks[1] == 900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("hot_left,hot_right", [(5, 1000), (1000, 5), (5, 5), (1, 1)])
 def test_bucketed_join_with_hot_keys(sides, hot_left, hot_right):
     left, right, l, r = sides

@@ -420,8 +420,9 @@ def join_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     mark = uuid.uuid4().hex
     names = [f"bucketed_{side}_{mark}" for side in ("lines", "orders")]
-    left = bucketed.write_bucketed(lines, names[0], ["l_orderkey"], 8)
-    right = bucketed.write_bucketed(orders, names[1], ["o_orderkey"], 8)
+    buckets = bucketed.buckets_for([lines, orders], 8)
+    left = bucketed.write_bucketed(lines, names[0], ["l_orderkey"], buckets)
+    right = bucketed.write_bucketed(orders, names[1], ["o_orderkey"], buckets)
     both = bucketed.bucketed_join(left, right)
     # The plan knows the files by now, and they go with the work folder.
     for name in names:
