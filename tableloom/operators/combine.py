@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tableloom.staging import stage
 # So many items are bits of a signed 64-bit number; it decides on the route only.
 MASK_ITEMS = 62
 BUCKETS = 1 << 20
+# Rows, or pairs, for one task; it decides on the number of tasks and the route only.
+TASK_ROWS = 1 << 19
 
 
 def _values(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -70,38 +74,63 @@ def item_combinations(
 
 def _grown(df: DataFrame, group: str, item: str, size: int, known: DataFrame | None, least: int) -> DataFrame:
     # A structure is a key even where the group is NULL.
-    baskets = df.select(F.struct(group).alias("g"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
+    rows = df.select(F.struct(group).alias("g"), F.col(item).alias("i")).where("i IS NOT NULL")
+    tasks = _tasks(rows.count())
+    # Rows come together before they are told apart: few are equal, so a task of the input would hold nearly all it reads.
+    baskets = rows.repartition(tasks, "g", "i").distinct()
     if known is not None:
         baskets = baskets.join(known.select(F.col("item").alias("i")), "i", "left_semi")
     baskets = stage(baskets, "baskets")
+    counts = baskets.repartition(tasks, "i").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    items = counts.agg(F.count(F.lit(1)).alias("all"), F.min("n").alias("rarest"), F.max("n").alias("most")).first()
+    # What no more groups hold than a task takes can be dealt by key; more is left to adaptive execution.
+    common = (items["most"] or 0) > TASK_ROWS
 
-    def frequent(combos: DataFrame) -> DataFrame:
-        return combos.groupBy("items").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+    def frequent(combos: DataFrame, keys: list[str], total: float, length: int) -> DataFrame:
+        if not common and 4 * math.comb(items["all"], length) > total:
+            combos = combos.select(*keys).repartition(_tasks(total), *keys)
+        return combos.groupBy(*keys).agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
 
     if size == 1:
-        return frequent(baskets.select("g", F.array("i").alias("items")))
+        return frequent(baskets.select("g", F.array("i").alias("items")), ["items"], baskets.count(), 1)
     singles = baskets
-    if least > 1:
-        counts = baskets.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        singles = baskets.join(counts, "i", "left_semi")
-    pairs = _pairs(singles, least)
+    if (items["rarest"] or least) < least:
+        singles = stage(_meet(baskets, counts.where(F.col("n") >= least), "i", "left_semi", tasks, common), "singles")
+    n = F.col("n").cast("double")
+    sizes = singles.repartition(tasks, "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    held = sizes.agg(F.sum(n * (n - 1) / 2).alias("pairs"), F.max(n * (n - 1) / 2).alias("most")).first()
+    total, large = held["pairs"] or 0.0, (held["most"] or 0.0) > TASK_ROWS
+    pairs = _pairs(singles, least, total, large)
     if size == 2:
-        counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
-        return counts.select(F.array("a", "b").alias("items"), "support")
-    combos = pairs.select("g", F.array("a", "b").alias("items"))
+        return frequent(pairs, ["a", "b"], total, 2).select(F.array("a", "b").alias("items"), "support")
+    combos = stage(pairs.select("g", F.array("a", "b").alias("items")), "combinations")
     for length in range(3, size + 1):
-        combos = stage(combos, "combinations")
-        counted = stage(frequent(combos), "support")
-        # Rising order spells each combination once; a group's rows meet on its key, and
-        # adaptive execution splits a hot one.
-        held = combos.join(counted, "items", "left_semi")
-        grown = held.join(singles, "g").where(F.col("i") > F.element_at("items", -1))
+        total = combos.count()
+        tasks = _tasks(total)
+        counted = stage(frequent(combos, ["items"], total, length - 1), "support")
+        # Rising order spells each combination once; a group's rows meet on its key.
+        held = _meet(combos, counted, "items", "left_semi", tasks, common)
+        grown = _meet(held, singles, "g", "inner", tasks, large).where(F.col("i") > F.element_at("items", -1))
         grown = grown.select("g", F.concat("items", F.array("i")).alias("items"))
-        combos = _all_parts(grown, counted, length) if least > 1 else grown
-    return frequent(combos)
+        combos = stage(_all_parts(grown, counted, length, tasks, common) if least > 1 else grown, "combinations")
+    return frequent(combos, ["items"], combos.count(), size)
+
 
+def _tasks(rows: float) -> int:
+    return max(1, math.ceil(rows / TASK_ROWS))
 
-def _pairs(singles: DataFrame, least: int) -> DataFrame:
+
+def _meet(left: DataFrame, right: DataFrame, key: str, how: str, tasks: int, crowded: bool) -> DataFrame:
+    """A join of as many tasks as the rows need, which adaptive execution does not merge by their compressed size.
+
+    Where one key is ``crowded`` the join is Spark's own, as that can split a key.
+    """
+    if crowded:
+        return left.join(right, key, how)
+    return left.repartition(tasks, key).join(right.repartition(tasks, key), key, how)
+
+
+def _pairs(singles: DataFrame, least: int, total: float, large: bool) -> DataFrame:
     """(g, a, b): pairs of items, without those that a table of hashed counts rules out.
 
     Pairs are counted into ``BUCKETS`` buckets, so a task sends on no more than that however many
@@ -111,26 +140,20 @@ def _pairs(singles: DataFrame, least: int) -> DataFrame:
     bucket fills; the number of pairs follows from the sizes of the groups.
     """
     left, right = singles.select("g", F.col("i").alias("a")), singles.select("g", F.col("i").alias("b"))
-    pairs = left.join(right, "g").where("a < b")
-    if least > 1 and 4 < _pair_count(singles) / BUCKETS < 4 * least:
+    pairs = _meet(left, right, "g", "inner", _tasks(total), large).where("a < b")
+    if least > 1 and 4 < total / BUCKETS < 4 * least:
         pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)).cast("int"))
         full = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         pairs = pairs.join(F.broadcast(full.select("bucket")), "bucket", "left_semi")
     return pairs.select("g", "a", "b")
 
 
-def _pair_count(singles: DataFrame) -> float:
-    n = F.col("n").cast("double")
-    sizes = singles.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
-
-
-def _all_parts(grown: DataFrame, counted: DataFrame, length: int) -> DataFrame:
+def _all_parts(grown: DataFrame, counted: DataFrame, length: int, tasks: int, common: bool) -> DataFrame:
     """Those of ``grown`` all of whose parts of one item less are in ``counted``; the part without the last one is."""
     parts = counted.select(F.col("items").alias("part"))
     for left_out in range(length - 1):
         rest = F.concat(F.slice("items", 1, left_out), F.slice("items", left_out + 2, length))
-        grown = grown.withColumn("part", rest).join(parts, "part", "left_semi").drop("part")
+        grown = _meet(grown.withColumn("part", rest), parts, "part", "left_semi", tasks, common).drop("part")
     return grown
 
 

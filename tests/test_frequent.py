@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tableloom.operators import combine, heavy
 
@@ -56,3 +57,26 @@ def test_grown_combinations(spark, monkeypatch, size, least, buckets):
     found = {tuple(r["items"]): r["support"] for r in combine.item_combinations(df, "g", "i", size, None, least, mask_items=2).collect()}
     wanted = Counter(c for items in baskets.values() for c in itertools.combinations(sorted(items), size))
     assert found == {c: n for c, n in wanted.items() if n >= least}
+
+
+@pytest.mark.parametrize("task_rows", [3, 12, 40])
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_combinations_in_bounded_tasks(spark, monkeypatch, size, task_rows):
+    """The same from few rows a task, with groups and items of more rows than that, and with none."""
+    monkeypatch.setattr(combine, "TASK_ROWS", task_rows)
+    rng = random.Random(size)
+    baskets = {g: set(rng.sample(range(60), rng.choice([2, 3, 9]))) | ({99} if g % 2 else set()) for g in range(30)}
+    rows = [(g or None, i) for g, items in baskets.items() for i in items] * 2
+    df = spark.createDataFrame(rows, "g long, i long")
+    result = combine.item_combinations(df, "g", "i", size, min_support=2, mask_items=2)
+    wanted = Counter(c for items in baskets.values() for c in itertools.combinations(sorted(items), size))
+    assert {tuple(r["items"]): r["support"] for r in result.collect()} == {c: n for c, n in wanted.items() if n >= 2}
+
+
+def test_tasks_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(combine, "TASK_ROWS", 100)
+    # A hundred groups of ten items: 4500 pairs, of which every one is held twice.
+    df = spark.range(1000).select((F.col("id") / 10).cast("long").alias("g"), (F.col("id") % 500).alias("i"))
+    found = combine.item_combinations(df, "g", "i", 2, min_support=2)
+    per_task = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert per_task[1] == 2250 and per_task[0] < 150
