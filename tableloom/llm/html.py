@@ -2,13 +2,14 @@
 
 A page is cut into blocks, its runs of text between block-level tags. Markup settles most of them:
 what stands in a menu, footer, form, advert and the like (by element, role or class) is out, what
-stands in the page's article is in. Blocks of pages without an article are open. For these, the token
-streams of a host's pages are concatenated, and a suffix array over them finds the runs of
-``LEAST`` or more words, and whole blocks, that another page of the host has too: boilerplate. It is
-removed and the unique runs stay.
+stands in the page's article is in. Blocks of pages without an article are open. The token streams of
+all pages of a host are concatenated, those of articles and those of open blocks apart, and a suffix
+array over them finds the runs of ``LEAST`` or more words, and whole blocks, that another page of the
+host has too. Of open blocks these are boilerplate: they are removed and the unique runs stay.
 
 Repetition alone can't judge the inside of an article: sites carry copies of articles, and quoted
-passages and licence lines are article text, while a menu or advert may differ on every page.
+passages and licence lines are article text, while a menu or advert may differ on every page. So what
+the array finds there is checked against the markup, which puts it back, and is reported as a count.
 
 Hosts of any size: the pages of a host are dealt into parts of bounded size, each with a
 suffix array of its own, sorted by prefix doubling to ``LEAST`` words (what lies deeper cannot change
@@ -32,11 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.llm.text import text_of
-from tableloom.staging import stage_unless_empty
 
 LEAST = 16  # words of a repeated run; a power of two
 PART_WORDS = 1_000_000
@@ -264,8 +264,8 @@ class Streams:
         """The keys of all groups of equal prefixes and short blocks, for the other parts of the host."""
         return np.unique(np.concatenate([self.head_keys, self.short_keys])).view(np.int64)
 
-    def unique_runs(self, elsewhere: np.ndarray) -> list[list[str]]:
-        """Each page's blocks without the runs that another page has, in this part or by the keys ``elsewhere``."""
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        """For each place of the stream, whether it is in a run that another page has, in this part or by the keys ``elsewhere``."""
         known = np.sort(elsewhere.view(np.uint64))
 
         def outside(keys: np.ndarray) -> np.ndarray:
@@ -282,69 +282,108 @@ class Streams:
         blocks = _several(self.owner[starts], self.short_keys.view(np.int64)) | outside(self.short_keys)
         np.add.at(repeated, starts[blocks], 1)
         np.add.at(repeated, self.ends[self.short][blocks], -1)
-        covered = np.cumsum(repeated) > 0
+        return np.cumsum(repeated)[:-1] > 0
+
+    def unique_runs(self, elsewhere: np.ndarray) -> list[list[str]]:
+        """Each page's blocks without its repeated runs."""
+        covered = self.repeated(elsewhere)
         out = []
         for words, bounds in zip(self.words, self.bounds):
             kept = (" ".join(w for w, c in zip(b, covered[s:e].tolist()) if not c) for b, (s, e) in zip(words, bounds))
             out.append([text for text in kept if text])
         return out
 
+    def repeated_words(self, elsewhere: np.ndarray) -> list[int]:
+        """How many words of each page are in repeated runs."""
+        before = np.concatenate([[0], np.cumsum(self.repeated(elsewhere))]).tolist()
+        return [sum(before[e] - before[s] for s, e in bounds) for bounds in self.bounds]
+
 
 # ---- Spark
 
 
-def _parsed(pages: DataFrame, key: str, url: str, html: str, kind: str) -> DataFrame:
-    """(key, url, host, text, open): the article, or else the blocks that are open."""
-    narrow = pages.select(
-        F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), text_of(F.col(f"`{html}`")).alias("html")
-    )
+# What stands together in suffix arrays: articles and open blocks of a host apart.
+SITE = ["host", "article"]
+HTML_WORD = 6  # bytes of markup and text to a word, for the number of parts
+
+
+def _parsed(pages: DataFrame, kind: str) -> DataFrame:
+    """``pages`` with (article, blocks) for html: the blocks of the article or else those that are open, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            hosts, texts, opened = [], [], []
-            for address, page in zip(batch.column("url").to_pylist(), batch.column("html")):
+            articles, texts = [], []
+            for page in batch.column("html"):
                 blocks = page_blocks(page.as_py())
                 inside = [text for k, text in blocks if k == IN]
-                hosts.append(host_of(address))
-                texts.append(" ".join(inside) if inside or not blocks else None)
-                opened.append(None if inside or not blocks else [text for _, text in blocks])
-            arrays = [batch.column("key"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.string())]
-            arrays.append(pa.array(opened, pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "url", "host", "text", "open"])
-
-    return narrow.mapInArrow(run, f"key {kind}, url string, host string, text string, open array<string>")
-
-
-def _parts(opened: DataFrame, part_words: int) -> DataFrame:
-    """``opened`` with its host's number of parts and its own; the pages of one id stay together."""
-    words = F.aggregate("open", F.lit(0).cast("long"), lambda n, b: n + F.size(F.split(b, " ")))
-    sized = opened.withColumn("words", words)
-    hosts = sized.where("host <> ''").groupBy("host").agg(F.ceil(F.sum("words") / part_words).alias("parts"))
-    dealt = sized.join(hosts.where("parts > 1"), "host", "left").fillna(1, "parts")
+                articles.append(bool(inside) or not blocks)
+                # No block has a line break.
+                texts.append(squeeze("\n".join(inside or [text for _, text in blocks]).encode("utf-8", "surrogatepass")))
+            arrays = [*[batch.column(n) for n in _KEPT], pa.array(articles, pa.bool_()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*_KEPT, "article", "blocks"])
+
+    narrow = pages.select(*_KEPT, "html")
+    return narrow.mapInArrow(run, f"key {kind}, url string, host string, part long, parts long, page long, article boolean, blocks binary")
+
+
+_KEPT = ["key", "url", "host", "part", "parts", "page"]
+
+
+def _blocks(table: pa.Table) -> list[list[str]]:
+    import zstandard
+
+    spread = zstandard.ZstdDecompressor().decompress
+    texts = (spread(b.as_py()).decode("utf-8", "surrogatepass") for b in table.column("blocks"))
+    return [text.split("\n") if text else [] for text in texts]
+
+
+def _dealt(pages: DataFrame, key: str, url: str, html: str, part_words: int) -> DataFrame:
+    """(key, url, html, host, part, parts, page): every page's part of its host; the pages of one id stay together."""
+    address = F.col(f"`{url}`").cast("string")
+    narrow = pages.select(
+        F.col(f"`{key}`").alias("key"),
+        address.alias("url"),
+        F.coalesce(F.lower(F.regexp_extract(address, _HOST.pattern, 1)), F.lit("")).alias("host"),
+        text_of(F.col(f"`{html}`")).alias("html"),
+    ).withColumn("row", F.monotonically_increasing_id())
+    hosts = narrow.where("host <> ''").groupBy("host")
+    hosts = hosts.agg(F.ceil(F.sum(F.octet_length("html")) / (HTML_WORD * part_words)).alias("parts"))
+    # Hosts of more than a part's size: one row for each such size of input at most.
+    dealt = narrow.join(F.broadcast(hosts.where("parts > 1")), "host", "left").fillna(1, "parts")
     # The empty host is no site: each of its pages stands alone.
     page = F.when(F.col("key").isNull(), F.concat(F.lit("?"), F.col("row").cast("string"))).otherwise(F.col("key").cast("string"))
     alone = F.when(F.col("host") == "", F.xxhash64(page)).otherwise(F.pmod(F.xxhash64(page), F.col("parts")))
-    return dealt.withColumns({"part": alone, "page": F.xxhash64(page)}).drop("words")
+    return dealt.withColumns({"part": alone, "page": F.xxhash64(page)})
 
 
 def _repeats(parts: DataFrame, least: int) -> DataFrame:
-    """(host, part, keys): what split hosts' other parts have in common with each part."""
+    """(host, article, part, run): the keys that split sites' other parts have in common with each part.
+
+    All pages go in, as the parts are then shuffled once for this and for their own arrays.
+    """
 
     def keys(table: pa.Table) -> pa.Table:
-        found = Streams(table.column("page").to_pylist(), table.column("open").to_pylist(), least).keys()
-        host, part = table.column("host")[0], table.column("part")[0]
+        host, article, part = (table.column(n)[0].as_py() for n in (*SITE, "part"))
+        found = np.zeros(0, np.int64)
+        if table.column("parts")[0].as_py() > 1:
+            found = Streams(table.column("page").to_pylist(), _blocks(table), least).keys()
         return pa.table(
             {
-                "host": pa.array([host.as_py()] * len(found), pa.string()),
-                "part": pa.array(np.full(len(found), part.as_py()), pa.int64()),
+                "host": pa.array([host] * len(found), pa.string()),
+                "article": pa.array(np.full(len(found), article)),
+                "part": pa.array(np.full(len(found), part), pa.int64()),
                 "run": pa.array(found),
             }
         )
 
-    split = parts.where("parts > 1").select("host", "part", "page", "open")
-    known = split.groupBy("host", "part").applyInArrow(keys, "host string, part long, run long")
-    shared = known.groupBy("host", "run").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    return known.join(shared.select("host", "run"), ["host", "run"]).select("host", "part", "run")
+    known = parts.groupBy(*SITE, "part").applyInArrow(keys, "host string, article boolean, part long, run long")
+    # Dealt once, for the counts and for the join.
+    known = known.repartition(*SITE, "run")
+    shared = known.groupBy(*SITE, "run").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return known.join(shared.select(*SITE, "run"), [*SITE, "run"]).select(*SITE, "part", "run")
 
 
 def main_text(
@@ -355,31 +394,32 @@ def main_text(
     least: int = LEAST,
     part_words: int = PART_WORDS,
 ) -> DataFrame:
-    """(key, url, text, by_markup) of every page, the key in its own type.
+    """(key, url, text, by_markup, n_repeated) of every page, the key in its own type.
 
-    ``by_markup`` is false where the host's suffix array decided.
+    ``by_markup`` is false where the page has no article, so that its repeated runs are gone;
+    ``n_repeated`` is how many words of the page's blocks the site's array found on another of its pages.
     """
     if least & (least - 1) or least < 2:
         raise ValueError("least must be a power of two")
     kind = pages.schema[key].dataType.simpleString()
-    parsed = _parsed(pages, key, url, html, kind)
-    named: list[Column] = [F.col("key").alias(key), F.col("url").alias(url)]
-    settled = parsed.where("open IS NULL").select(*named, "text", F.lit(True).alias("by_markup"))
-    opened = parsed.where("open IS NOT NULL").drop("text").withColumn("row", F.monotonically_increasing_id())
-    opened = stage_unless_empty(opened, "open-pages")
-    if opened is None:
-        return settled
-    parts = _parts(opened, part_words)
+    parts = _parsed(_dealt(pages, key, url, html, part_words), kind)
+    out = f"key {kind}, url string, text string, by_markup boolean, n_repeated long"
 
     def judge(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return table.select([]).append_column("row", pa.array([], pa.int64())).append_column("text", pa.array([], pa.string()))
-        streams = Streams(table.column("page").to_pylist(), table.column("open").to_pylist(), least)
-        kept = streams.unique_runs(shared.column("run").to_numpy())
-        return pa.table({"row": table.column("row"), "text": pa.array([" ".join(b) for b in kept], pa.string())})
-
-    left = parts.select("host", "part", "row", "page", "open").groupBy("host", "part")
-    right = _repeats(parts, least).groupBy("host", "part")
-    judged = left.cogroup(right).applyInArrow(judge, "row long, text string")
-    decided = opened.drop("open").join(judged, "row").select(*named, "text", F.lit(False).alias("by_markup"))
-    return settled.unionAll(decided)
+        names = ["key", "url", "text", "by_markup", "n_repeated"]
+        blocks = _blocks(table)
+        if not blocks:
+            empty = [table.column("key"), table.column("url"), pa.array([], pa.string()), pa.array([], pa.bool_()), pa.array([], pa.int64())]
+            return pa.table(empty, names=names)
+        streams = Streams(table.column("page").to_pylist(), blocks, least)
+        elsewhere = shared.column("run").to_numpy()
+        article = table.column("article")[0].as_py()
+        texts = blocks if article else streams.unique_runs(elsewhere)
+        columns = [pa.array([" ".join(b) for b in texts], pa.string()), table.column("article")]
+        columns.append(pa.array(streams.repeated_words(elsewhere), pa.int64()))
+        return pa.table([table.column("key"), table.column("url"), *columns], names=names)
+
+    left = parts.groupBy(*SITE, "part")
+    right = _repeats(parts, least).groupBy(*SITE, "part")
+    judged = left.cogroup(right).applyInArrow(judge, out)
+    return judged.select(F.col("key").alias(key), F.col("url").alias(url), "text", "by_markup", "n_repeated")

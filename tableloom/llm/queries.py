@@ -192,9 +192,9 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page, and whether markup alone settled it."""
+    """The main text of every page, whether markup settled it, and the words that its site repeats."""
     return html.main_text(table(spark, sf_dir, "pages")).select(
-        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_markup"
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_markup", "n_repeated"
     )
 
 

@@ -116,6 +116,22 @@ def test_open_pages_lose_what_their_host_repeats(spark, part_words):
     assert len(found) == len(table)
 
 
+@pytest.mark.parametrize("part_words", [40, 10**6])
+def test_articles_pass_the_array_too(spark, part_words):
+    """Articles stay whole, and the words that other articles of the host hold are counted."""
+    pages = open_pages(3, 20)
+    table = [(p, f"http://h/{p}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") for p, blocks in pages]
+    table += [(50, "http://other/", table[0][2]), (51, "http://h/51", ""), (52, None, table[0][2]), (53, None, table[0][2])]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r for r in html.main_text(df, least=4, part_words=part_words).collect()}
+    assert len(found) == len(table) and all(r.by_markup for r in found.values())
+    for (page, blocks), kept in zip(pages, unique_runs(pages, 4)):
+        words = lambda texts: sum(len(t.split(" ")) for t in texts)
+        assert (found[page].text, found[page].n_repeated) == (" ".join(blocks), words(blocks) - words(kept))
+    assert sum(found[p].n_repeated for p, _ in pages) > 0
+    assert [found[p].n_repeated for p in (50, 51, 52, 53)] == [0, 0, 0, 0] and found[51].text == ""
+
+
 def test_pages_edges(spark):
     schema = "page_id string, url string, html string, host long, text long, open long, part long"
     table = [
