@@ -14,8 +14,9 @@ the array finds there is checked against the markup, which puts it back, and is
 Hosts of any size: the pages of a host are dealt into parts of bounded size, each with a
 suffix array of its own, sorted by prefix doubling to ``LEAST`` words (what lies deeper cannot change
 whether two suffixes share so many). Parts of a split host exchange the keys of their groups of
-equal prefixes; a key that two parts know is repeated too. Keys are counted by hash with partial
-sums, so a line on every page is one row a part.
+equal prefixes; a key that two parts know is repeated too. First go short keys, sorted and compressed
+by ranges; whole keys follow for those that two parts have, so that few rows go twice and all are
+compared whole. A line on every page is one key a part.
 
 Defined results: NULL html is an empty page; a NULL url or one without a host belongs to the empty
 host, whose pages are no site, so nothing counts as repeated there; rows of one page_id, and rows that
@@ -32,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableloom.llm.compact import squeeze_sorted, unsqueeze_sorted
 from tableloom.llm.text import text_of
 
 LEAST = 16  # words of a repeated run; a power of two
@@ -215,12 +218,21 @@ def _several(owner: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers words as they are asked for first."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Streams:
     """The concatenated token streams of some pages of one host."""
 
     def __init__(self, pages: list[int], blocks: list[list[str]], least: int = LEAST):
         self.least = least
-        numbers: dict[str, int] = {}
+        numbers = _Numbers()
+        self.blocks = blocks
         self.words = [[b.split(" ") for b in page] for page in blocks]
         flat: list[int] = []
         owner: list[int] = []
@@ -230,7 +242,7 @@ class Streams:
             bounds = []
             for block in page_words:
                 bounds.append((len(flat), len(flat) + len(block)))
-                flat += [numbers.setdefault(w, len(numbers)) for w in block]
+                flat += map(numbers.__getitem__, block)
                 flat.append(mark)  # a word of its own, so that no run passes the end of a block
                 owner += [page] * (len(block) + 1)
                 mark -= 1
@@ -245,8 +257,7 @@ class Streams:
             fits[start : max(start, end - least + 1)] = True
         self.heads = np.flatnonzero(fits)
         self.short = np.flatnonzero(self.ends - self.starts < least)
-        order, self.rank = suffix_groups(self.stream, least) if flat else (np.zeros(0, int), np.zeros(0, int))
-        self.array = order[fits[order]]
+        self.fits = fits
         named = np.zeros(len(flat), np.uint64)
         named[self.stream >= 0] = hashes[self.stream[self.stream >= 0]]
         self.head_keys = self._keys(named, self.heads, np.full(len(self.heads), least))
@@ -262,11 +273,11 @@ class Streams:
 
     def keys(self) -> np.ndarray:
         """The keys of all groups of equal prefixes and short blocks, for the other parts of the host."""
-        return np.unique(np.concatenate([self.head_keys, self.short_keys])).view(np.int64)
+        return np.unique(np.concatenate([self.head_keys, self.short_keys]))
 
     def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
         """For each place of the stream, whether it is in a run that another page has, in this part or by the keys ``elsewhere``."""
-        known = np.sort(elsewhere.view(np.uint64))
+        known = np.sort(elsewhere.astype(np.uint64, copy=False))
 
         def outside(keys: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
@@ -274,7 +285,9 @@ class Streams:
 
         repeated = np.zeros(len(self.stream) + 1, np.int64)
         here = np.zeros(len(self.stream), bool)
-        here[self.array] = _several(self.owner[self.array], self.rank[self.array])
+        order, rank = suffix_groups(self.stream, self.least) if len(self.stream) else (np.zeros(0, int), np.zeros(0, int))
+        array = order[self.fits[order]]
+        here[array] = _several(self.owner[array], rank[array])
         runs = self.heads[here[self.heads] | outside(self.head_keys)]
         np.add.at(repeated, runs, 1)
         np.add.at(repeated, runs + self.least, -1)
@@ -307,37 +320,67 @@ SITE = ["host", "article"]
 HTML_WORD = 6  # bytes of markup and text to a word, for the number of parts
 
 
+ROW_CHARS = 1 << 20  # text of a host's pages that is compressed as one
+SPARE_BITS = 8  # of a short key, beyond what tells the site's words apart
+
+
 def _parsed(pages: DataFrame, kind: str) -> DataFrame:
-    """``pages`` with (article, blocks) for html: the blocks of the article or else those that are open, compressed."""
+    """``pages`` parsed: (host, part, parts, article, keys, urls, pages, blocks), a row for some pages of a part.
+
+    ``blocks`` are those of the article or else those that are open, of all the row's pages, compressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            articles, texts = [], []
-            for page in batch.column("html"):
+            rows: list[tuple[bool, list[int], list[str]]] = []
+            open_rows: dict[tuple, int] = {}
+            chars: list[int] = []
+            for i, (page, host, part) in enumerate(zip(batch.column("html"), *map(pa.Array.to_pylist, batch.select(["host", "part"]).columns))):
                 blocks = page_blocks(page.as_py())
                 inside = [text for k, text in blocks if k == IN]
-                articles.append(bool(inside) or not blocks)
-                # No block has a line break.
-                texts.append(squeeze("\n".join(inside or [text for _, text in blocks]).encode("utf-8", "surrogatepass")))
-            arrays = [*[batch.column(n) for n in _KEPT], pa.array(articles, pa.bool_()), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*_KEPT, "article", "blocks"])
-
-    narrow = pages.select(*_KEPT, "html")
-    return narrow.mapInArrow(run, f"key {kind}, url string, host string, part long, parts long, page long, article boolean, blocks binary")
-
-
-_KEPT = ["key", "url", "host", "part", "parts", "page"]
+                article = bool(inside) or not blocks
+                # No block has a line break or a form feed.
+                text = "\n".join(inside or [text for _, text in blocks])
+                row = open_rows.get((host, part, article), -1)
+                if row < 0 or chars[row] + len(text) > ROW_CHARS:
+                    row = open_rows[host, part, article] = len(rows)
+                    rows.append((article, [], []))
+                    chars.append(0)
+                rows[row][1].append(i)
+                rows[row][2].append(text)
+                chars[row] += len(text)
+            taken = pa.array([i for _, places, _ in rows for i in places], pa.int64())
+            firsts = pa.array([places[0] for _, places, _ in rows], pa.int64())
+            ends = pa.array(np.cumsum([0, *[len(places) for _, places, _ in rows]]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column(n).take(taken)) for n in ("key", "url", "page")]
+            texts = [squeeze("\f".join(t).encode("utf-8", "surrogatepass")) for _, _, t in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(n).take(firsts) for n in ("host", "part", "parts")],
+                    pa.array([article for article, _, _ in rows], pa.bool_()),
+                    *lists,
+                    pa.array(texts, pa.binary()),
+                ],
+                ["host", "part", "parts", "article", "keys", "urls", "pages", "blocks"],
+            )
+
+    out = f"host string, part long, parts long, article boolean, keys array<{kind}>, urls array<string>, pages array<long>, blocks binary"
+    return pages.select("key", "url", "host", "part", "parts", "page", "html").mapInArrow(run, out)
+
+
+def _streams(table: pa.Table, least: int) -> Streams:
+    return Streams(pc.list_flatten(table.column("pages")).to_pylist(), _blocks(table), least)
 
 
 def _blocks(table: pa.Table) -> list[list[str]]:
     import zstandard
 
     spread = zstandard.ZstdDecompressor().decompress
-    texts = (spread(b.as_py()).decode("utf-8", "surrogatepass") for b in table.column("blocks"))
-    return [text.split("\n") if text else [] for text in texts]
+    rows = (spread(b.as_py()).decode("utf-8", "surrogatepass") for b in table.column("blocks"))
+    return [text.split("\n") if text else [] for row in rows for text in row.split("\f")]
 
 
 def _dealt(pages: DataFrame, key: str, url: str, html: str, part_words: int) -> DataFrame:
@@ -359,31 +402,73 @@ def _dealt(pages: DataFrame, key: str, url: str, html: str, part_words: int) ->
     return dealt.withColumns({"part": alone, "page": F.xxhash64(page)})
 
 
-def _repeats(parts: DataFrame, least: int) -> DataFrame:
-    """(host, article, part, run): the keys that split sites' other parts have in common with each part.
+_KNOWN = "host string, article boolean, part long, bucket long, found binary"
+_SHARED = "host string, article boolean, part long, found binary"
+
+
+def _short(keys: np.ndarray, parts: int, part_words: int) -> np.ndarray:
+    """The first bits of keys: as many as tell all the site's apart, and some to spare. No more than 64, no less than 32."""
+    return keys >> np.uint64(64 - max(32, min(64, SPARE_BITS + (parts * part_words).bit_length())))
+
+
+def _buckets(site: pa.Table, keys: np.ndarray, found: np.ndarray) -> pa.Table:
+    """Rows of a part for the tasks that compare it with the site's others: ``found``, by ranges of the sorted keys."""
+    host, article, part, parts = (site.column(n)[0].as_py() for n in (*SITE, "part", "parts"))
+    bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    asked, starts = np.unique(bucket, return_index=True)
+    pieces = [squeeze_sorted(np.unique(piece)) for piece in np.split(found, starts[1:])] if len(found) else []
+    columns = [pa.array([v] * len(pieces), k) for v, k in ((host, pa.string()), (article, pa.bool_()), (part, pa.int64()))]
+    columns += [pa.array(asked.astype(np.int64)), pa.array(pieces, pa.binary())]
+    return pa.table(columns, names=[*SITE, "part", "bucket", "found"])
+
 
-    All pages go in, as the parts are then shuffled once for this and for their own arrays.
+def _in_several(known: DataFrame) -> DataFrame:
+    """(host, article, part, found): of each part's numbers those that another part of the site has too."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        pieces = [unsqueeze_sorted(f.as_py()) for f in table.column("found")]
+        numbers, times = np.unique(np.concatenate(pieces), return_counts=True)
+        several = numbers[times > 1]
+        found = [piece[np.isin(piece, several, assume_unique=True)] for piece in pieces]
+        some = table.select([*SITE, "part"]).append_column("found", pa.array([squeeze_sorted(f) for f in found], pa.binary()))
+        return some.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+
+    return known.groupBy(*SITE, "bucket").applyInArrow(compare, _SHARED)
+
+
+def _found(shared: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[unsqueeze_sorted(f.as_py()) for f in shared.column("found")]])
+
+
+def _short_keys(parts: DataFrame, least: int, part_words: int) -> DataFrame:
+    """The short keys of every part of a split site, sorted and compressed: two bytes or so to a word.
+
+    All pages go in, as the parts are then shuffled once for this, for the keys and for their own arrays.
     """
 
-    def keys(table: pa.Table) -> pa.Table:
-        host, article, part = (table.column(n)[0].as_py() for n in (*SITE, "part"))
-        found = np.zeros(0, np.int64)
-        if table.column("parts")[0].as_py() > 1:
-            found = Streams(table.column("page").to_pylist(), _blocks(table), least).keys()
-        return pa.table(
-            {
-                "host": pa.array([host] * len(found), pa.string()),
-                "article": pa.array(np.full(len(found), article)),
-                "part": pa.array(np.full(len(found), part), pa.int64()),
-                "run": pa.array(found),
-            }
-        )
-
-    known = parts.groupBy(*SITE, "part").applyInArrow(keys, "host string, article boolean, part long, run long")
-    # Dealt once, for the counts and for the join.
-    known = known.repartition(*SITE, "run")
-    shared = known.groupBy(*SITE, "run").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    return known.join(shared.select(*SITE, "run"), [*SITE, "run"]).select(*SITE, "part", "run")
+    def short(table: pa.Table) -> pa.Table:
+        n = table.column("parts")[0].as_py()
+        keys = _streams(table, least).keys() if n > 1 else np.zeros(0, np.uint64)
+        return _buckets(table, keys, _short(keys, n, part_words))
+
+    return parts.groupBy(*SITE, "part").applyInArrow(short, _KNOWN)
+
+
+def _repeats(parts: DataFrame, least: int, part_words: int) -> DataFrame:
+    """(host, article, part, found): the keys that split sites' other parts have in common with each part.
+
+    Only keys whose short forms two parts have are exchanged and compared whole.
+    """
+
+    def whole(table: pa.Table, shared: pa.Table) -> pa.Table:
+        keys = np.zeros(0, np.uint64)
+        if shared.num_rows:
+            keys = _streams(table, least).keys()
+            keys = keys[np.isin(_short(keys, table.column("parts")[0].as_py(), part_words), _found(shared))]
+        return _buckets(table, keys, keys)
+
+    candidates = _in_several(_short_keys(parts, least, part_words)).groupBy(*SITE, "part")
+    return _in_several(parts.groupBy(*SITE, "part").cogroup(candidates).applyInArrow(whole, _KNOWN))
 
 
 def main_text(
@@ -407,19 +492,15 @@ def main_text(
 
     def judge(table: pa.Table, shared: pa.Table) -> pa.Table:
         names = ["key", "url", "text", "by_markup", "n_repeated"]
-        blocks = _blocks(table)
-        if not blocks:
-            empty = [table.column("key"), table.column("url"), pa.array([], pa.string()), pa.array([], pa.bool_()), pa.array([], pa.int64())]
-            return pa.table(empty, names=names)
-        streams = Streams(table.column("page").to_pylist(), blocks, least)
-        elsewhere = shared.column("run").to_numpy()
+        streams = _streams(table, least)
+        elsewhere = _found(shared)
         article = table.column("article")[0].as_py()
-        texts = blocks if article else streams.unique_runs(elsewhere)
-        columns = [pa.array([" ".join(b) for b in texts], pa.string()), table.column("article")]
-        columns.append(pa.array(streams.repeated_words(elsewhere), pa.int64()))
-        return pa.table([table.column("key"), table.column("url"), *columns], names=names)
+        texts = streams.blocks if article else streams.unique_runs(elsewhere)
+        columns = [pc.list_flatten(table.column(n)) for n in ("keys", "urls")]
+        columns += [pa.array([" ".join(b) for b in texts], pa.string()), pa.array([article] * len(texts), pa.bool_())]
+        return pa.table([*columns, pa.array(streams.repeated_words(elsewhere), pa.int64())], names=names)
 
     left = parts.groupBy(*SITE, "part")
-    right = _repeats(parts, least).groupBy(*SITE, "part")
+    right = _repeats(parts, least, part_words).groupBy(*SITE, "part")
     judged = left.cogroup(right).applyInArrow(judge, out)
     return judged.select(F.col("key").alias(key), F.col("url").alias(url), "text", "by_markup", "n_repeated")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableloom.llm.compact import squeeze, steps_up, unsqueeze
 from tableloom.llm.text import WORD, lower_ascii, text_of
 from tableloom.operators.ranking import with_position
 from tableloom.staging import stage
@@ -45,25 +46,6 @@ CODES = 255
 FIND = 1 << 16
 
 
-# Compact arrays
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """Bytes of the numbers, like places together, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _give_back() -> None:
     """Hand freed memory back to the system, as workers live on between tasks."""
     import ctypes
@@ -74,10 +56,6 @@ def _give_back() -> None:
         trim(0)
 
 
-def _steps_up(values: np.ndarray) -> np.ndarray:
-    return np.diff(values, prepend=values.dtype.type(0))
-
-
 # For a byte and a rank, the place of its set bit of that rank.
 _BIT_OF = np.array([[*[i for i in range(8) if byte >> i & 1], *[0] * 8][:8] for byte in range(256)], np.int64)
 
@@ -359,7 +337,7 @@ def text_blocks(docs: DataFrame, key: str, text: str, held_out: Column, chars: i
             tokens = np.concatenate(parts)
             train = tokens[np.repeat(~np.array(held), sizes)]
             counts = np.bincount(train, minlength=len(index))
-            columns = [[number], [keys], [held], [sizes], [_squeeze(tokens)], [list(index)], [counts]]
+            columns = [[number], [keys], [held], [sizes], [squeeze(tokens)], [list(index)], [counts]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             names = [part.split()[0] for part in _BLOCK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -412,14 +390,14 @@ def _with_ids(blocks: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                own = _unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
+                own = unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
                 pairs = row.column("ids")[0].values
                 table = np.empty(len(pairs), np.uint32)
                 table[pairs.field("place").to_numpy()] = pairs.field("id").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[row.column(n) for n in ("block", "keys", "held", "sizes")],
-                        pa.array([_squeeze(table[own])], pa.binary()),
+                        pa.array([squeeze(table[own])], pa.binary()),
                         pa.array([int(table[0])], pa.int64()),
                     ],
                     ["block", "keys", "held", "sizes", "tokens", "end"],
@@ -461,7 +439,7 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                tokens = _unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
+                tokens = unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
                 sizes = row.column("sizes")[0].values.to_numpy()
                 held = row.column("held")[0].values.to_numpy(zero_copy_only=False)
                 pairs = _pairs(tokens, sizes, row.column("end")[0].as_py())
@@ -477,8 +455,8 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
                         [
                             pa.array([s for s, _ in some], pa.int64()),
                             pa.array([block] * len(some), pa.int64()),
-                            pa.array([_squeeze(_steps_up(unique[at])) for _, at in some], pa.binary()),
-                            pa.array([_squeeze(seen[at]) for _, at in some], pa.binary()),
+                            pa.array([squeeze(steps_up(unique[at])) for _, at in some], pa.binary()),
+                            pa.array([squeeze(seen[at]) for _, at in some], pa.binary()),
                         ],
                         ["shard", "block", "pairs", "seen"],
                     )
@@ -487,8 +465,8 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
 
     def serve(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        asked = [np.cumsum(_unsqueeze(d.as_py(), np.uint64), dtype=np.uint64) for d in table.column("pairs")]
-        seen = [_unsqueeze(d.as_py(), np.uint32) for d in table.column("seen")]
+        asked = [np.cumsum(unsqueeze(d.as_py(), np.uint64), dtype=np.uint64) for d in table.column("pairs")]
+        seen = [unsqueeze(d.as_py(), np.uint32) for d in table.column("seen")]
         used = np.concatenate([a[s > 0] for a, s in zip(asked, seen)])
         times = np.concatenate([s[s > 0] for s in seen]).astype(np.int64)
         order = np.argsort(used, kind="stable")
@@ -502,7 +480,7 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
         blocks = table.column("block").to_pylist()
         # One batch for all blocks, so that each first word is searched once.
         codes = np.split(trie.find(np.concatenate(asked)), np.cumsum([len(a) for a in asked])[:-1])
-        rows = [("answer", b, shard, _squeeze(c), trie.book.tolist()) for b, c in zip(blocks, codes)]
+        rows = [("answer", b, shard, squeeze(c), trie.book.tolist()) for b, c in zip(blocks, codes)]
         rows += [(f"trie:{name}:{a.dtype}", -1, shard, a.tobytes(), []) for name, a in arrays.items()]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float32())]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "block", "shard", "data", "book"])
@@ -535,14 +513,14 @@ def _scored(coded: DataFrame, model: Model, backoff: float) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                tokens = _unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
+                tokens = unsqueeze(row.column("tokens")[0].as_py(), np.uint32)
                 sizes = row.column("sizes")[0].values.to_numpy()
                 unique, inverse = np.unique(_pairs(tokens, sizes, row.column("end")[0].as_py()), return_inverse=True)
                 first, second = unique >> np.uint64(32), unique & np.uint64(0xFFFFFFFF)
                 logs = counts.log_word(second) + np.log10(backoff / (counts.of(first) + backoff))
                 answers = {a["shard"]: a for a in row.column("answers")[0].as_py()}
                 for shard, at in _by_shard(unique, counts, shards):
-                    codes = _unsqueeze(answers[shard]["data"], np.uint8)
+                    codes = unsqueeze(answers[shard]["data"], np.uint8)
                     known = codes > 0
                     logs[at[known]] = np.array(answers[shard]["book"])[codes[known] - 1]
                 starts = np.cumsum(sizes) - sizes

@@ -132,6 +132,20 @@ def test_articles_pass_the_array_too(spark, part_words):
     assert [found[p].n_repeated for p in (50, 51, 52, 53)] == [0, 0, 0, 0] and found[51].text == ""
 
 
+def test_parts_exchange_few_bytes_a_word(spark):
+    """Parts of a split site exchange short keys, packed; only those that two parts have go whole."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)]
+    texts += [f"{rng.randrange(10**6)} {texts[0][:200]} {rng.randrange(10**6)}" for _ in range(3)]
+    df = spark.createDataFrame([(i, "http://h/", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    parts = html._parsed(html._dealt(df, "page_id", "url", "html", 5000), "long")
+    assert parts.select("part").distinct().count() > 3
+    short = html._short_keys(parts, 16, 5000).selectExpr("sum(octet_length(found)) AS n").first().n
+    assert short < 4 * sum(len(t.split(" ")) for t in texts)
+    shared = {r.part: html.unsqueeze_sorted(r.found) for r in html._repeats(parts, 16, 5000).groupBy("part").agg(F.min("found").alias("found")).collect()}
+    assert len(shared) > 1 and all(0 < len(keys) < 20 for keys in shared.values())
+
+
 def test_pages_edges(spark):
     schema = "page_id string, url string, html string, host long, text long, open long, part long"
     table = [
