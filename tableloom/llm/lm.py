@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.llm.compact import squeeze, steps_up, unsqueeze
+from tableloom.llm.compact import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from tableloom.llm.text import WORD, lower_ascii, text_of
 from tableloom.operators.ranking import with_position
 from tableloom.staging import stage
@@ -380,6 +380,12 @@ def _by_shard(unique: np.ndarray, counts: Counts, shards: int) -> list[tuple[int
     return list(zip(asked.tolist(), np.split(order, starts[1:])))
 
 
+def _counted(asked: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of all blocks, where each asked one is among them, and their training counts."""
+    distinct, which = np.unique(asked, return_inverse=True)
+    return distinct, which, np.bincount(which, seen, len(distinct)).astype(np.int64)
+
+
 _CODED = "block long, keys array<long>, held array<boolean>, sizes array<long>, tokens binary, end long"
 
 
@@ -455,7 +461,7 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
                         [
                             pa.array([s for s, _ in some], pa.int64()),
                             pa.array([block] * len(some), pa.int64()),
-                            pa.array([squeeze(steps_up(unique[at])) for _, at in some], pa.binary()),
+                            pa.array([squeeze_sorted(unique[at]) for _, at in some], pa.binary()),
                             pa.array([squeeze(seen[at]) for _, at in some], pa.binary()),
                         ],
                         ["shard", "block", "pairs", "seen"],
@@ -465,21 +471,18 @@ def train_and_answer(coded: DataFrame, counts: Counts, span: int, backoff: float
 
     def serve(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        asked = [np.cumsum(unsqueeze(d.as_py(), np.uint64), dtype=np.uint64) for d in table.column("pairs")]
+        asked = [unsqueeze_sorted(d.as_py()) for d in table.column("pairs")]
         seen = [unsqueeze(d.as_py(), np.uint32) for d in table.column("seen")]
-        used = np.concatenate([a[s > 0] for a, s in zip(asked, seen)])
-        times = np.concatenate([s[s > 0] for s in seen]).astype(np.int64)
-        order = np.argsort(used, kind="stable")
-        used, times = used[order], times[order]
-        starts = np.flatnonzero(np.diff(used, prepend=~used[:1]) != 0) if len(used) else np.zeros(0, np.int64)
-        pairs, sums = used[starts], np.add.reduceat(times, starts) if len(used) else times
+        sizes = [len(a) for a in asked]
+        distinct, which, sums = _counted(np.concatenate(asked), np.concatenate(seen))
+        del asked, seen
+        pairs, sums = distinct[sums > 0], sums[sums > 0]
         first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
         logs = np.log10((sums + backoff * 10 ** counts.log_word(second)) / (counts.of(first) + backoff))
         trie = Shard.build(pairs, logs, span)
         arrays = trie.arrays()
         blocks = table.column("block").to_pylist()
-        # One batch for all blocks, so that each first word is searched once.
-        codes = np.split(trie.find(np.concatenate(asked)), np.cumsum([len(a) for a in asked])[:-1])
+        codes = np.split(trie.find(distinct)[which], np.cumsum(sizes)[:-1])
         rows = [("answer", b, shard, squeeze(c), trie.book.tolist()) for b, c in zip(blocks, codes)]
         rows += [(f"trie:{name}:{a.dtype}", -1, shard, a.tobytes(), []) for name, a in arrays.items()]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float32())]

@@ -12,6 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_TABLE = {ord(letter): letter.lower() for letter in UPPER}
+_LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
 def text_of(column: str | Column) -> Column:
@@ -21,7 +22,10 @@ def text_of(column: str | Column) -> Column:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.translate(LOWER_TABLE)
+    if text.isascii():
+        return text.lower()
+    # As bytes, since str.translate looks up every character; no byte of another character is ASCII.
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).decode("utf-8", "surrogatepass")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

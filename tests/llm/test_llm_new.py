@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tableloom.llm import html, lm, phrases, runs, tokens
 from tableloom.llm.queries import QUERIES
+from tableloom.llm.text import LOWER_TABLE, lower_ascii
 from tests.llm import brute
 
 
@@ -146,6 +148,28 @@ def test_parts_exchange_few_bytes_a_word(spark):
     assert len(shared) > 1 and all(0 < len(keys) < 20 for keys in shared.values())
 
 
+# ---- 9 language model
+
+
+def test_lower_ascii_is_quick_on_other_letters():
+    odd = "AZ[`az{ \u00c9\u0130\u212a \ud800 \U0001f600"
+    assert lower_ascii(odd) == odd.translate(LOWER_TABLE) and lower_ascii("AbZ@[") == "abz@["
+    text = "The \u00e9t\u00e9 of Words " * 50_000
+
+    def seconds(lower):
+        start = time.perf_counter()
+        lower(text)
+        return time.perf_counter() - start
+
+    assert min(seconds(lower_ascii) for _ in range(3)) * 3 < min(seconds(lambda t: t.translate(LOWER_TABLE)) for _ in range(3))
+
+
+def test_pairs_of_many_blocks_are_counted_once():
+    asked, seen = np.array([3, 7, 3, 9, 7], np.uint64), np.array([2, 0, 5, 0, 0], np.uint32)
+    distinct, which, sums = lm._counted(asked, seen)
+    assert (distinct.tolist(), sums.tolist()) == ([3, 7, 9], [7, 0, 0]) and (distinct[which] == asked).all()
+
+
 def test_pages_edges(spark):
     schema = "page_id string, url string, html string, host long, text long, open long, part long"
     table = [
