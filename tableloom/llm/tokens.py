@@ -14,11 +14,12 @@ import os
 import re
 import sys
 from collections.abc import Iterable, Sequence
-from itertools import chain, compress, repeat
-from operator import is_
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space other than the space and the line break; the first four may or may not count.
 _DOUBTFUL = "\x1c\x1d\x1e\x1f"
@@ -103,28 +104,50 @@ class Encoder:
         if len(self.words) + len(self.parts) > self.cached // 2:
             self.older, self.words, self.parts = self.words, {}, {}
         heads: list[list[str]] = []
-        rests: list[list[str]] = []
+        rests: list[str] = []
+        places: list[int] = []  # where each text's rest ends
         for text in texts:
             if _even(text):
                 cut = text.replace("\n", " \n").split(" ")
                 heads.append(cut[:1])
-                rests.append(cut[1:])
+                rests += cut[1:]
             else:
                 heads.append([text] if any(c in text for c in _DOUBTFUL) else _CHUNK.findall(text))
-                rests.append([])
+            places.append(len(rests))
+        missing = list(set(chain.from_iterable(heads)).difference(self.parts))
+        self.parts.update(zip(missing, self._ids(missing)))
+        ids, ends = self._rests(rests)
+        part, start, out = self.parts.__getitem__, 0, []
+        for head, end in zip(heads, np.append(0, ends)[places].tolist()):
+            before = np.frombuffer(b"".join(map(part, head)), self.kind)
+            out.append(np.concatenate([before, ids[start:end]]))
+            start = end
+        return out
+
+    def _rests(self, rests: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the space before them, and where each one's end.
+
+        Arrow tells the words apart, so that each is looked up once, and numpy deals out their ids.
+        """
+        coded = pa.array(rests, pa.string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        # No word has a space, and one split makes strings faster than a call for each.
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        distinct = joined.split(" ") if len(which) else []
         words, older = self.words, self.older
-        # One look-up a word is what the time goes into; only texts with new words need more.
-        found = [list(map(words.get, rest)) for rest in rests]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        new = set(chain.from_iterable(compress(rests[i], map(is_, found[i], repeat(None))) for i in lacking))
+        found = list(map(words.get, distinct))
+        new = [w for w, ids in zip(distinct, found) if ids is None]
         words.update([(w, older[w]) for w in new if w in older])
         self._learn_words([w for w in new if w not in words])
-        for i in lacking:
-            found[i] = list(map(words.__getitem__, rests[i]))
-        missing = list(set(chain.from_iterable(heads)).difference(self.parts))
-        self.parts.update(zip(missing, self._ids(missing)))
-        part = self.parts.__getitem__
-        return [np.frombuffer(b"".join([*map(part, head), *ids]), self.kind) for head, ids in zip(heads, found)]
+        learnt = map(words.__getitem__, new)
+        found = [next(learnt) if ids is None else ids for ids in found]
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        return ids, ends
 
 
 def encoder(path: str) -> Encoder:
@@ -140,11 +163,8 @@ def encoder(path: str) -> Encoder:
     return encoders[path]
 
 
-def text_groups(texts: Sequence[str], chars: int = 1 << 17) -> Iterable[slice]:
-    """Slices of ``texts`` of about ``chars`` characters; a longer text is a slice alone.
-
-    The words of a slice should fit a processor's cache.
-    """
+def text_groups(texts: Sequence[str], chars: int = 1 << 22) -> Iterable[slice]:
+    """Slices of ``texts`` of about ``chars`` characters; a longer text is a slice alone."""
     start, total = 0, 0
     for i, text in enumerate(texts):
         if total and total + len(text) > chars:

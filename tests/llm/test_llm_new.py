@@ -393,3 +393,18 @@ def test_pairs_are_found_in_a_shard():
     found = shard.find(asked)
     assert (found == wanted).all()
     assert [shard.find_one(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in asked[::97]] == found[::97].tolist()
+
+
+def test_words_are_looked_up_once_a_batch():
+    tool, plain = tokens.Encoder(tokens.default_vocabulary()), brute.tokenizer()
+    asked = Counter()
+
+    class Words(dict):
+        def get(self, word):
+            asked[word] += 1
+            return super().get(word)
+
+    tool.words = Words()
+    texts = ["x" + " one two. one\nthree" * 50, "", "  odd  spaces ", "two. one x"] * 3
+    assert [i.tolist() for i in tool.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and max(asked.values()) == 1
